@@ -21,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word(alternatives: str) -> str:
     """A pattern for any of the alternatives as whole words."""
     return rf"(?<!\w)(?:{alternatives})(?!\w)"
@@ -112,17 +117,21 @@ def _heading_like(line: Column, words: str) -> Column:
 
 def requirements_section(c: Column | str, cap: int = V.SECTION_CAP) -> Column:
     """``struct<section, found>``: the lines under the first requirements heading."""
-    lines = F.split(col(c), "\n", -1)
-    start = F.array_position(F.transform(lines, lambda x: _heading_like(x, V.HEADING_WORDS)), True)
-    after = F.slice(lines, start.cast("int") + 1, F.greatest(F.size(lines), F.lit(1)))
-    stop = F.array_position(
-        F.transform(after, lambda x: _heading_like(x, V.STOP_HEADING_WORDS)), True)
-    body = F.when(stop > 0, F.slice(after, 1, F.greatest(stop.cast("int") - 1, F.lit(0)))
-                  ).otherwise(after)
-    section = trim_ws(F.substring(F.array_join(body, "\n"), 1, cap))
-    found = start > 0
-    return F.when(col(c).isNotNull(), F.struct(
-        F.when(found, section).otherwise("").alias("section"), found.alias("found")))
+    def first_heading(lines: Column, words: str) -> Column:
+        return F.array_position(F.transform(lines, lambda x: _heading_like(x, words)), True).cast("int")
+
+    def cut(after: Column) -> Column:
+        stop = first_heading(after, V.STOP_HEADING_WORDS)
+        body = let(stop, lambda n: F.when(n > 0, F.slice(after, 1, F.greatest(n - 1, F.lit(0))))
+                   .otherwise(after))
+        return trim_ws(F.substring(F.array_join(body, "\n"), 1, cap))
+
+    def build(lines: Column) -> Column:
+        return let(first_heading(lines, V.HEADING_WORDS), lambda n: F.struct(
+            F.when(n > 0, let(F.slice(lines, n + 1, F.greatest(F.size(lines), F.lit(1))), cut))
+            .otherwise("").alias("section"), (n > 0).alias("found")))
+
+    return F.when(col(c).isNotNull(), let(F.split(col(c), "\n", -1), build))
 
 
 # ---------------------------------------------------------------- T3 terms_in
@@ -195,21 +204,25 @@ def remote_scope_of(location: Column | str, text: Column | str) -> Column:
 
 _YEARS_BEHIND = "|".join(rf"{w}[\s\S]{{0,{30 - len(w)}}}" for w in V.YEARS_WORDS)
 _YEARS_ASK = r"(?<!\d)(\d{1,2})(?!\d)\s*(?:\+|-|–|\s+to\s+)?\s*(?:\d{1,2})?\s*\+?\s*years?(?!\w)"
-YEARS_PATTERN = (rf"(?i)(?:(?<={_YEARS_BEHIND}){_YEARS_ASK}[^.\n]{{0,40}}"
+YEARS_PATTERN = (rf"(?i)(?=\d)(?:(?<={_YEARS_BEHIND}){_YEARS_ASK}[^.\n]{{0,40}}"
                  rf"|{_YEARS_ASK}([^.\n]{{0,40}}))")
 YEARS_AHEAD = r"(?i)experience|exp(?!\w)|working|background|industry"
 
 
 def required_years(c: Column | str) -> Column:
     """Low end of the first years-of-experience range next to an experience word."""
-    c, p = col(c), F.lit(YEARS_PATTERN)
-    hits = F.arrays_zip(F.regexp_extract_all(c, p, 1).alias("near"),
-                        F.regexp_extract_all(c, p, 2).alias("far"),
-                        F.regexp_extract_all(c, p, 3).alias("trail"))
-    years = F.transform(hits, lambda h: F.when(h["near"] != "", h["near"].cast("int"))
-                        .when(h["trail"].rlike(YEARS_AHEAD), h["far"].cast("int")))
-    first = F.try_element_at(F.filter(years, lambda y: y <= 30), F.lit(1))
-    return F.when(c.rlike(r"(?i)\d\s*\+?\s*years?"), first)
+    p = F.lit(YEARS_PATTERN)
+
+    def find(text: Column) -> Column:
+        hits = F.arrays_zip(F.regexp_extract_all(text, p, 1).alias("near"),
+                            F.regexp_extract_all(text, p, 2).alias("far"),
+                            F.regexp_extract_all(text, p, 3).alias("trail"))
+        years = F.transform(hits, lambda h: F.when(h["near"] != "", h["near"].cast("int"))
+                            .when(h["trail"].rlike(YEARS_AHEAD), h["far"].cast("int")))
+        first = F.try_element_at(F.filter(years, lambda y: y <= 30), F.lit(1))
+        return F.when(text.rlike(r"(?i)\d\s*\+?\s*years?"), first)
+
+    return let(col(c), find)
 
 
 def country_of(location: Column | str, gazetteer: Iterable[tuple[str, str]] = V.GAZETTEER) -> Column:
@@ -368,13 +381,13 @@ def credit_groups_in(c: Column | str) -> Column:
 
 def proper_nouns_in(c: Column | str) -> Column:
     """Capitalised words that do not start a sentence."""
-    raw = F.filter(F.split(col(c), r"\s+", -1), lambda w: w != "")
-    cleaned = F.transform(raw, lambda w, i: F.struct(
-        F.regexp_replace(F.regexp_replace(w, r"^\W+", ""), r"[^\w.+#/-]+$", "").alias("w"),
-        ((i == 0) | F.coalesce(F.try_element_at(raw, i).rlike(r"[.!?]$"), F.lit(False)))
-        .alias("starts")))
-    kept = F.filter(cleaned, lambda s: ~s["starts"] & s["w"].rlike(r"^[A-Z][A-Za-z0-9.+#/-]+$"))
-    return F.array_distinct(F.transform(kept, lambda s: s["w"]))
+    def find(raw: Column) -> Column:
+        before = F.concat(F.array(F.lit(".")), raw)
+        kept = F.zip_with(raw, before, lambda w, b: F.when(
+            ~b.rlike(r"[.!?]$"), F.regexp_replace(F.regexp_replace(w, r"^\W+", ""), r"[^\w.+#/-]+$", "")))
+        return F.array_distinct(F.filter(kept, lambda w: w.rlike(r"^[A-Z][A-Za-z0-9.+#/-]+$")))
+
+    return let(F.filter(F.split(col(c), r"\s+", -1), lambda w: w != ""), find)
 
 
 def title_words(c: Column | str, stop: Sequence[str] = V.TITLE_STOP_WORDS) -> Column:
