@@ -299,7 +299,7 @@ _FILES = """files AS (SELECT doc_id, lang, source, 'f' || doc_id || CASE lang WH
 _KEY = "'resumes/' || sha256(content) || CASE lang WHEN 'en' THEN '.pdf' WHEN 'fr' THEN '.txt' WHEN 'de' THEN '.exe' ELSE '' END"
 
 
-@query("content_address", D.with_ctes(_FILES) + f"SELECT doc_id, sha256(content) AS sha256, octet_length(content::BLOB)::INTEGER AS bytes, {_KEY} AS storage_key FROM files")
+@query("content_address", D.with_ctes(_FILES) + f"SELECT doc_id, sha256(content) AS sha256, strlen(content)::INTEGER AS bytes, {_KEY} AS storage_key FROM files")
 def content_address(spark, d):
     return B.content_address(_files(spark, d), filename="filename").select("doc_id", "sha256", "bytes", "storage_key")
 

@@ -66,7 +66,7 @@ def parse_requests(messages: DataFrame, companies: DataFrame | None = None,
 
     n_days = _ascii(r"\b(\d{1,3}) days?\b")
     stated = F.nullif(F.regexp_extract("_t", n_days, 1), F.lit("")).cast("int")
-    df = df.withColumn("days", F.least(F.lit(365), stated)).withColumn("_stated", stated.isNotNull())
+    df = df.withColumn("days", F.when(stated > 365, 365).otherwise(stated)).withColumn("_stated", stated.isNotNull())
     df = df.withColumn("_t", F.when(F.col("_stated"), _drop_first(F.col("_t"), n_days))
                        .otherwise(F.col("_t")))
     worded = _take_rules(df.withColumn("_kept", F.col("_t")).withColumn("_d", F.lit(None).cast("int")),

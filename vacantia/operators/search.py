@@ -243,18 +243,18 @@ def search_candidates(postings: DataFrame, searches: DataFrame, now: Column,
     because every posting is its answer.  AQE splits the partitions of hot keys.
     """
     s = (_with_place_keys(searches, postings, places)
-         .withColumn("_key", F.explode(_search_keys(now))).drop("_place_keys"))
+         .withColumn("_key", F.explode(_search_keys(now))))
     p = postings.withColumn("_key", F.explode(_posting_keys()))
     # Search keys decide which posting keys are worth shuffling at all.
     p = p.join(s.select("_key").distinct(), "_key", "left_semi")
     words = F.coalesce(F.col("f.words"), _strings())
-    hits = s.join(p, "_key").drop("_key").where(filters_expr(now, places))
-    hits = (hits.withColumn("all_words", T.title_matches("title", words))
-            .where("all_words").withColumn("phrase", T.title_has_phrase("title", words)))
-    # A place search can meet a posting under its location and under its country.
-    place_search = F.col("f.place").isNotNull()
-    return hits.where(~place_search).unionByName(
-        hits.where(place_search).dropDuplicates(["search_id", "posting_id"]))
+    # A place search meets a posting under its country only if not under its location.
+    twice = F.startswith("_key", F.lit("country:")) & F.array_contains(
+        "_place_keys", F.concat(F.lit("loc:"), F.lower("location")))
+    hits = (s.join(p, "_key").where(~F.coalesce(twice, F.lit(False)) & filters_expr(now, places))
+            .drop("_key", "_place_keys"))
+    return (hits.where(T.title_matches("title", words))
+            .withColumn("phrase", T.title_has_phrase("title", words)))
 
 
 def search(postings: DataFrame, searches: DataFrame, now: Column,
@@ -272,12 +272,14 @@ def search(postings: DataFrame, searches: DataFrame, now: Column,
                 .join(r, "candidate_country", "left")
                 .where(F.col("f.place").isNotNull() | eligible_expr())
                 .drop("posting_country", "excluded_scopes", "own_names", "other_names"))
-    mode = hits.groupBy("search_id").agg(F.max("phrase").alias("any_phrase"))
-    few = F.size(F.coalesce(F.col("f.words"), _strings()))
-    out = hits.join(mode, "search_id").where(F.col("phrase") | ~F.col("any_phrase"))
-    return out.withColumn("title_match", F.when(few == 0, F.lit(None).cast("string"))
-                          .when(F.col("any_phrase"), "phrase").otherwise("words")) \
-              .drop("any_phrase", "phrase", "all_words")
+    n_words = F.size(F.coalesce(F.col("f.words"), _strings()))
+    # With fewer than two words the phrase is the word, so only the others need the mode.
+    mode = (hits.where(n_words >= 2).groupBy("search_id").agg(F.max("phrase").alias("any_phrase")))
+    loose = F.coalesce(~F.col("any_phrase"), F.lit(False))
+    return (hits.join(mode, "search_id", "left").where(F.col("phrase") | loose)
+            .withColumn("title_match", F.when(n_words == 0, F.lit(None).cast("string"))
+                        .when(loose, "words").otherwise("phrase"))
+            .drop("any_phrase", "phrase"))
 
 
 # ---------------------------------------------------------------- F9, F10

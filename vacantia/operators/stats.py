@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +86,6 @@ def screen_patterns(bank: DataFrame) -> DataFrame:
 
     Run once when answers are saved: only the distinct patterns visit Python.
     """
-    import re
-
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def compiles(patterns: pd.Series) -> pd.Series:
         def ok(p: str) -> bool:
