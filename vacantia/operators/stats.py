@@ -81,6 +81,24 @@ def bank_matches(keys: DataFrame, bank: DataFrame) -> DataFrame:
     return exact.unionByName(tried).select("candidate_id", "label_key", "via", "e.*")
 
 
+def corpus_answers(corpus: DataFrame, bank: DataFrame, buckets: int = 64) -> DataFrame:
+    """(candidate_id, label_key): bankable keys of the whole corpus a candidate's entries answer.
+
+    A pattern has to be tried on every key, so distinct patterns meet distinct keys,
+    each pair once for all candidates, spread evenly over ``buckets`` key buckets.
+    """
+    keys = corpus.where(F.col("route") == "bank").select("label_key").distinct()
+    exact = (bank.select("candidate_id", F.explode("label_keys").alias("label_key"))
+             .join(keys, "label_key").select("candidate_id", "label_key"))
+    wide = bank.select("candidate_id", F.explode("label_patterns").alias("p"))
+    tries = wide.select("p").distinct().withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    hits = (keys.withColumn("_b", F.pmod(F.xxhash64("label_key"), F.lit(buckets)).cast("int"))
+            .join(tries, "_b").where(F.rlike(F.col("label_key"), F.col("p"))).drop("_b"))
+    by_pattern = wide.join(hits, "p").select("candidate_id", "label_key")
+    return exact.unionByName(by_pattern).distinct()
+
+
 def screen_patterns(bank: DataFrame) -> DataFrame:
     """Bank entries with the patterns that do not compile taken out.
 
@@ -211,8 +229,8 @@ def reuse_curve(questions: DataFrame) -> DataFrame:
                       F.sum("keys").over(w).alias("used")).withColumn("total", total)
     before = F.col("covered") - F.col("n") * F.col("keys")
     inside = F.ceil((F.col("total") / 2 - before) / F.col("n"))
-    half = F.min(F.when(F.col("covered") * 2 >= F.col("total"),
-                        F.col("used") - F.col("keys") + inside))
+    reached = (F.col("covered") * 2 >= F.col("total")) & (before * 2 < F.col("total"))
+    half = F.min(F.when(reached, F.col("used") - F.col("keys") + inside))
     return run.agg(F.max("total").cast("bigint").alias("instances"),
                    F.sum("keys").cast("bigint").alias("unique_keys"),
                    half.cast("bigint").alias("keys_for_half")).withColumn(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "vacantia", master: str | None = None,
@@ -34,3 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="vacantia-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For a result that several branches of one job use: the branches read the table
+    instead of repeating its work, and a lost executor repeats nothing but the read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
