@@ -254,7 +254,7 @@ TEMPLATES = (
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """One question per order line; the part's size picks the wording."""
-    from vacantia.functions import text as T
+    from vacantia.operators.planning import label_questions
 
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     heads = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in
@@ -264,7 +264,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     opts = F.when(F.col("t.options") != "", F.transform(
         F.split(F.col("t.options"), r"\|"), lambda x: F.struct(x.alias("label"), F.lower(x).alias("value"))))
-    return (li.select(
+    return label_questions(li.select(
         F.col("o_custkey").alias("candidate_id"),
         F.concat_ws(":", F.lit("orders"), "o_orderpriority", F.col("o_orderkey").cast("string")).alias("posting_id"),
         (F.row_number().over(w) - 1).alias("position"),
@@ -273,9 +273,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("required"),
         F.transform(F.split(F.col("t.kinds"), r"\+"), lambda k: F.struct(
             F.concat(F.col("t.name"), F.when(k == "long_text", "_text").otherwise("")).alias("name"),
-            k.alias("kind"), opts.alias("options"))).alias("fields"))
-        .withColumn("label_key", T.normalise_label("label"))
-        .withColumn("answerability", T.classify_question("label_key", F.transform("fields", lambda f: f["kind"]))))
+            k.alias("kind"), opts.alias("options"))).alias("fields")))
 
 
 def _sql_str(x: str) -> str:

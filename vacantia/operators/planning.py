@@ -23,32 +23,56 @@ def match_option(preferences: Column | str, options: Column | str) -> Column:
     Every strategy (exact, canonical, synonym, substring) is tried for the first
     preference before the second.  Works inside the row: no shuffle.
     """
-    opts = F.transform(
-        F.coalesce(T.col(options), F.array().cast("array<struct<label:string,value:string>>")),
-        lambda o: F.struct(o["label"].alias("label"), o["value"].alias("value"),
-                           T.canon_option(o["label"]).alias("canon")))
-    opts = F.transform(opts, lambda o: F.struct(
-        o["label"].alias("label"), o["value"].alias("value"), o["canon"].alias("canon"),
-        T.synonym_class(o["canon"]).alias("cls")))
-    prefs = F.transform(F.coalesce(T.col(preferences), F.array().cast("array<string>")),
-                        lambda p: F.struct(p.alias("raw"), T.canon_option(p).alias("canon")))
-
-    def first(p: Column, test, via: str) -> Column:
-        hit = F.try_element_at(F.filter(opts, test), F.lit(1))
-        return F.when((p["canon"] != "") & hit.isNotNull(), F.struct(
-            hit["label"].alias("label"), hit["value"].alias("value"), F.lit(via).alias("via")))
-
-    def best(p: Column) -> Column:
-        cls = T.synonym_class(p["canon"])
-        return F.coalesce(
-            first(p, lambda o: o["label"] == p["raw"], "exact"),
-            first(p, lambda o: o["canon"] == p["canon"], "canonical"),
-            first(p, lambda o: o["cls"] == cls, "synonym"),
-            F.when(F.length(p["canon"]) >= 4, first(
-                p, lambda o: F.contains(o["canon"], p["canon"]) | F.contains(p["canon"], o["canon"]),
-                "substring")))
-
-    return F.try_element_at(F.filter(F.transform(prefs, best), lambda m: m.isNotNull()), F.lit(1))
+    def with_class(o: Column) -> Column:
+        return T.let(T.canon_option(o["label"]), lambda c: F.struct(
+            o["label"].alias("label"), o["value"].alias("value"), c.alias("canon"),
+            T.synonym_class(c).alias("cls")))
+
+    def via(p: Column, o: Column) -> Column:
+        return (F.when(o["label"] == p["raw"], 1).when(o["canon"] == p["canon"], 2)
+                .when(o["cls"] == p["cls"], 3)
+                .when((F.length(p["canon"]) >= 4) & (F.contains(o["canon"], p["canon"])
+                                                     | F.contains(p["canon"], o["canon"])), 4))
+
+    def search(opts: Column) -> Column:
+        prefs = F.transform(T.col(preferences), lambda p: T.let(T.canon_option(p), lambda c: F.struct(
+            p.alias("raw"), c.alias("canon"), T.synonym_class(c).alias("cls"))))
+        # Per preference the option with the lowest (strategy, position).
+        best = F.transform(F.filter(prefs, lambda p: p["canon"] != ""), lambda p: F.array_min(F.filter(
+            F.transform(opts, lambda o, i: F.struct(via(p, o).alias("via"), i.alias("i"),
+                                                    o["label"].alias("label"), o["value"].alias("value"))),
+            lambda m: m["via"].isNotNull())))
+        return F.try_element_at(F.filter(best, lambda m: m.isNotNull()), F.lit(1))
+
+    found = T.let(F.transform(T.col(options), with_class), search)
+    names = F.array(*[F.lit(x) for x in ("exact", "canonical", "synonym", "substring")])
+    return T.let(found, lambda m: F.when(m.isNotNull(), F.struct(
+        m["label"].alias("label"), m["value"].alias("value"),
+        F.element_at(names, m["via"]).alias("via"))))
+
+
+# ---------------------------------------------------------------- T11 + T12 once per label
+def label_questions(questions: DataFrame) -> DataFrame:
+    """``label_key`` and ``answerability``, worked out once per distinct (label, field kinds).
+
+    The same question stands on very many forms, so the patterns run on the distinct
+    labels and the result is joined back; AQE broadcasts it when it is small.
+    """
+    d = questions.withColumn("_kinds", F.array_join(F.transform("fields", lambda f: f["kind"]), ","))
+    once = (d.select("label", "_kinds").distinct().withColumn("label_key", T.normalise_label("label"))
+            .withColumn("answerability", T.classify_question("label_key", F.split("_kinds", ","))))
+    return d.join(once, ["label", "_kinds"]).drop("_kinds")
+
+
+def key_facts(questions: DataFrame) -> DataFrame:
+    """Per distinct (label key, class): who must answer, which profile field, letter, follow-up."""
+    k = questions.select("label_key", "answerability").distinct()
+    return (k.withColumn("_people", F.when(F.col("answerability") == "demographic", "demographic")
+                         .when(T.forbids_generated("label_key"), "no generated answer")
+                         .when(F.col("label_key").rlike(T.any_of(V.HEALTH_PATTERNS)), "health")
+                         .when(F.col("label_key").rlike(T.any_of(V.CONSENT_PATTERNS)), "consent"))
+            .withColumn("_want", T.profile_field_for("label_key"))
+            .withColumn("_follow_up", F.col("label_key").rlike(V.FOLLOW_UP_QUESTION)))
 
 
 # ---------------------------------------------------------------- P2 attachment pairs
@@ -76,10 +100,7 @@ def compile_plan(questions: DataFrame, profiles: DataFrame, bank: DataFrame) ->
     profile fields.  Everything the ladder reads is joined first; the ladder is one
     ordered condition, so nothing shuffles after the joins.
     """
-    q = questions.withColumn("_people", F.when(F.col("answerability") == "demographic", "demographic")
-                             .when(T.forbids_generated("label_key"), "no generated answer")
-                             .when(F.col("label_key").rlike(T.any_of(V.HEALTH_PATTERNS)), "health")
-                             .when(F.col("label_key").rlike(T.any_of(V.CONSENT_PATTERNS)), "consent"))
+    q = questions.join(key_facts(questions), ["label_key", "answerability"])
     kept = resolve_attachment_pair("fields", "label_key", F.col("_people").isNotNull())
     a = q.select(*[c for c in q.columns if c != "fields"],
                  (F.size(kept) < F.size("fields")).alias("_pair"),
@@ -93,16 +114,15 @@ def compile_plan(questions: DataFrame, profiles: DataFrame, bank: DataFrame) ->
         "candidate_id", "label_key", F.col("via").alias("_via"), F.col("text").alias("_text"),
         F.col("option_preference").alias("_prefs"), F.col("sensitive").alias("_sensitive"))
     a = (a.join(p, "candidate_id", "left").join(answers, ["candidate_id", "label_key"], "left")
-         .withColumn("_want", T.profile_field_for("label_key"))
          .withColumn("_value", T.blank_to_null(F.try_element_at("_values", F.col("_want")))))
     prefs = F.coalesce("_prefs", F.when(F.coalesce("_text", F.lit("")) != "", F.array("_text")))
-    a = (a.withColumn("_profile_option", F.when(F.col("_value").isNotNull(),
-                                                match_option(F.array("_value"), "options")))
-         .withColumn("_bank_option", match_option(prefs, "options")))
-
     key, kind = F.col("label_key"), F.col("kind")
     letter = key.contains("cover letter")
     select = kind.isin("single_select", "multi_select")
+    # One option match per field: the profile's value if there is one, else the stored answer.
+    wanted = F.when(select & F.col("_people").isNull(),
+                    F.coalesce(F.when(F.col("_value").isNotNull(), F.array("_value")), prefs))
+    a = a.withColumn("_option", F.when(wanted.isNotNull(), match_option(wanted, "options")))
     n_options = F.coalesce(F.size("options"), F.lit(0))
     has_bank = F.col("_via").isNotNull()
     sensitive = F.coalesce("_sensitive", F.lit(False))
@@ -120,31 +140,36 @@ def compile_plan(questions: DataFrame, profiles: DataFrame, bank: DataFrame) ->
         .otherwise(act("unresolved", reason="no document on file"))
     no_choices = F.when(n_options == 0, "choices unknown").otherwise("no option matches")
     profile_select = F.when(
-        F.col("_profile_option").isNull(), act("user", F.col("_value"), reason=no_choices)
-    ).otherwise(act("profile", F.col("_profile_option.label"), F.col("_profile_option.value")))
+        F.col("_option").isNull(), act("user", F.col("_value"), reason=no_choices)
+    ).otherwise(act("profile", F.col("_option.label"), F.col("_option.value")))
     bank_select = F.when(
-        F.col("_bank_option").isNull(), act("user", reason=no_choices)
-    ).when(sensitive & (F.col("_bank_option.via") == "substring"),
-           act("user", F.col("_bank_option.label"), reason="uncertain option")
-           ).otherwise(act("bank", F.col("_bank_option.label"), F.col("_bank_option.value")))
-
+        F.col("_option").isNull(), act("user", reason=no_choices)
+    ).when(sensitive & (F.col("_option.via") == "substring"),
+           act("user", F.col("_option.label"), reason="uncertain option")
+           ).otherwise(act("bank", F.col("_option.label"), F.col("_option.value")))
+
+    # Fields without an action: hidden ones, and optional profile fields left blank.  Tested
+    # apart from the ladder, so that the filter does not work the whole ladder out as well.
+    attachment = F.col("_pair") | (kind == "file") | (F.col("answerability") == "file")
+    inert = (kind == "unknown") & F.col("field_name").rlike(V.INERT_FIELD) & ~F.col("_pair")
+    left_blank = (~attachment & F.col("_value").isNull() & ~F.col("required")
+                  & F.col("_want").isNotNull())
+    a = a.where(F.col("_people").isNotNull() | ~(inert | left_blank))
     action = (
         F.when(F.col("_people").isNotNull(), act("user", reason=F.col("_people")))
-        .when((kind == "unknown") & F.col("field_name").rlike(V.INERT_FIELD) & ~F.col("_pair"), None)
         .when((F.col("_pair") | (kind == "file")) & letter, act("generated", reason="letter"))
-        .when(F.col("_pair") | (kind == "file") | (F.col("answerability") == "file"), attach)
+        .when(attachment, attach)
         .when(F.col("_value").isNotNull(),
               F.when(select, profile_select).otherwise(act("profile", F.col("_value"))))
-        .when(~F.col("required") & F.col("_want").isNotNull(), None)
         .when(has_bank & sensitive & (F.col("_via") == "pattern"),
               act("user", reason="legal question in other words"))
         .when(has_bank & select, bank_select)
         .when(has_bank & (F.coalesce(bank_text, F.lit("")) != ""), act("bank", bank_text))
         .when(F.col("answerability") == "generated", act("generated", reason="writing"))
-        .when(key.rlike(V.FOLLOW_UP_QUESTION), act("user", reason="follow-up"))
+        .when(F.col("_follow_up"), act("user", reason="follow-up"))
         .otherwise(act("unresolved", reason=F.when(
             F.col("answerability") == "bank", "no saved answer").otherwise("not on the profile"))))
-    return (a.withColumn("_a", action).where(F.col("_a").isNotNull())
+    return (a.withColumn("_a", action)
             .select("candidate_id", "posting_id", "position", "field_no", "label", "label_key",
                     "required", "answerability", "field_name", "kind",
                     F.col("_a.source").alias("source"), F.col("_a.value").alias("value"),
