@@ -202,7 +202,7 @@ _PROP = """rw AS (SELECT text AS original, CASE WHEN l_discount < 0.02 THEN ' '
 # The proposals are built, so which objections they meet is known from their parts.
 _KINDS = """concat_ws(',', CASE WHEN l_discount >= 0.03 AND l_discount < 0.05 AND l_linestatus = 'F' AND l_quantity <> 12 THEN 'dropped-number' END,
     CASE WHEN l_discount >= 0.03 AND l_discount < 0.05 THEN 'escalation' END,
-    CASE WHEN (l_discount >= 0.03 AND l_discount < 0.05) OR (l_discount >= 0.05 AND l_discount < 0.07) THEN 'inflated' END,
+    CASE WHEN (l_discount >= 0.03 AND l_discount < 0.05 AND l_returnflag <> 'R') OR (l_discount >= 0.05 AND l_discount < 0.07) THEN 'inflated' END,
     CASE WHEN (l_discount >= 0.03 AND l_discount < 0.05) OR (l_discount >= 0.05 AND l_discount < 0.07 AND l_linestatus IN ('F', 'O')) THEN 'new-entity' END,
     CASE WHEN l_discount >= 0.03 AND l_discount < 0.05 THEN 'new-number' END)"""
 

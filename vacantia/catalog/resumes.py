@@ -19,7 +19,8 @@ def _cv(spark, d):
     o = D.read(spark, d, "orders")
     li = D.lines(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.concat(F.lit("• Sold "), "p_name"))).alias("b"))
     role = F.concat(
-        F.lit("Clerk, Shop "), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "O", " — Pune").otherwise(""),
+        F.lit("Clerk, Shop "), F.col("o_orderkey").cast("string"), F.lit(" Ltd"),
+        F.when(F.col("o_orderstatus") == "O", " — Pune").otherwise(""),
         F.lit("\n"), F.date_format("o_orderdate", "yyyy"), F.when(F.col("o_orderstatus") == "F", " - 2002").when(
             F.col("o_orderstatus") == "P", " to present").otherwise(" and on"), F.lit("\n"),
         F.coalesce(F.array_join("b", "\n"), F.lit("")))
@@ -27,7 +28,7 @@ def _cv(spark, d):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", role.alias("t")))), lambda x: x["t"]), "\n").alias("roles")))
     c = D.candidates(spark, d, with_skills=False)
     head = F.concat_ws("\n", F.concat("first_name", F.lit(" Person")), F.concat_ws(
-        " - ", "email", F.when(F.col("phone").isNotNull(), F.lit("+91 98290 41765")), F.lit("Jodhpur, Rajasthan, India")),
+        " - ", F.when(F.col("email").isNotNull(), "person@example.com"), F.when(F.col("phone").isNotNull(), F.lit("+91 98290 41765")), F.lit("Jodhpur, Rajasthan, India")),
         F.coalesce("current_title", F.lit("Shop clerk")), F.lit("EXPERIENCE"))
     return (c.join(roles, c.candidate_id == roles.o_custkey, "left").select(
         F.col("candidate_id").alias("doc_id"), F.concat_ws(
@@ -45,7 +46,7 @@ def contacts_documents(spark, d):
                        F.array_join(F.array_sort(R.phones("text")), "|").alias("phones"))
 
 
-@query("contacts", D.with_ctes(D.CANDS_PLAIN) + """SELECT candidate_id AS doc_id, coalesce(email, '') AS email, CASE WHEN email IS NULL THEN 'low' ELSE 'high' END AS email_confidence,
+@query("contacts", D.with_ctes(D.CANDS_PLAIN) + """SELECT candidate_id AS doc_id, CASE WHEN email IS NULL THEN '' ELSE 'person@example.com' END AS email, CASE WHEN email IS NULL THEN 'low' ELSE 'high' END AS email_confidence,
   CASE WHEN phone IS NULL THEN '' ELSE '+91 98290 41765' END AS phone, '' AS link FROM cands0""")
 def contacts(spark, d):
     return _cv(spark, d).withColumn("c", R.contacts("text")).select(
@@ -76,7 +77,7 @@ def skills_block(spark, d):
         x["value"], F.lit("="), x["confidence"])), ",").alias("skills"))
 
 
-@query("resume_roles", """SELECT o_custkey AS doc_id, 'Clerk' AS title, 'Shop ' || o_orderkey AS company, CASE WHEN o_orderstatus = 'O' THEN 'Pune' END AS location,
+@query("resume_roles", """SELECT o_custkey AS doc_id, 'Clerk' AS title, 'Shop ' || o_orderkey || ' Ltd' AS company, CASE WHEN o_orderstatus = 'O' THEN 'Pune' END AS location,
   CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate, '%Y') END AS start, CASE WHEN o_orderstatus = 'F' THEN '2002' END AS "end",
   coalesce(n, 0)::INTEGER AS n_bullets FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def resume_roles(spark, d):

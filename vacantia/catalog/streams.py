@@ -1 +1,111 @@
+"""The streaming jobs over the given tables: X1-X7, each run to the end of its source."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from vacantia.catalog import tables as D
+from vacantia.catalog.registry import query
+from vacantia.catalog.searching import _ELIG, _MATCH, _REG, _TOKENS, _VOCAB, _rules
+from vacantia.operators import requests as R
+from vacantia.session import shared_dir
+from vacantia.streaming import jobs as J
+
+
+def _stream(spark, d, name):
+    """A table of the folder as a file stream; times with the session's zone."""
+    schema = D.read(spark, d, name).schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
+
+
+def _paths(spark):
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/checkpoint"
+
+
+def _finish(spark, stream, schema):
+    J.use_rocksdb(spark)
+    out, ck = _paths(spark)
+    J.run_to_end(stream, out, ck)
+    return spark.read.schema(schema).parquet(out)
+
+
+STORE = ("external_id STRING, title STRING, posted_at TIMESTAMP_NTZ, closed_at TIMESTAMP, first_seen_at TIMESTAMP, "
+         "fetched_at TIMESTAMP, form_fetched_at TIMESTAMP, form_readable BOOLEAN")
+
+
+@query("stream_upsert", """SELECT o_orderpriority AS board, o_orderkey::VARCHAR AS external_id, o_orderstatus AS title, false AS closed FROM orders
+  WHERE o_orderpriority <> '5-LOW'""")
+def stream_upsert(spark, d):
+    """X1 over the orders as board snapshots; one board is never reached."""
+    store, ck = _paths(spark)
+    null = F.lit(None)
+    snap = _stream(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("board"), F.col("o_orderkey").cast("string").alias("external_id"), F.col("o_orderstatus").alias("title"),
+        F.col("o_orderdate").alias("posted_at"), null.cast("timestamp").alias("form_fetched_at"), null.cast("boolean").alias("form_readable"),
+        (F.col("o_orderpriority") != "5-LOW").alias("reached"), F.lit("2001-08-02").cast("timestamp").alias("fetched"))
+    J.run_batches(snap, J.upsert_batch(store, STORE), ck)
+    return J.current_postings(spark, store, STORE).select(
+        "board", "external_id", "title", F.col("closed_at").isNotNull().alias("closed"))
+
+
+@query("stream_first_seen", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def stream_first_seen(spark, d):
+    s = J.first_seen(_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "60 days")
+    out = _finish(spark, s.select("user_id", "event_type", "ts"), "user_id BIGINT, event_type STRING, ts TIMESTAMP")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def _app_stream(spark, d):
+    e = _stream(spark, d, "events")
+    status = F.create_map(*[F.lit(x) for kv in D._STATUS.items() for x in kv])
+    return e.where(F.col("event_type") != "signup").select(
+        "event_id", "ts", F.col("user_id").alias("candidate_id"), F.get_json_object("props", "$.k").alias("posting_id"),
+        status[F.col("event_type")].alias("status"))
+
+
+_LIFE = "candidate_id BIGINT, posting_id STRING, status STRING, updated_us BIGINT, sent_us BIGINT, kind STRING"
+
+
+@query("stream_application_state", D.with_ctes(D.APPS) + """SELECT candidate_id, posting_id, status, epoch_us(updated_at) AS updated_us, epoch_us(sent_at) AS sent_us FROM apps""")
+def stream_application_state(spark, d):
+    out = _finish(spark, J.application_lifecycle(_app_stream(spark, d)), _LIFE)
+    return out.where("kind = 'update'").drop("kind")
+
+
+@query("stream_went_quiet", D.with_ctes(D.APPS, "m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM app_events)") + """SELECT candidate_id, posting_id FROM apps, m
+  WHERE status = 'APPLIED' AND date_trunc('millisecond', updated_at) + INTERVAL 14 DAY <= date_trunc('millisecond', wm)""")
+def stream_went_quiet(spark, d):
+    out = _finish(spark, J.application_lifecycle(_app_stream(spark, d)), _LIFE)
+    return out.where("kind = 'quiet'").select("candidate_id", "posting_id")
+
+
+@query("search_alerts", D.with_ctes(D.POSTS, "vis AS (SELECT * FROM posts WHERE posted_at >= TIMESTAMP '2001-07-01')", D.SEARCHES, _TOKENS, _MATCH, _REG, _ELIG)
+       + "SELECT search_id, posting_id FROM found")
+def search_alerts(spark, d):
+    """X5 on the latest arrivals as one micro-batch."""
+    new = D.postings(spark, d).where(F.col("posted_at") >= D.ts("2001-07-01 00:00:00"))
+    return J.search_alerts(new, D.searches(spark, d), D.now(), _rules(spark, d), places=()).select("search_id", "posting_id")
+
+
+@query("stream_conversations")
+def stream_conversations(spark, d):
+    """The same filters as the batch fold (compared in the tests)."""
+    c = _stream(spark, d, "conversations")
+    say = F.array(F.lit("Show me data engineer jobs in Bangalore"), F.lit("only remote ones from this week"),
+                  F.lit("and python roles"), F.lit("start over, senior manager in the US last 10 days"))
+    msg = c.select("conv_id", "turn", F.concat(F.element_at(say, (F.col("turn") % 4 + 1).cast("int")), F.lit(" "), F.col("text")).alias("text"))
+    s = J.conversation_stream(R.parse_requests(msg, None, _VOCAB))
+    return _finish(spark, s, "conv_id BIGINT, turn BIGINT, words STRING, place STRING, workplace STRING, level STRING, company STRING, "
+                             "days STRING, skills STRING, reset BOOLEAN").select("conv_id", "turn", "place", "workplace", "level", "days", "skills", "reset")
+
+
+@query("stream_requests_over_limit", """SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, user_id, count(*) AS n FROM events, (SELECT max(ts) - INTERVAL 1 MINUTE AS wm FROM events)
+  GROUP BY date_trunc('minute', ts), user_id, wm HAVING count(*) > 0 AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= date_trunc('millisecond', wm)""")
+def stream_requests_over_limit(spark, d):
+    s = J.requests_over_limit(_stream(spark, d, "events").select("ts", "user_id"), 0)
+    out = _finish(spark, s, "minute TIMESTAMP, user_id BIGINT, n BIGINT")
+    return out.select(F.unix_micros("minute").alias("minute_us"), "user_id", "n")

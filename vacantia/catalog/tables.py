@@ -194,7 +194,7 @@ def bullets(spark: SparkSession, d: str) -> DataFrame:
         .otherwise("many units of "), "p_name")
     return (lines(spark, d).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderstatus").alias("role_no"),
-                    "o_orderkey", "o_orderdate", "skill", *LINE_ORDER, text.alias("text")))
+                    "o_orderkey", "o_orderdate", "l_orderkey", "p_name", "skill", *LINE_ORDER, text.alias("text")))
 
 
 BULLETS = """bullets AS (SELECT o_custkey AS candidate_id, o_orderstatus AS role_no, o_orderkey, o_orderdate, lines.*,
