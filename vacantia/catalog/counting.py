@@ -18,9 +18,7 @@ from vacantia.session import materialise
 def _line_questions(spark, d):
     """Every line of every text as a question; a line that ends a sentence is required."""
     t = D.text_lines(spark, d)
-    return (t.withColumn("label_key", T.normalise_label("label"))
-            .withColumn("required", F.col("label").endswith("."))
-            .withColumn("answerability", T.classify_question("label_key", F.array(F.lit("short_text")))))
+    return A.label_counts(t.withColumn("required", F.col("label").endswith(".")).withColumn("kinds", F.lit("short_text")))
 
 
 _LQ = f"lq AS (SELECT *, {Q.label_key('label')} AS label_key, label LIKE '%.' AS required FROM tlines)"
@@ -30,13 +28,13 @@ _LQC = f"lc AS (SELECT *, {Q.classify('label_key', chr(39) + 'short_text' + chr(
 @query("question_stats_lines", D.with_ctes(D.TEXT_LINES, _LQ, _LQC) + """SELECT label_key, answerability, count(*) AS n,
   count(*) FILTER (WHERE required) AS n_required FROM lc GROUP BY 1, 2""")
 def question_stats_lines(spark, d):
-    return A.question_stats(_line_questions(spark, d))
+    return A.stats_of_labels(_line_questions(spark, d))
 
 
 @query("common_phrasing_lines", D.with_ctes(D.TEXT_LINES, _LQ) + """SELECT label_key, arg_min(label, (-c, label)) AS label FROM (
   SELECT label_key, label, count(*) AS c FROM lq GROUP BY 1, 2) GROUP BY 1""")
 def common_phrasing_lines(spark, d):
-    return A.common_phrasing(_line_questions(spark, d))
+    return A.phrasing_of_labels(_line_questions(spark, d))
 
 
 _Q = ("q AS (SELECT *, " + Q.label_key("label") + " AS label_key FROM qraw)",
@@ -146,7 +144,7 @@ def reuse_curve(spark, d):
 
 @query("reuse_curve_lines", D.with_ctes(D.TEXT_LINES, _LQ) + _CURVE.format(t="lq"))
 def reuse_curve_lines(spark, d):
-    return A.reuse_curve(_line_questions(spark, d))
+    return A.reuse_curve(D.text_lines(spark, d).withColumn("label_key", T.normalise_label("label")))
 
 
 @query("status_counts", D.with_ctes(D.APPS) + """SELECT candidate_id, count(*) FILTER (WHERE status = 'SAVED') AS saved,

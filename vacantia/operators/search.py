@@ -99,13 +99,13 @@ def eligible_expr() -> Column:
 
     Subtractive, with every null arm written out: an unstated scope, location or
     country never removes a posting, and no candidate country removes nothing.
+    Reads ``bare`` (see ``bare_country_of``), worked out once per posting, not per pair.
     """
     remote = F.coalesce("remote", F.lit(False))
     scope, country = F.col("remote_scope"), F.lower("posting_country")
-    bare = bare_country_of("location")
     open_scope = F.when(
         scope.isNull(),
-        F.col("location").isNull() | ~F.array_contains("other_names", bare)
+        F.col("bare").isNull() | ~F.array_contains("other_names", F.col("bare"))
     ).otherwise(~F.array_contains("excluded_scopes", scope))
     near = remote | F.col("posting_country").isNull() | F.array_contains("own_names", country)
     return F.col("own_names").isNull() | ((~remote | open_scope) & near)
@@ -117,8 +117,10 @@ def eligible(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     Columns read: remote, remote_scope, location, posting_country, candidate_country.
     """
     r = rules.withColumnRenamed("country", "candidate_country")
+    if "bare" not in pairs.columns:
+        pairs = pairs.withColumn("bare", bare_country_of("location"))
     return (pairs.join(r, "candidate_country", "left").where(eligible_expr())
-            .drop("excluded_scopes", "own_names", "other_names"))
+            .drop("excluded_scopes", "own_names", "other_names", "bare"))
 
 
 # ---------------------------------------------------------------- F5 apply_filters
@@ -161,6 +163,10 @@ def _stems(token: Column) -> Column:
     return F.filter(F.array(token, *cut), lambda t: t.isNotNull())
 
 
+def _pair_key(a: Column, b: Column) -> Column:
+    return F.concat(F.lit("pair:"), F.least(a, b), F.lit(" "), F.greatest(a, b))
+
+
 def _posting_keys() -> Column:
     """Every key under which a search can reach this posting."""
     def tag(kind: str, arr: Column) -> Column:
@@ -170,36 +176,60 @@ def _posting_keys() -> Column:
         return tag(kind, F.filter(F.array(c), lambda v: v.isNotNull()))
 
     tokens = F.filter(F.split(F.lower("title"), "[^a-z0-9]+", -1), lambda t: t != "")
+
+    def words(stems: Column) -> Column:
+        pairs = F.flatten(F.transform(stems, lambda a: F.transform(
+            F.filter(stems, lambda b: a < b), lambda b: _pair_key(a, b))))
+        return F.concat(tag("word", stems), pairs)
+
+    stems = F.array_distinct(F.flatten(F.transform(tokens, _stems)))
     work = F.when(F.col("remote"), F.lit("remote"))
     return F.array_distinct(F.concat(
-        tag("skill", F.col("skills")), one("company", F.col("company")),
-        tag("word", F.flatten(F.transform(tokens, _stems))), one("level", F.col("level")),
-        one("work", F.col("workplace")), one("work", work),
+        tag("skill", F.col("skills")), one("company", F.col("company")), T.let(stems, words),
+        one("level", F.col("level")), one("work", F.col("workplace")), one("work", work),
         one("day", F.date_format("posted_at", "yyyy-MM-dd")),
-        one("loc", F.lower("location")), one("country", F.col("country")),
-        F.array(F.lit("any:"))))
+        one("loc", F.lower("location")), one("country", F.col("country")), F.array(F.lit("any:"))))
 
 
 def _search_keys(now: Column) -> Column:
-    """The keys a search looks under: one kind, the most selective it states."""
+    """Per stated part of a search the keys it could look under; "any" when nothing is stated."""
     f = lambda n: F.col("f." + n)
-    run = F.try_element_at(F.filter(F.split(F.lower(F.try_element_at(f("words"), F.lit(1))),
-                                            "[^a-z0-9]+", -1), lambda t: t != ""), F.lit(1))
+    runs = F.filter(F.transform(F.coalesce(f("words"), _strings()), lambda w: F.try_element_at(F.filter(
+        F.split(F.lower(w), "[^a-z0-9]+", -1), lambda t: t != ""), F.lit(1))), lambda t: t.isNotNull())
+    plain = F.array_distinct(F.filter(F.transform(F.coalesce(f("words"), _strings()), lambda w: F.lower(w)),
+                                      lambda w: w.rlike("^[a-z0-9]+$")))
 
     def one(kind: str, c: Column) -> Column:
-        return F.array(F.concat(F.lit(kind + ":"), c))
+        return F.when(c.isNotNull(), F.array(F.array(F.concat(F.lit(kind + ":"), c))))
+
+    def each(kind: str, arr: Column) -> Column:
+        return F.transform(arr, lambda v: F.array(F.concat(F.lit(kind + ":"), v)))
 
-    days = F.transform(
+    pair = F.when(F.size(plain) >= 2, F.array(F.array(_pair_key(
+        F.try_element_at(plain, F.lit(1)), F.try_element_at(plain, F.lit(2))))))
+    days = F.when(f("days").isNotNull(), F.array(F.transform(
         F.sequence(F.to_date(now - F.make_dt_interval(f("days"))), F.to_date(now)),
-        lambda d: F.concat(F.lit("day:"), F.date_format(d, "yyyy-MM-dd")))
-    return (F.when(f("company").isNotNull(), one("company", f("company")))
-            .when(F.size(f("skills")) > 0, one("skill", F.element_at(f("skills"), 1)))
-            .when(run.isNotNull(), one("word", run))
-            .when(f("place").isNotNull(), F.col("_place_keys"))
-            .when(f("days").isNotNull(), days)
-            .when(f("level").isNotNull(), one("level", f("level")))
-            .when(f("workplace").isNotNull(), one("work", f("workplace")))
-            .otherwise(F.array(F.lit("any:"))))
+        lambda d: F.concat(F.lit("day:"), F.date_format(d, "yyyy-MM-dd")))))
+    place = F.when(f("place").isNotNull(), F.array(F.col("_place_keys")))
+    none = F.array().cast("array<array<string>>")
+    parts = F.concat(*[F.coalesce(x, none) for x in (
+        one("company", f("company")), each("skill", f("skills")), pair, each("word", runs), days, place,
+        one("level", f("level")), one("work", f("workplace")))])
+    return T.let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.array(F.lit("any:")))))
+
+
+def _most_selective(searches: DataFrame, postings: DataFrame, now: Column) -> DataFrame:
+    """(search_id, _key): the keys of the part that the fewest postings have, by count."""
+    alts = searches.select("search_id", F.posexplode(_search_keys(now)).alias("_part", "_keys"))
+    wanted = alts.select("search_id", "_part", F.explode_outer("_keys").alias("_key"))
+    slim = postings.select("title", "skills", "company", "level", "workplace", "remote", "posted_at",
+                           "location", "country").select(F.explode(_posting_keys()).alias("_key"))
+    counts = slim.groupBy("_key").agg(F.count("*").alias("_n"))
+    size = (wanted.join(counts, "_key", "left").groupBy("search_id", "_part")
+            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")))
+    best = size.groupBy("search_id").agg(F.min(F.struct("_n", "_part")).alias("_b"))
+    return (alts.join(best.select("search_id", F.col("_b._part").alias("_part")), ["search_id", "_part"])
+            .select("search_id", F.explode("_keys").alias("_key")))
 
 
 def _with_place_keys(searches: DataFrame, postings: DataFrame, places: Sequence) -> DataFrame:
@@ -236,17 +266,18 @@ def _with_place_keys(searches: DataFrame, postings: DataFrame, places: Sequence)
 
 def search_candidates(postings: DataFrame, searches: DataFrame, now: Column,
                       places: Sequence = V.REQUEST_PLACES) -> DataFrame:
-    """(search, posting) rows that pass all filters, with the two title tests as flags.
+    """(search, posting) rows that pass all filters; ``phrase`` tells the stricter title test.
 
-    Both sides meet on one key of the search's most selective part, so no pair is
+    Both sides meet on the keys of the search's most selective part, so no pair is
     built that shares nothing; a search without any part meets every posting,
     because every posting is its answer.  AQE splits the partitions of hot keys.
     """
-    s = (_with_place_keys(searches, postings, places)
-         .withColumn("_key", F.explode(_search_keys(now))))
+    placed = _with_place_keys(searches, postings, places)
+    keys = _most_selective(placed, postings, now)
+    s = placed.join(keys, "search_id")
     p = postings.withColumn("_key", F.explode(_posting_keys()))
     # Search keys decide which posting keys are worth shuffling at all.
-    p = p.join(s.select("_key").distinct(), "_key", "left_semi")
+    p = p.join(keys.select("_key").distinct(), "_key", "left_semi")
     words = F.coalesce(F.col("f.words"), _strings())
     # A place search meets a posting under its country only if not under its location.
     twice = F.startswith("_key", F.lit("country:")) & F.array_contains(
@@ -265,13 +296,15 @@ def search(postings: DataFrame, searches: DataFrame, now: Column,
     the search names a place.  The mode is one aggregate per search joined back,
     so a search with very many hits is never gathered in one task.
     """
+    if rules is not None:
+        postings = postings.withColumn("bare", bare_country_of("location"))
     hits = search_candidates(postings, searches, now, places)
     if rules is not None:
         r = rules.withColumnRenamed("country", "candidate_country")
         hits = (hits.withColumn("posting_country", F.col("country"))
                 .join(r, "candidate_country", "left")
                 .where(F.col("f.place").isNotNull() | eligible_expr())
-                .drop("posting_country", "excluded_scopes", "own_names", "other_names"))
+                .drop("posting_country", "excluded_scopes", "own_names", "other_names", "bare"))
     n_words = F.size(F.coalesce(F.col("f.words"), _strings()))
     # With fewer than two words the phrase is the word, so only the others need the mode.
     mode = (hits.where(n_words >= 2).groupBy("search_id").agg(F.max("phrase").alias("any_phrase")))

@@ -20,6 +20,31 @@ def question_stats(questions: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if("required").alias("n_required"))
 
 
+def label_counts(questions: DataFrame) -> DataFrame:
+    """Raw questions counted per distinct wording, with the wording's key and class.
+
+    The patterns then run once per wording and not once per question; the sums over
+    this table give A1 and A2 (``stats_of_labels``, ``phrasing_of_labels``).
+    """
+    per = questions.groupBy("label", "kinds").agg(
+        F.count("*").alias("n"), F.count_if("required").alias("n_required"))
+    return (per.withColumn("label_key", T.normalise_label("label"))
+            .withColumn("answerability", T.classify_question("label_key", F.split("kinds", ","))))
+
+
+def stats_of_labels(labels: DataFrame) -> DataFrame:
+    """A1 from ``label_counts``."""
+    return labels.groupBy("label_key", "answerability").agg(
+        F.sum("n").alias("n"), F.sum("n_required").alias("n_required"))
+
+
+def phrasing_of_labels(labels: DataFrame) -> DataFrame:
+    """A2 from ``label_counts``."""
+    per = labels.groupBy("label_key", "label").agg(F.sum("n").alias("c"))
+    return per.groupBy("label_key").agg(
+        F.min_by("label", F.struct((-F.col("c")).alias("c"), "label")).alias("label"))
+
+
 def question_reach(questions: DataFrame) -> DataFrame:
     """A1 beside it: distinct postings that ask a key (the other count of Q6)."""
     return (questions.select("label_key", "posting_id").distinct()
