@@ -11,12 +11,14 @@ from vacantia.catalog.registry import query
 from vacantia.functions import text as T
 from vacantia.operators import requests as R
 from vacantia.operators import search as S
+from vacantia.session import materialise
 
 _NOW = "TIMESTAMP '2001-08-02'"
 
 
 def _visible(spark, d):
-    return S.visible_postings(D.postings(spark, d), D.boards(spark, d))
+    """The visible postings as a stored table, because a search reads them several times."""
+    return materialise(S.visible_postings(D.postings(spark, d), D.boards(spark, d)))
 
 
 _VIS = "vis AS (SELECT * FROM posts WHERE closed_at IS NULL AND board <> '3-MEDIUM')"

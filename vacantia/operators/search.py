@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions import text as T
 from vacantia.functions.text import col
+from vacantia.session import spread
 
 
 def _strings() -> Column:
@@ -140,12 +141,12 @@ def filters_expr(now: Column, places: Sequence = V.REQUEST_PLACES, prefix: str =
     since = now - F.make_dt_interval(f("days"))
     have = F.coalesce("skills", _strings())
     return (
-        (F.size(F.array_except(F.coalesce(f("skills"), _strings()), have)) == 0)
-        & (f("place").isNull() | in_place)
-        & (work.isNull() | F.when(work == "remote", remote_ok).otherwise(has_work))
-        & (f("level").isNull() | F.coalesce(F.col("level") == f("level"), F.lit(False)))
+        (f("level").isNull() | F.coalesce(F.col("level") == f("level"), F.lit(False)))
         & (f("company").isNull() | F.coalesce(F.col("company") == f("company"), F.lit(False)))
-        & (f("days").isNull() | F.coalesce(F.col("posted_at") >= since, F.lit(False))))
+        & (f("days").isNull() | F.coalesce(F.col("posted_at") >= since, F.lit(False)))
+        & (work.isNull() | F.when(work == "remote", remote_ok).otherwise(has_work))
+        & (F.size(F.array_except(F.coalesce(f("skills"), _strings()), have)) == 0)
+        & (f("place").isNull() | in_place))
 
 
 def apply_filters(pairs: DataFrame, now: Column, places: Sequence = V.REQUEST_PLACES) -> DataFrame:
@@ -167,25 +168,28 @@ def _pair_key(a: Column, b: Column) -> Column:
     return F.concat(F.lit("pair:"), F.least(a, b), F.lit(" "), F.greatest(a, b))
 
 
+def _title_stems() -> Column:
+    """Title words as they stand and without their endings; a plain word matches by equality."""
+    tokens = F.filter(F.split(F.lower("title"), "[^a-z0-9]+", -1), lambda t: t != "")
+    return F.array_distinct(F.flatten(F.transform(tokens, _stems)))
+
+
 def _posting_keys() -> Column:
-    """Every key under which a search can reach this posting."""
+    """Every key under which a search can reach this posting (reads ``_stems``)."""
     def tag(kind: str, arr: Column) -> Column:
         return F.transform(F.coalesce(arr, _strings()), lambda v: F.concat(F.lit(kind + ":"), v))
 
     def one(kind: str, c: Column) -> Column:
         return tag(kind, F.filter(F.array(c), lambda v: v.isNotNull()))
 
-    tokens = F.filter(F.split(F.lower("title"), "[^a-z0-9]+", -1), lambda t: t != "")
-
     def words(stems: Column) -> Column:
         pairs = F.flatten(F.transform(stems, lambda a: F.transform(
             F.filter(stems, lambda b: a < b), lambda b: _pair_key(a, b))))
         return F.concat(tag("word", stems), pairs)
 
-    stems = F.array_distinct(F.flatten(F.transform(tokens, _stems)))
     work = F.when(F.col("remote"), F.lit("remote"))
     return F.array_distinct(F.concat(
-        tag("skill", F.col("skills")), one("company", F.col("company")), T.let(stems, words),
+        tag("skill", F.col("skills")), one("company", F.col("company")), words(F.col("_stems")),
         one("level", F.col("level")), one("work", F.col("workplace")), one("work", work),
         one("day", F.date_format("posted_at", "yyyy-MM-dd")),
         one("loc", F.lower("location")), one("country", F.col("country")), F.array(F.lit("any:"))))
@@ -218,18 +222,27 @@ def _search_keys(now: Column) -> Column:
     return T.let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.array(F.lit("any:")))))
 
 
-def _most_selective(searches: DataFrame, postings: DataFrame, now: Column) -> DataFrame:
-    """(search_id, _key): the keys of the part that the fewest postings have, by count."""
+def _most_selective(searches: DataFrame, postings: DataFrame, now: Column,
+                    rows_per_salt: int) -> DataFrame:
+    """(search_id, _key, _salts): the keys of the part that the fewest postings have, by count.
+
+    ``_salts`` is the number of pieces a key's postings are cut into, so that a key
+    many postings share is spread over as many tasks.
+    """
     alts = searches.select("search_id", F.posexplode(_search_keys(now)).alias("_part", "_keys"))
     wanted = alts.select("search_id", "_part", F.explode_outer("_keys").alias("_key"))
-    slim = postings.select("title", "skills", "company", "level", "workplace", "remote", "posted_at",
+    slim = postings.select("_stems", "skills", "company", "level", "workplace", "remote", "posted_at",
                            "location", "country").select(F.explode(_posting_keys()).alias("_key"))
     counts = slim.groupBy("_key").agg(F.count("*").alias("_n"))
-    size = (wanted.join(counts, "_key", "left").groupBy("search_id", "_part")
-            .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")))
-    best = size.groupBy("search_id").agg(F.min(F.struct("_n", "_part")).alias("_b"))
-    return (alts.join(best.select("search_id", F.col("_b._part").alias("_part")), ["search_id", "_part"])
-            .select("search_id", F.explode("_keys").alias("_key")))
+    sized = wanted.join(counts, "_key", "left")
+    best = (sized.groupBy("search_id", "_part").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"),
+        F.collect_list(F.when(F.col("_n") > 0, F.struct("_key", "_n"))).alias("_sized"))
+        .groupBy("search_id").agg(F.min_by("_sized", F.struct("_n", "_part")).alias("_sized")))
+    # Keys without a posting lead nowhere and drop out here.
+    return best.select("search_id", F.explode("_sized").alias("_k")).select(
+        "search_id", F.col("_k._key").alias("_key"),
+        F.ceil(F.col("_k._n") / rows_per_salt).cast("int").alias("_salts"))
 
 
 def _with_place_keys(searches: DataFrame, postings: DataFrame, places: Sequence) -> DataFrame:
@@ -265,27 +278,38 @@ def _with_place_keys(searches: DataFrame, postings: DataFrame, places: Sequence)
 
 
 def search_candidates(postings: DataFrame, searches: DataFrame, now: Column,
-                      places: Sequence = V.REQUEST_PLACES) -> DataFrame:
+                      places: Sequence = V.REQUEST_PLACES, rows_per_salt: int = 50_000) -> DataFrame:
     """(search, posting) rows that pass all filters; ``phrase`` tells the stricter title test.
 
     Both sides meet on the keys of the search's most selective part, so no pair is
     built that shares nothing; a search without any part meets every posting,
-    because every posting is its answer.  AQE splits the partitions of hot keys.
+    because every posting is its answer.  Keys that many postings share are salted
+    by their counted size.
     """
+    postings = postings.withColumn("_stems", _title_stems())
     placed = _with_place_keys(searches, postings, places)
-    keys = _most_selective(placed, postings, now)
-    s = placed.join(keys, "search_id")
-    p = postings.withColumn("_key", F.explode(_posting_keys()))
+    keys = _most_selective(placed, postings, now, rows_per_salt)
+    s = spread(placed.join(keys, "search_id").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"), "search_id", "_key", "_salt")
     # Search keys decide which posting keys are worth shuffling at all.
-    p = p.join(keys.select("_key").distinct(), "_key", "left_semi")
+    p = (postings.withColumn("_key", F.explode(_posting_keys()))
+         .join(keys.select("_key", "_salts").distinct(), "_key")
+         .withColumn("_salt", F.pmod(F.xxhash64("posting_id"), "_salts").cast("int")).drop("_salts"))
     words = F.coalesce(F.col("f.words"), _strings())
+    # Plain words are compared with the title's stems; only words such as "c++" need a pattern.
+    plain = lambda w: w.rlike("^[a-z0-9]+$")
+    s = (s.withColumn("_plain", F.filter(words, plain))
+         .withColumn("_odd", F.filter(words, lambda w: ~plain(w))))
+    all_words = ((F.size(F.array_except("_plain", "_stems")) == 0)
+                 & ((F.size("_odd") == 0) | T.title_matches("title", F.col("_odd"))))
     # A place search meets a posting under its country only if not under its location.
     twice = F.startswith("_key", F.lit("country:")) & F.array_contains(
         "_place_keys", F.concat(F.lit("loc:"), F.lower("location")))
-    hits = (s.join(p, "_key").where(~F.coalesce(twice, F.lit(False)) & filters_expr(now, places))
-            .drop("_key", "_place_keys"))
-    return (hits.where(T.title_matches("title", words))
-            .withColumn("phrase", T.title_has_phrase("title", words)))
+    hits = (s.join(p, ["_key", "_salt"])
+            .where(all_words & filters_expr(now, places) & ~F.coalesce(twice, F.lit(False)))
+            .drop("_key", "_salt", "_place_keys", "_plain", "_odd", "_stems"))
+    return hits.withColumn("phrase", F.when(F.size(words) < 2, True)
+                           .otherwise(T.title_has_phrase("title", words)))
 
 
 def search(postings: DataFrame, searches: DataFrame, now: Column,

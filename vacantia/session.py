@@ -37,6 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` over as many partitions as shuffles have, by the hash of ``cols``.
+
+    For the small side of a join that gives many rows per row: AQE merges partitions
+    by their bytes and would leave such a side in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
