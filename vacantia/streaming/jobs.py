@@ -30,8 +30,9 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 # ---------------------------------------------------------------- X1 stream_upsert
-def current_postings(spark: SparkSession, store: str, schema: str) -> DataFrame:
-    """The store's present rows: per board those of its latest batch.
+def current_postings(spark: SparkSession, store: str, schema: str,
+                     before: int | None = None) -> DataFrame:
+    """The store's rows, per board those of its latest batch (or the latest before one).
 
     A batch writes only the boards it touches, under ``batch=…/board=…``; the latest
     batch per board is read from the folder names, so older files are never opened.
@@ -42,6 +43,8 @@ def current_postings(spark: SparkSession, store: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema + ", batch BIGINT, board STRING")
+    if before is not None:
+        every = every.where(F.col("batch") < before)
     latest = every.groupBy("board").agg(F.max("batch").alias("batch"))
     return every.join(latest, ["board", "batch"])
 
@@ -60,7 +63,8 @@ def upsert_batch(store: str, schema: str) -> Callable[[DataFrame, int], None]:
         # Several reads of one board in a batch: the latest one counts.
         last = snap.groupBy("board").agg(F.max("fetched").alias("fetched"))
         rows = rows.join(last, ["board", "fetched"])
-        before = current_postings(spark, store, schema).where(F.col("batch") < batch_id).drop("batch")
+        # A retried batch must start from the state before its own first try.
+        before = current_postings(spark, store, schema, batch_id).drop("batch")
         touched = before.join(last.select("board"), "board", "left_semi")
         now = F.current_timestamp()
         names = [c for c in rows.columns if c not in ("fetched", "reached")]
