@@ -71,8 +71,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**0 ... base**(n-1) modulo 2**64 and their inverses; kept and grown."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        n = 1 << (n - 1).bit_length()
+        n = max(1 << 16, n + n // 8)
         up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
         for out, b in ((up, base), (down, pow(base, -1, 2**64))):
             out[0] = 1

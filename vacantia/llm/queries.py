@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, lines, packing, quality, secrets, sharding, substring
+from vacantia.llm import bpe, lines, packing, quality, secrets, sharding, substring, topk
 from vacantia.llm.common import table
 
 
@@ -47,10 +47,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_substring_dedup, op3_bpe, op4_best_fit_packing, op5_sharding, op6_line_dedup, op10_secret_scan)}
+    op1_quality_rules, op2_substring_dedup, op3_bpe, op4_best_fit_packing, op5_sharding, op6_line_dedup, op9_exact_top_k, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

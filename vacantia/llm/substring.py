@@ -3,7 +3,7 @@
 Every window of ``width`` words gets a Rabin-Karp hash; windows are counted by hash over the whole
 input, and every window but the first of its hash (smallest doc_id, then start) is removed.
 
-What is shuffled is one packed row per (slice of the input, bucket).  A slice sends each of its
+What is shuffled is one packed row per (slice of the input, bucket), and back per slice.  A slice sends each of its
 window hashes once, with its first place there; further places in the slice are known to be repeats
 on the spot.  So a passage that a third of all documents share costs one entry per slice, not per
 document.  A second, independent hash chooses the bucket, and the number of buckets grows with the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import chunks, id_key, mix, partitions, rolling, starts_of, text_key, word_hashes
 
 FIRST, SECOND = 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-PACKED = "bucket int, local boolean, ids binary, keys binary, counts binary, starts binary, hashes binary"
+PACKED = "bucket int, slice bigint, local boolean, ids binary, keys binary, counts binary, starts binary, hashes binary"
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -46,12 +46,12 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def packed(bucket: int, local: bool, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray, hashes: np.ndarray | None) -> tuple:
+def packed(bucket: int, slice_: int, local: bool, ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray, hashes: np.ndarray | None) -> tuple:
     """Entries in the order of their rows; starts as steps within the row."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     steps = np.diff(start, prepend=0)
     steps[first] = start[first]
-    return (bucket, local, ids[row[first]].tobytes(), keys[row[first]].tobytes(), squeeze(np.diff(first, append=len(row))), squeeze(steps),
+    return (bucket, slice_, local, ids[row[first]].tobytes(), keys[row[first]].tobytes(), squeeze(np.diff(first, append=len(row))), squeeze(steps),
             b"" if hashes is None else hashes.tobytes())
 
 
@@ -66,7 +66,7 @@ def unpacked(ids: bytes, keys: bytes, counts: bytes, starts: bytes) -> tuple[np.
 
 
 def send(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[list[tuple]]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", 2 << 20):
         order = np.argsort(batch["_id"].to_numpy(), kind="stable")
         batch = batch.take(pa.array(order))
         ids, keys = batch["_id"].to_numpy(), batch["_key"].to_numpy()
@@ -87,53 +87,79 @@ def send(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterato
         first = order[np.flatnonzero(np.diff(group, prepend=-1))][group]
         again = (ids[row[order]] != ids[row[first]]) | (start[order] != start[first])
         out = []
+        own = int(ids[0] * 31 + keys[0])  # ties what comes back to this slice; two slices of one number do no harm
         here = np.sort(order[again])
         if len(here):
-            out.append(packed(int(bucket[here[0]]), True, ids, keys, row[here], start[here], None))
+            out.append(packed(int(bucket[here[0]]), own, True, ids, keys, row[here], start[here], None))
         rest = np.sort(order[~again])
         rest = rest[np.argsort(bucket[rest], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[rest], prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(rest)], strict=True):
             x = rest[a:b]
-            out.append(packed(int(bucket[x[0]]), False, ids, keys, row[x], start[x], h[x]))
+            out.append(packed(int(bucket[x[0]]), own, False, ids, keys, row[x], start[x], h[x]))
         yield out
 
 
 def repeats(group: pa.Table) -> pa.Table:
-    """Of one bucket: the starts of each row's windows that are not the first of their hash."""
-    parts = []
+    """Of one bucket: per row that a slice sent, its windows that are not the first of their hash."""
+    parts, hashes, slices = [], [], group["slice"].to_numpy()
     at = 0
-    hashes = []
-    for local, ids, keys, counts, starts, h in zip(*(group[c].to_pylist() for c in ("local", "ids", "keys", "counts", "starts", "hashes")), strict=True):
+    for n, (local, ids, keys, counts, starts, h) in enumerate(zip(*(group[c].to_pylist() for c in ("local", "ids", "keys", "counts", "starts", "hashes")), strict=True)):
         i, k, row, start = unpacked(ids, keys, counts, starts)
-        parts.append((i, k, row + at, start, np.full(len(row), local)))
+        parts.append((i, k, row + at, start, np.full(len(row), local), np.full(len(row), n, np.int32)))
         hashes.append(np.zeros(len(row), np.uint64) if local else np.frombuffer(h, np.uint64))
         at += len(i)
-    ids, keys, row, start, local = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, keys, row, start, local, sent_in = (np.concatenate(x) for x in zip(*parts, strict=True))
     h = np.concatenate(hashes)
+    del parts, hashes
     sent = np.flatnonzero(~local)
-    order = sent[np.argsort(h[sent], kind="stable")]
+    order = sent[np.argsort(h[sent])]
     same = h[order][1:] == h[order][:-1]
-    shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    shared = shared[np.lexsort((start[shared], ids[row[shared]], h[shared]))]
-    group_of = np.cumsum(np.diff(h[shared], prepend=np.uint64(0)) != 0) if len(shared) else shared
-    lead = np.flatnonzero(np.diff(group_of, prepend=-1)) if len(shared) else shared
-    first = shared[np.repeat(lead, np.diff(lead, append=len(shared)))] if len(shared) else shared
-    later = shared[(ids[row[shared]] != ids[row[first]]) | (start[shared] != start[first])]
-    gone = np.concatenate([np.flatnonzero(local), later])
-    gone = gone[np.lexsort((start[gone], row[gone]))]
-    cuts = np.flatnonzero(np.diff(row[gone], prepend=-1))
-    offsets = pa.array(np.append(cuts, len(gone)).astype(np.int32))
-    return pa.table({"_id": pa.array(ids[row[gone[cuts]]], pa.int64()), "_key": pa.array(keys[row[gone[cuts]]], pa.int64()),
-                     "starts": pa.ListArray.from_arrays(offsets, pa.array(start[gone].astype(np.int32), pa.int32()))})
+    shared = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order
+    later = shared
+    if len(shared):
+        shared = shared[np.lexsort((start[shared], ids[row[shared]], h[shared]))]
+        lead = np.flatnonzero(np.concatenate([[True], h[shared][1:] != h[shared][:-1]]))
+        first = shared[np.repeat(lead, np.diff(lead, append=len(shared)))]
+        later = shared[(ids[row[shared]] != ids[row[first]]) | (start[shared] != start[first])]
+    gone = np.sort(np.concatenate([np.flatnonzero(local), later]))  # entries stand in the order of sender, row, start
+    out = []
+    for part in np.split(gone, np.flatnonzero(np.diff(sent_in[gone])) + 1) if len(gone) else []:
+        out.append(packed(0, int(slices[sent_in[part[0]]]), True, ids, keys, row[part], start[part], None)[1:7])
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, REPLY_KINDS, strict=True)], names=REPLY_NAMES)
+
+
+REPLY = "slice bigint, local boolean, ids binary, keys binary, counts binary, starts binary"
+REPLY_NAMES = [c.split()[0] for c in REPLY.split(", ")]
+REPLY_KINDS = (pa.int64(), pa.bool_(), *[pa.binary()] * 4)
+
+
+def merged(width: int):
+    """Of one slice: all its windows to remove, as maximal intervals per document."""
+    def run(group: pa.Table) -> pa.Table:
+        parts = [unpacked(*x) for x in zip(*(group[c].to_pylist() for c in ("ids", "keys", "counts", "starts")), strict=True)]
+        ids, keys, start = (np.concatenate([p[0][p[2]] for p in parts]), np.concatenate([p[1][p[2]] for p in parts]), np.concatenate([p[3] for p in parts]))
+        order = np.lexsort((start, keys, ids))
+        ids, keys, start = ids[order], keys[order], start[order]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
+        begin = np.flatnonzero(new | np.concatenate([[True], np.diff(start) > width]))
+        end = np.append(begin[1:], len(start)) - 1
+        cuts = np.flatnonzero(new[begin])
+        offsets = pa.array(np.append(cuts, len(begin)).astype(np.int32))
+        first = begin[cuts]
+        return pa.table({"_id": pa.array(ids[first]), "_key": pa.array(keys[first]),
+                         "begins": pa.ListArray.from_arrays(offsets, pa.array(start[begin].astype(np.int32))),
+                         "ends": pa.ListArray.from_arrays(offsets, pa.array((start[end] + width).astype(np.int32)))})
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, width: int = 20, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """(_id, _key, starts): windows to remove, several rows per document."""
+    """(_id, _key, begins, ends): the words to remove, as intervals."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // bucket_bytes))
     names = [c.split()[0] for c in PACKED.split(", ")]
-    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 5)
+    kinds = (pa.int32(), *REPLY_KINDS, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in send(batches, width, buckets):
@@ -141,23 +167,16 @@ def repeated_windows(docs: DataFrame, width: int = 20, bucket_bytes: int = 16 <<
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at:at + 64], strict=True), kinds, strict=True)], names=names)
 
     return (docs.select(id_key().alias("_id"), text_key().alias("_key"), "text").mapInArrow(run, PACKED)
-            .groupBy("bucket").applyInArrow(repeats, "_id bigint, _key bigint, starts array<int>"))
-
-
-def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of words that the windows cover: begins and ends (exclusive)."""
-    starts = np.unique(starts)
-    if not len(starts):
-        return starts, starts
-    cut = np.flatnonzero(np.diff(starts) > width)
-    return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + width
+            .groupBy("bucket").applyInArrow(repeats, REPLY)
+            .groupBy("slice").applyInArrow(merged(width), "_id bigint, _key bigint, begins array<int>, ends array<int>"))
 
 
 def dedup(docs: DataFrame, width: int = 20, bucket_bytes: int = 16 << 20, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``texts`` also the kept words and the intervals."""
-    gone = repeated_windows(docs, width, bucket_bytes).groupBy("_id", "_key").agg(F.flatten(F.collect_list("starts")).alias("_gone"))
+    gone = repeated_windows(docs, width, bucket_bytes).groupBy("_id", "_key").agg(
+        F.flatten(F.collect_list("begins")).alias("_begins"), F.flatten(F.collect_list("ends")).alias("_ends"))
     d = docs.select("doc_id", "text", id_key().alias("_i"), text_key().alias("_k"))
-    d = d.join(gone, (d["_i"] == gone["_id"]) & (d["_k"] == gone["_key"]), "left").select("doc_id", "text", "_gone")
+    d = d.join(gone, (d["_i"] == gone["_id"]) & (d["_k"] == gone["_key"]), "left").select("doc_id", "text", "_begins", "_ends")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     if texts:
         schema += ", kept string, removed array<array<int>>"
@@ -165,17 +184,17 @@ def dedup(docs: DataFrame, width: int = 20, bucket_bytes: int = 16 << 20, texts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             out: list[tuple] = []
-            lists = batch["_gone"]
+            begins, ends = batch["_begins"], batch["_ends"]
             for n, (i, t) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
                 words = (t or "").encode().split()
                 spans: list[list[int]] = []
                 kept = words
-                if lists[n].is_valid:
-                    begins, ends = intervals(lists[n].values.to_numpy(), width)
-                    spans = [[int(a), int(b)] for a, b in zip(begins, ends, strict=True)]
+                if begins[n].is_valid:
                     keep = np.ones(len(words), bool)
-                    for a, b in spans:
+                    for a, b in zip(begins[n].as_py(), ends[n].as_py(), strict=True):
                         keep[a:b] = False
+                    edge = np.flatnonzero(np.diff(keep.astype(np.int8), prepend=1, append=1))
+                    spans = edge.reshape(-1, 2).tolist()
                     kept = list(compress(words, keep))
                 joined = b" ".join(kept)
                 out.append((i, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), *((joined.decode(), spans) if texts else ())))
