@@ -20,11 +20,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vacantia.llm.common import chunks
+from vacantia.llm.common import Recent, chunks
 
 #: Fixed by byte-level vocabularies: how a text is cut into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 300_000
+CACHE = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,7 +63,7 @@ class Codec:
         self.added = added
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.find = regex.compile(PIECES).findall
-        self.most, self.cache = cache, {}
+        self.cache = Recent(cache)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -119,6 +119,8 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         cache, merge = self.cache, self.merge
+        cache.turn()
+        old = cache.old
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 out.append(self.added[part])
@@ -126,11 +128,11 @@ class Codec:
             for piece in self.find(part):
                 ids = cache.get(piece)
                 if ids is None:
-                    ids = merge(piece.encode())
+                    ids = old.get(piece)
+                    if ids is None:
+                        ids = tuple(merge(piece.encode()))
                     if len(piece) <= 64:  # longer ones hardly come again
-                        if len(cache) >= self.most:
-                            cache.clear()
-                        cache[piece] = ids = tuple(ids)
+                        cache[piece] = ids
                 out += ids
         return out
 

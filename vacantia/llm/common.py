@@ -140,3 +140,24 @@ def rolling(words: np.ndarray, width: int, base: int) -> np.ndarray:
 def starts_of(counts: np.ndarray) -> np.ndarray:
     """Where each run begins, for runs of the given lengths one after the other."""
     return np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else np.zeros(0, np.int64)
+
+
+class Recent(dict):
+    """A bounded cache of two generations: what is used stays, what is not is forgotten.
+
+    When ``most`` entries are in, they become the old generation and the one before goes; an
+    old entry that is asked for again moves up.  Forgetting costs time only.
+    """
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import chunks, stored
+from vacantia.llm.common import Recent, chunks, stored
 
-CACHE = 300_000
+CACHE = 400_000
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -40,7 +40,7 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.most, self.cache = cache, {}
+        self.cache = Recent(cache)
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -49,10 +49,8 @@ class WordCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         cache = self.cache
-        new = set().union(*split).difference(cache)
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = set().union(*split)
+        cache.turn()
+        new = set().union(*split).difference(cache).difference(cache.old)
         if new:
             cache.update(self.learn(list(new)))
         return [b"".join(map(cache.__getitem__, words)) for words in split]
