@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import lines, packing, quality, secrets
+from vacantia.llm import lines, neardup, packing, quality, secrets
 from vacantia.llm.common import stored, table
 from vacantia.llm.queries import vocabulary
 
@@ -23,6 +23,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return neardup.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     return secrets.redact(docs)
@@ -33,7 +38,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup),
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
           ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
 
 #: HyperLogLog, near duplicates and the tokenizer are not SQL; the tests compare with a brute-force version.

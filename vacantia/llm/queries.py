@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import bpe, lines, packing, quality, secrets, sharding, substring, topk, warc
+from vacantia.llm import bpe, lines, neardup, packing, quality, secrets, sharding, substring, topk, warc
 from vacantia.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classified(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
@@ -60,5 +64,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_substring_dedup, op3_bpe, op4_best_fit_packing, op5_sharding, op6_line_dedup, op8_warc, op9_exact_top_k, op10_secret_scan)}
+    op1_quality_rules, op2_substring_dedup, op3_bpe, op4_best_fit_packing, op5_sharding, op6_line_dedup, op7_minhash_near_dedup, op8_warc, op9_exact_top_k, op10_secret_scan)}
 ORACLES: dict[str, str] = {}
