@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from vacantia.llm.common import id_key, stored, text_key
 
-EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-
 
 def lines_of(docs: DataFrame, text: str = "text", site: str = "source") -> DataFrame:
     """One row per line that is not blank: row keys, place, 128 bits of hash, site."""
@@ -66,18 +64,33 @@ def boilerplate(lines: DataFrame, min_sites: int = 10, p: int = 10) -> DataFrame
     return sure.select("_a", "_b", "_first").unionByName(near.join(exact, ["_a", "_b"]).select("_a", "_b", "_first"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, p: int = 10) -> DataFrame:
-    """``docs`` with the text that stays, ``n_lines`` (not blank) and ``n_removed``."""
+def marked(docs: DataFrame, text: str, site: str, min_sites: int, p: int) -> DataFrame:
+    """``row`` (the document) and ``_gone``: the places of its lines that go, or null."""
     lines = stored(lines_of(docs, text, site))
     common = boilerplate(lines, min_sites, p)
     gone = (lines.join(common, ["_a", "_b"])
             .filter((F.col("_id") != F.col("_first._id")) | (F.col("_at") != F.col("_first._at")) | (F.col("_key") != F.col("_first._key")))
             .groupBy("_id", "_key").agg(F.sort_array(F.collect_set("_at")).alias("_gone")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    d = docs.select(*names, id_key().alias("_i"), text_key(text).alias("_k"))
-    d = d.join(gone, (d["_i"] == gone["_id"]) & (d["_k"] == gone["_key"]), "left")
-    split = F.split(F.col(text), "\n")
-    left = F.array_join(F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    counted = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return d.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in names],
+    d = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("_i"), text_key(text).alias("_k"))
+    return d.join(gone, (d["_i"] == gone["_id"]) & (d["_k"] == gone["_key"]), "left").select("row", "_gone")
+
+
+def left_over(text: str) -> Column:
+    """The text without its lines in ``_gone``."""
+    split = F.split(F.col(f"row.{text}"), "\n")
+    kept = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
+    return F.when(F.col("_gone").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(kept, "\n"))
+
+
+def strip_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, p: int = 10) -> DataFrame:
+    """``docs`` with the text that stays, columns as they were."""
+    d = marked(docs, text, site, min_sites, p)
+    return d.select(*[left_over(text).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, p: int = 10) -> DataFrame:
+    """``docs`` with the text that stays, ``n_lines`` (not blank) and ``n_removed``; columns of these names give way."""
+    d = marked(docs, text, site, min_sites, p)
+    counted = F.size(F.filter(F.split(F.coalesce(F.col(f"row.{text}"), F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
+    return d.select(*[left_over(text).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
                     counted.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -9,8 +9,11 @@
    two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts become one node.  Nodes that agree in all samples of a band meet in a bucket.  No
    bucket is expanded into pairs: its members are compared with pivots (1, then 2, 4, ... of those
-   still open); a member is settled when it is a pivot or linked with one.  Every pivot is
-   compared with the whole bucket, and rounds go on until no member is open, whatever its size.
+   still open); a member is settled when it is a pivot or linked with one.  The first pivot is
+   the member that meets most others over all bands, which is the original among its copies.
+   Every pivot is compared with the whole bucket but for those members that the triangle
+   inequality rules out by their distances from the first pivot (1 - weighted Jaccard is a
+   metric); rounds go on until no member is open, whatever the bucket's size.
 4. A comparison computes the exact weighted Jaccard similarity of the two texts.
 5. Links are contracted to classes by alternating star steps; every step is a stored table.
 
@@ -212,24 +215,36 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
     """(p, x): links between different texts."""
     spark = nodes.sparkSession
     rows = nodes.filter("some").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "h"))
-    full = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1").select("band", "h")
-    members = stored(rows.join(full, ["band", "h"]).distinct())
+    full = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(rows.join(full, ["band", "h"]).distinct())
+    dense = met.groupBy("doc").agg(F.sum("n").alias("dense"))
+    members = stored(met.join(dense, "doc").select("band", "h", "doc", "dense"))
     wanted = members.select(F.col("doc").alias("_id")).distinct()
     texts = stored(docs.select(id_key().alias("_id"), "text").join(wanted, "_id", "left_semi"))
+    near = 1 - least + 1e-9
     still, tried, links, pivots_each = members, None, None, 1
     while True:
-        pivots = stored(still.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
-                        .groupBy("band", "h", "_s").agg(F.min("doc").alias("p")).select("band", "h", "p"))
+        pivots = (still.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
+                  .groupBy("band", "h", "_s").agg(F.max(F.struct("dense", (-F.col("doc")).alias("doc"))).alias("_p")))
+        pivots = stored(pivots.select("band", "h", (-F.col("_p.doc")).alias("p")))
         if pivots.isEmpty():
-            return links
-        pairs = (members.join(pivots, ["band", "h"]).filter("doc != p")
-                 .select(F.least("doc", "p").alias("p"), F.greatest("doc", "p").alias("x")).distinct())
+            return links if links is not None else pivots.select("p", F.col("p").alias("x"))
+        if tried is None:
+            met = members.join(pivots, ["band", "h"])
+        else:
+            ends = pivots.join(members.select("band", "h", F.col("doc").alias("p"), F.col("far").alias("p_far")), ["band", "h", "p"])
+            met = members.join(ends, ["band", "h"]).filter(F.abs(F.col("far") - F.col("p_far")) <= near)
+        pairs = met.filter("doc != p").select(F.least("doc", "p").alias("p"), F.greatest("doc", "p").alias("x")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("p", "x"), ["p", "x"], "left_anti")
         with arrow_rows(spark, 256):
-            compared = stored(similarities(pairs, texts, shingler))
+            compared = stored(similarities(pairs, texts, shingler).groupBy("p", "x").agg(F.max("similarity").alias("similarity")))
+        both = compared.unionByName(compared.select(F.col("x").alias("p"), F.col("p").alias("x"), "similarity"))
+        if tried is None:
+            first = members.join(pivots, ["band", "h"]).join(both.withColumnRenamed("x", "doc"), ["p", "doc"], "left")
+            members = stored(first.select("band", "h", "doc", "dense", F.when(F.col("p") == F.col("doc"), 0.0).otherwise(1 - F.col("similarity")).alias("far")))
         tried = compared if tried is None else tried.unionByName(compared)
-        links = tried.filter(F.col("similarity") >= least).select("p", "x").distinct()
+        links = tried.filter(F.col("similarity") >= least).select("p", "x")
         ends = links.unionByName(links.select(F.col("x").alias("p"), F.col("p").alias("x")))
         settled = (pivots.select("band", "h", F.col("p").alias("doc"))
                    .unionByName(pivots.join(ends, "p").select("band", "h", F.col("x").alias("doc"))))
@@ -278,5 +293,5 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """Of each class the document with the smallest doc_id, columns unchanged; of repeated ids one row."""
     heads = stored(near_duplicates(docs, **how).select(F.col("class").alias("_id")).distinct())
     one = Window.partitionBy("_id").orderBy("_text")
-    return (docs.withColumn("_id", id_key()).withColumn("_text", text_key()).join(heads, "_id", "left_semi")
-            .withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("_id"), text_key().alias("_text"))
+    return rows.join(heads, "_id", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("row.*")

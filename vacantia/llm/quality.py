@@ -90,4 +90,5 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry_text:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns unchanged."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", "text")
+    return judge(rows, carry_text=False).filter("kept").select("row.*")
