@@ -155,7 +155,7 @@ def write(pages: DataFrame, folder: str | None = None, least: int = 1000, archiv
         def flush() -> pa.RecordBatch:
             nonlocal bytes_held, number
             name = f"{TaskContext.get().partitionId():06d}-{number:04d}-{uuid.uuid4().hex}.warc.zst"
-            with disk.open_output_stream(f"{base}/{name}") as f:
+            with disk.open_output_stream(f"{base}/{name}", compression=None) as f:
                 f.write(archive(held))
             made = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(held)], pa.int64())], names=["path", "records"])
             held.clear()
@@ -183,7 +183,7 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for path in batch["path"].to_pylist():
                 disk, at = file_system(path)
-                with disk.open_input_stream(at) as f:
+                with disk.open_input_stream(at, compression=None) as f:
                     data = f.read()
                 out: list[tuple] = []
                 for raw in records_of(data):
