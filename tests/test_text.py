@@ -103,8 +103,10 @@ def test_requirements_section(one, text, section, found):
     assert (r.section, r.found) == (section, found)
 
 
-def test_requirements_cap(one):
-    assert len(one(T.requirements_section(L("Skills\n" + "x" * 4000))).section) == 2600
+def test_requirements_are_whole(one):
+    assert len(one(T.requirements_section(L("Skills\n" + "x" * 4000))).section) == 4000
+    section = T.requirements_section(L("Skills\n" + "filler words here\n" * 400 + "python"))["section"]
+    assert one(T.terms_in(section, ["python"])) == ["python"]
 
 
 @pytest.mark.parametrize("label,kinds,key,cls,human", [

@@ -151,7 +151,7 @@ def _messages(spark, d):
     return (c.join(cust, c.conv_id == cust.c_custkey, "left").select(
         "conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("msg_id"),
         F.concat(F.element_at(say, (F.col("turn") % 8 + 1).cast("int")), F.lit(" "),
-                 F.when(F.length("text") < 40, F.col("text")).otherwise("")).alias("text")))
+                 F.coalesce("text", F.lit(""))).alias("text")))
 
 
 _VOCAB = ("python", "sql", "react native", "react")
@@ -264,11 +264,11 @@ def _saves(spark, d):
                     F.col("event_type").alias("label"), f.alias("f"), F.col("ts").alias("created_at"))
 
 
-@query("save_searches", """SELECT candidate_id, search_id, n::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY ts, search_id) AS n FROM (
+@query("save_searches", """SELECT candidate_id, search_id, n::INTEGER AS n, n <= 20 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY ts, search_id) AS n FROM (
   SELECT user_id AS candidate_id, arg_min(event_id, (ts, event_id)) AS search_id, min(ts) AS ts FROM events
-  GROUP BY user_id, event_type, json_extract_string(props, '$.k'))) WHERE n <= 20""")
+  GROUP BY user_id, event_type, json_extract_string(props, '$.k')))""")
 def save_searches(spark, d):
-    return S.save_searches(_saves(spark, d)).select("candidate_id", "search_id", "n")
+    return S.save_searches(_saves(spark, d)).select("candidate_id", "search_id", "n", "accepted")
 
 
 @query("mark_seen", """SELECT c_custkey AS search_id, greatest(TIMESTAMP '2000-01-01', max(ts)) AS last_seen_at FROM customer

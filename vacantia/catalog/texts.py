@@ -41,8 +41,7 @@ _SECTION_CTES = (
     "af AS (SELECT *, CASE WHEN coalesce(h, 0) > 0 THEN ls[h + 1:] ELSE []::VARCHAR[] END AS tail FROM hd)",
     f"st AS (SELECT *, list_position(list_transform(tail, lambda x: {_sql_heading('x', V.STOP_HEADING_WORDS)}), true) AS s FROM af)",
     "sec AS (SELECT *, coalesce(h, 0) > 0 AS found, CASE WHEN coalesce(h, 0) > 0 THEN "
-    + Q.trim("substr(array_to_string(CASE WHEN coalesce(s, 0) > 0 THEN tail[1:s - 1] ELSE tail END, chr(10)), 1, "
-             f"{V.SECTION_CAP})") + " ELSE '' END AS section FROM st)",
+    + Q.trim("array_to_string(CASE WHEN coalesce(s, 0) > 0 THEN tail[1:s - 1] ELSE tail END, chr(10))") + " ELSE '' END AS section FROM st)",
 )
 
 

@@ -115,8 +115,8 @@ def _heading_like(line: Column, words: str) -> Column:
             & t.rlike("(?i)" + word(words)))
 
 
-def requirements_section(c: Column | str, cap: int = V.SECTION_CAP) -> Column:
-    """``struct<section, found>``: the lines under the first requirements heading."""
+def requirements_section(c: Column | str) -> Column:
+    """``struct<section, found>``: all lines under the first requirements heading."""
     def first_heading(lines: Column, words: str) -> Column:
         return F.array_position(F.transform(lines, lambda x: _heading_like(x, words)), True).cast("int")
 
@@ -124,7 +124,7 @@ def requirements_section(c: Column | str, cap: int = V.SECTION_CAP) -> Column:
         stop = first_heading(after, V.STOP_HEADING_WORDS)
         body = let(stop, lambda n: F.when(n > 0, F.slice(after, 1, F.greatest(n - 1, F.lit(0))))
                    .otherwise(after))
-        return trim_ws(F.substring(F.array_join(body, "\n"), 1, cap))
+        return trim_ws(F.array_join(body, "\n"))
 
     def build(lines: Column) -> Column:
         return let(first_heading(lines, V.HEADING_WORDS), lambda n: F.struct(
@@ -435,7 +435,7 @@ def employer_name(token: Column | str) -> Column:
     clean = trim_ws(F.regexp_replace(token, "[-_]+", " "))
     name = F.array_join(F.transform(
         F.split(clean, " ", -1),
-        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+        lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
     return F.when(clean == "", token).otherwise(name)
 
 
@@ -443,7 +443,7 @@ def label_from_key(key: Column | str) -> Column:
     key = col(key)
     clean = trim_ws(F.regexp_replace(key, "[-_]+", " "))
     return F.when(clean == "", key).otherwise(
-        F.concat(F.upper(F.substring(clean, 1, 1)), F.substring(clean, 2, 1_000_000)))
+        F.concat(F.upper(F.substring(clean, 1, 1)), F.substr(clean, F.lit(2))))
 
 
 def days_old(ts: Column | str, now: Column) -> Column:

@@ -84,8 +84,7 @@ def section(lines: Column | str, start: str, ends: Iterable[str]) -> Column:
     at = F.array_position(F.transform(lines, lambda c: _heading(c, start)), True).cast("int")
     after = F.slice(lines, at + 1, F.greatest(F.size(lines), F.lit(1)))
     stop = F.array_position(F.transform(after, lambda c: _heading(c, *ends)), True).cast("int")
-    body = F.when(stop > 0, F.slice(after, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(
-        F.slice(after, 1, 7) if start == "skills" else after)
+    body = F.when(stop > 0, F.slice(after, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(after)
     return F.when(at > 0, body)
 
 

@@ -412,14 +412,15 @@ def saved_search_counts(searches: DataFrame, postings: DataFrame, now: Column,
 
 
 def save_searches(events: DataFrame, cap: int = V.MAX_SAVED_SEARCHES) -> DataFrame:
-    """one row per (candidate, canonical filters), the earliest, first ``cap`` kept."""
+    """one row per (candidate, canonical filters), the earliest; beyond ``cap`` not accepted, with the reason."""
     first = F.min_by(F.struct("search_id", "label", "f", "created_at"),
                      F.struct("created_at", "search_id"))
     one = (events.withColumn("canonical", T.canonical_json("f"))
            .groupBy("candidate_id", "canonical").agg(first.alias("s"))
            .select("candidate_id", "canonical", "s.*"))
     w = Window.partitionBy("candidate_id").orderBy("created_at", "search_id")
-    return one.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
+    return (one.withColumn("n", F.row_number().over(w)).withColumn("accepted", F.col("n") <= cap)
+            .withColumn("reason", F.when(~F.col("accepted"), F.lit("too many saved searches"))))
 
 
 def mark_seen(searches: DataFrame, events: DataFrame) -> DataFrame:
