@@ -299,7 +299,9 @@ def test_pipeline(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stored(stage(spark, d, SF))
         assert d.columns == docs.columns
-    want = [i for i, t in texts().items() if not brute.quality(t)[-1] and i not in (2, 3)] + [None]
+    good = {r.doc_id for r in quality.judge(odd(spark)).filter("kept").collect()}  # 17 goes with its host, of which half fails
+    assert 17 not in good and not any(brute.quality(texts()[i])[-1] for i in good - {None})
+    want = [i for i in good if i not in (2, 3)]
     assert Counter(r.doc_id for r in d.collect()) == Counter(want)
     last = corpus_pipeline.STAGES[-1][1](spark, d, SF)
     assert {r.doc_id for r in last.collect()} == set(want)
