@@ -31,7 +31,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: no lineage behind it, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,12 +8,18 @@
 2. Improved consistent weighted sampling draws ``bands * rows`` samples (shingle, t) per document;
    two documents agree in a sample with the probability of their weighted Jaccard similarity.
 3. Equal texts become one node.  Nodes that agree in all samples of a band meet in a bucket.  No
-   bucket is expanded into pairs: its members are compared with pivots (1, then 2, 4, ... of those
-   still open); a member is settled when it is a pivot or linked with one.  The first pivot is
-   the member that meets most others over all bands, which is the original among its copies.
-   Every pivot is compared with the whole bucket but for those members that the triangle
-   inequality rules out by their distances from the first pivot (1 - weighted Jaccard is a
-   metric); rounds go on until no member is open, whatever the bucket's size.
+   bucket is expanded into pairs: its members are compared with one pivot, the member that meets
+   most others over all bands (the original among its copies).  A member that is not linked with
+   the pivot is open.  For a link between two members of a pivot's family one of these must hold:
+   (a) They share some weight that the pivot does not have.  Taken in one order, before all that
+       the pivot has, their first common shingle stands where at most 1 - least of either text's
+       weight is passed (prefix filtering).  Each comparison returns these few shingles as keys;
+       members meet again by (pivot, key), where pivots (1, then 2, 4, ... of those still open)
+       are compared with all until none is open.
+   (b) All they share is in the pivot.  Then the weights they have in common with it bound their
+       similarity, and only pairs whose bound reaches ``least`` are compared.
+   Texts that share most words with one original, and with each other only through it, thus
+   do not meet again, however many there are.
 4. A comparison computes the exact weighted Jaccard similarity of the two texts.
 5. Links are contracted to classes by alternating star steps; every step is a stored table.
 
@@ -180,8 +186,12 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(name, before)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
-    """(p, x, similarity) of pairs; the text of x moves to where p's is, and Spark splits a p with very many."""
+def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler, least: float, keys: bool = False) -> DataFrame:
+    """(p, x, similarity) of pairs; the text of x moves to where p's is, and Spark splits a p with very many.
+
+    ``keys`` adds the weight of x, the weight common to both, and the first shingles of x (as the
+    upper half of their hashes, in order) with weight that p does not have, until they pass 1 - least of x.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -195,60 +205,94 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> Data
             hp, wp, np_, _, _ = shingler.of(batch["p_text"].filter(pa.array(new)))
             hx, wx, nx, _, _ = shingler.of(batch["x_text"])
             sp, sx = np.concatenate([[0], np.cumsum(np_)]), np.concatenate([[0], np.cumsum(nx)])
-            sim = np.empty(len(x))
+            sim, size, common = np.empty(len(x)), np.empty(len(x)), np.empty(len(x))
+            found = []
             for k in range(len(x)):
                 a, b = slice(sp[lead[k]], sp[lead[k] + 1]), slice(sx[k], sx[k + 1])
-                at = np.searchsorted(hp[a], hx[b])
-                at[at == np_[lead[k]]] = 0
-                both = hp[a][at] == hx[b] if np_[lead[k]] else np.zeros(nx[k], bool)
-                common = np.minimum(wp[a][at[both]], wx[b][both]).sum()
-                total = wp[a].sum() + wx[b].sum() - common
-                sim[k] = common / total if total else 1.0
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(x), pa.array(sim)], names=["p", "x", "similarity"])
+                base = np.zeros(nx[k])
+                if np_[lead[k]]:
+                    at = np.searchsorted(hp[a], hx[b])
+                    at[at == np_[lead[k]]] = 0
+                    base = np.where(hp[a][at] == hx[b], np.minimum(wp[a][at], wx[b]), 0.0)
+                size[k], common[k] = wx[b].sum(), base.sum()
+                total = wp[a].sum() + size[k] - common[k]
+                sim[k] = common[k] / total if total else 1.0
+                if keys:
+                    rest = wx[b] - base
+                    own = np.flatnonzero(rest > 0)
+                    n = np.searchsorted(np.cumsum(rest[own]), size[k] * (1 - least + 1e-9), "right") + 1
+                    found.append(np.unique(hx[b][own[:n]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            out = {"p": pa.array(p), "x": pa.array(x), "similarity": pa.array(sim)}
+            if keys:
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                out |= {"size": pa.array(size), "common": pa.array(common), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))}
+            yield pa.RecordBatch.from_pydict(out)
 
     px = pairs.join(texts.select(F.col("_id").alias("x"), F.col("text").alias("x_text")), "x")
     both = px.join(texts.select(F.col("_id").alias("p"), F.col("text").alias("p_text")), "p").select("p", "x", "p_text", "x_text")
-    return both.mapInArrow(run, "p bigint, x bigint, similarity double")
+    with arrow_rows(pairs.sparkSession, 256):
+        return stored(both.mapInArrow(run, "p bigint, x bigint, similarity double" + ", size double, common double, keys array<int>" * keys))
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Every pair once, the smaller document first."""
+    return pairs.select(F.least("p", "x").alias("p"), F.greatest("p", "x").alias("x")).distinct()
+
+
+def families(members: DataFrame, texts: DataFrame, shingler: Shingler, least: float) -> DataFrame:
+    """(p, x, similarity, size, common, keys, open): the members of each bucket compared with its densest one."""
+    top = members.groupBy("band", "h").agg(F.max(F.struct("dense", (-F.col("doc")).alias("doc"))).alias("_p"))
+    pairs = members.join(top.select("band", "h", (-F.col("_p.doc")).alias("p")), ["band", "h"]).filter("doc != p")
+    out = similarities(pairs.select("p", F.col("doc").alias("x")).distinct(), texts, shingler, least, keys=True)
+    return out.withColumn("open", F.col("similarity") < least)
+
+
+def by_bound(family: DataFrame, least: float, step: float = 0.05) -> DataFrame:
+    """(p, x): members of one family, one of them open, that may be linked by what both share with the pivot."""
+    loose = family.filter(F.col("common") >= F.col("size") * (least - 1e-9)).select(F.col("p").alias("f"), "x", "size", "common", "open")
+    most = F.col("common") * ((1 + least) / least) - F.col("size")
+    low = F.floor(F.log(F.col("size") * (least - 1e-9)) / step)
+    x = loose.filter("open").filter(most >= F.col("size") * (least - 1e-9)).select("f", F.col("x").alias("p"), F.col("size").alias("p_size"), F.col("common").alias("p_common"), F.explode(F.sequence(low, F.floor(F.log(most) / step))).alias("bin"))
+    y = loose.withColumn("bin", F.floor(F.log("size") / step)).drop("open")
+    enough = F.least("common", "p_common") * (1 + least) >= (F.col("size") + F.col("p_size")) * (least - 1e-9)
+    return x.join(y, ["f", "bin"]).filter(enough & (F.col("p") != F.col("x"))).select("p", "x")
 
 
 def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float) -> DataFrame:
     """(p, x): links between different texts."""
-    spark = nodes.sparkSession
     rows = nodes.filter("some").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "h"))
     full = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(rows.join(full, ["band", "h"]).distinct())
-    dense = met.groupBy("doc").agg(F.sum("n").alias("dense"))
-    members = stored(met.join(dense, "doc").select("band", "h", "doc", "dense"))
-    wanted = members.select(F.col("doc").alias("_id")).distinct()
-    texts = stored(docs.select(id_key().alias("_id"), "text").join(wanted, "_id", "left_semi"))
-    near = 1 - least + 1e-9
-    still, tried, links, pivots_each = members, None, None, 1
+    members = met.join(met.groupBy("doc").agg(F.sum("n").alias("dense")), "doc")
+    texts = stored(docs.select(id_key().alias("_id"), "text").join(met.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi"))
+    compared = families(members, texts, shingler, least)
+    tried = in_order(compared)
+    links = compared.filter(~F.col("open")).select("p", "x").distinct()
+
+    undone = compared.groupBy("p").agg(F.count("*").alias("_n"), F.max("open").alias("_o")).filter("_o and _n > 1").select("p")
+    family = compared.join(undone, "p", "left_semi")
+    more = similarities(in_order(by_bound(family, least)).join(tried, ["p", "x"], "left_anti"), texts, shingler, least)
+    tried = tried.unionByName(in_order(more))
+    links = links.unionByName(more.filter(F.col("similarity") >= least).select("p", "x"))
+
+    keyed = family.select(F.col("p").alias("f"), F.col("x").alias("doc"), "open", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("f", "key").agg(F.count("*").alias("n"), F.max("open").alias("_o")).filter("_o and n > 1").drop("_o")
+    again = stored(keyed.join(shared, ["f", "key"]).distinct())
+    still, pivots_each = again.filter("open"), 1
     while True:
-        pivots = (still.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
-                  .groupBy("band", "h", "_s").agg(F.max(F.struct("dense", (-F.col("doc")).alias("doc"))).alias("_p")))
-        pivots = stored(pivots.select("band", "h", (-F.col("_p.doc")).alias("p")))
+        slot = still.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
+        pivots = slot.groupBy("f", "key", "_s").agg(F.min("doc").alias("p"))
+        pivots = stored(pivots.select("f", "key", "p"))
         if pivots.isEmpty():
-            return links if links is not None else pivots.select("p", F.col("p").alias("x"))
-        if tried is None:
-            met = members.join(pivots, ["band", "h"])
-        else:
-            ends = pivots.join(members.select("band", "h", F.col("doc").alias("p"), F.col("far").alias("p_far")), ["band", "h", "p"])
-            met = members.join(ends, ["band", "h"]).filter(F.abs(F.col("far") - F.col("p_far")) <= near)
-        pairs = met.filter("doc != p").select(F.least("doc", "p").alias("p"), F.greatest("doc", "p").alias("x")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("p", "x"), ["p", "x"], "left_anti")
-        with arrow_rows(spark, 256):
-            compared = stored(similarities(pairs, texts, shingler).groupBy("p", "x").agg(F.max("similarity").alias("similarity")))
-        both = compared.unionByName(compared.select(F.col("x").alias("p"), F.col("p").alias("x"), "similarity"))
-        if tried is None:
-            first = members.join(pivots, ["band", "h"]).join(both.withColumnRenamed("x", "doc"), ["p", "doc"], "left")
-            members = stored(first.select("band", "h", "doc", "dense", F.when(F.col("p") == F.col("doc"), 0.0).otherwise(1 - F.col("similarity")).alias("far")))
-        tried = compared if tried is None else tried.unionByName(compared)
-        links = tried.filter(F.col("similarity") >= least).select("p", "x")
-        ends = links.unionByName(links.select(F.col("x").alias("p"), F.col("p").alias("x")))
-        settled = (pivots.select("band", "h", F.col("p").alias("doc"))
-                   .unionByName(pivots.join(ends, "p").select("band", "h", F.col("x").alias("doc"))))
-        still = stored(still.join(settled.distinct(), ["band", "h", "doc"], "left_anti"))
+            return links
+        pairs = again.join(pivots, ["f", "key"]).filter("doc != p").select("p", F.col("doc").alias("x"))
+        more = similarities(in_order(pairs).join(tried, ["p", "x"], "left_anti"), texts, shingler, least)
+        tried = tried.unionByName(in_order(more))
+        links = links.unionByName(more.filter(F.col("similarity") >= least).select("p", "x"))
+        ends = links.unionByName(links.select(F.col("x").alias("p"), F.col("p").alias("x"))).distinct()
+        settled = (pivots.select("f", "key", F.col("p").alias("doc"))
+                   .unionByName(pivots.join(ends, "p").select("f", "key", F.col("x").alias("doc"))))
+        still = stored(still.join(settled.distinct(), ["f", "key", "doc"], "left_anti"))
         pivots_each *= 2
 
 
