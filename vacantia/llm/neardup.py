@@ -14,8 +14,9 @@
    (a) They share some weight that the pivot does not have.  Taken in one order, before all that
        the pivot has, their first common shingle stands where at most 1 - least of either text's
        weight is passed (prefix filtering).  Each comparison returns these few shingles as keys;
-       members meet again by (pivot, key), where pivots (1, then 2, 4, ... of those still open)
-       are compared with all until none is open.
+       members meet again by (pivot, key), where pivots (1, then 8, 64, ... of those still open)
+       are compared with all until none is open, but for pairs whose weights inside and outside
+       of the family's pivot bound their similarity below ``least``.
    (b) All they share is in the pivot.  Then the weights they have in common with it bound their
        similarity, and only pairs whose bound reaches ``least`` are compared.
    Texts that share most words with one original, and with each other only through it, thus
@@ -275,17 +276,21 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
     tried = tried.unionByName(in_order(more))
     links = links.unionByName(more.filter(F.col("similarity") >= least).select("p", "x"))
 
-    keyed = family.select(F.col("p").alias("f"), F.col("x").alias("doc"), "open", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("f", "key").agg(F.count("*").alias("n"), F.max("open").alias("_o")).filter("_o and n > 1").drop("_o")
+    keyed = family.select(F.col("p").alias("f"), F.col("x").alias("doc"), "open", "size", "common", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("f", "key").agg(F.count("*").alias("n"), F.max("open").alias("_o"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("_h")).filter("_o and n > 1")
+    shared = shared.groupBy("f", "n", "_h").agg(F.min("key").alias("key")).select("f", "key")  # one of the keys that the same members share
     again = stored(keyed.join(shared, ["f", "key"]).distinct())
+    texts = stored(texts.join(again.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi"))
+    most = F.least("common", "p_common") + F.least(F.col("size") - F.col("common"), F.col("p_size") - F.col("p_common"))
+    enough = most * (1 + least) >= (F.col("size") + F.col("p_size")) * (least - 1e-9)
     still, pivots_each = again.filter("open"), 1
     while True:
         slot = still.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
-        pivots = slot.groupBy("f", "key", "_s").agg(F.min("doc").alias("p"))
-        pivots = stored(pivots.select("f", "key", "p"))
+        chosen = slot.groupBy("f", "key", "_s").agg(F.min("doc").alias("doc")).select("f", "key", "doc")
+        pivots = stored(chosen.join(still, ["f", "key", "doc"]).select("f", "key", F.col("doc").alias("p"), F.col("size").alias("p_size"), F.col("common").alias("p_common")))
         if pivots.isEmpty():
             return links
-        pairs = again.join(pivots, ["f", "key"]).filter("doc != p").select("p", F.col("doc").alias("x"))
+        pairs = again.join(pivots, ["f", "key"]).filter((F.col("doc") != F.col("p")) & enough).select("p", F.col("doc").alias("x"))
         more = similarities(in_order(pairs).join(tried, ["p", "x"], "left_anti"), texts, shingler, least)
         tried = tried.unionByName(in_order(more))
         links = links.unionByName(more.filter(F.col("similarity") >= least).select("p", "x"))
@@ -293,7 +298,7 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
         settled = (pivots.select("f", "key", F.col("p").alias("doc"))
                    .unionByName(pivots.join(ends, "p").select("f", "key", F.col("x").alias("doc"))))
         still = stored(still.join(settled.distinct(), ["f", "key", "doc"], "left_anti"))
-        pivots_each *= 2
+        pivots_each *= 8
 
 
 def classes(links: DataFrame) -> DataFrame:
