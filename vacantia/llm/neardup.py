@@ -90,8 +90,8 @@ class Shingler:
     idf: np.ndarray
     width: int = 5
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles (sorted within a text), weights, distinct shingles per text; words, words per text."""
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Shingles (sorted within a text), weights, distinct shingles per text; words, words per text; weight of one occurrence."""
         words, n_words = word_hashes(texts)
         n = np.where(n_words >= self.width, n_words - self.width + 1, (n_words > 0).astype(n_words.dtype))
         idf = self.idf[(words >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
@@ -118,7 +118,7 @@ class Shingler:
         at = np.flatnonzero(new)
         times = np.diff(at, append=len(h))
         counts = np.bincount(doc[at], minlength=len(n)) if len(at) else np.zeros(len(n), np.int64)
-        return h[at], w[at] * times, counts, words, n_words
+        return h[at], w[at] * times, counts, words, n_words, w[at]
 
 
 def whole_hash(words: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, shingler: Shingler, bands: int, rows: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
-            h, w, counts, words, n_words = shingler.of(batch["text"])
+            h, w, counts, words, n_words, _ = shingler.of(batch["text"])
             first = starts_of(n_words)
             d1 = whole_hash(words, first, first + n_words, WHOLE)
             d2 = whole_hash(mix(words + np.uint64(3)), first, first + n_words, SHINGLE)
@@ -191,7 +191,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler, least:
     """(p, x, similarity) of pairs; the text of x moves to where p's is, and Spark splits a p with very many.
 
     ``keys`` adds the weight of x, the weight common to both, and the first shingles of x (as the
-    upper half of their hashes, in order) with weight that p does not have, until they pass 1 - least of x.
+    upper half of their hashes; the rarest words first) with weight that p does not have, until they pass 1 - least of x.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +203,8 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler, least:
             same = pc.equal(batch["p_text"].slice(1), batch["p_text"].slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False) if batch.num_rows > 1 else np.empty(0, bool)
             new[1:] |= ~same.astype(bool)
             lead = np.cumsum(new) - 1
-            hp, wp, np_, _, _ = shingler.of(batch["p_text"].filter(pa.array(new)))
-            hx, wx, nx, _, _ = shingler.of(batch["x_text"])
+            hp, wp, np_, *_ = shingler.of(batch["p_text"].filter(pa.array(new)))
+            hx, wx, nx, _, _, ux = shingler.of(batch["x_text"])
             sp, sx = np.concatenate([[0], np.cumsum(np_)]), np.concatenate([[0], np.cumsum(nx)])
             sim, size, common = np.empty(len(x)), np.empty(len(x)), np.empty(len(x))
             found = []
@@ -221,6 +221,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler, least:
                 if keys:
                     rest = wx[b] - base
                     own = np.flatnonzero(rest > 0)
+                    own = own[np.lexsort((hx[b][own], -ux[b][own]))]
                     n = np.searchsorted(np.cumsum(rest[own]), size[k] * (1 - least + 1e-9), "right") + 1
                     found.append(np.unique(hx[b][own[:n]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             out = {"p": pa.array(p), "x": pa.array(x), "similarity": pa.array(sim)}
