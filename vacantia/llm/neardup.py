@@ -266,7 +266,8 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
     full = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(rows.join(full, ["band", "h"]).distinct())
     members = met.join(met.groupBy("doc").agg(F.sum("n").alias("dense")), "doc")
-    texts = stored(docs.select(id_key().alias("_id"), "text").join(met.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi"))
+    # the ids that meet grow with the documents: merged at every size, never broadcast
+    texts = stored(docs.select(id_key().alias("_id"), "text").join(met.select(F.col("doc").alias("_id")).distinct().hint("merge"), "_id", "left_semi"))
     compared = families(members, texts, shingler, least)
     tried = in_order(compared)
     links = compared.filter(~F.col("open")).select("p", "x").distinct()
