@@ -239,6 +239,45 @@ def test_near_duplicates_of_a_large_group(spark):
                     parent[y] = x
     assert by_id(neardup.classified(d), "class_id") == {i: (top(i),) for i in t}
 
+def all_pairs(d, t, least=0.8):
+    """The links by comparing every pair of the texts ``t``, and the classes that follow."""
+    sh = neardup.Shingler(neardup.word_idf(d))
+    sets = {}
+    for i, x in t.items():
+        h, w, *_ = sh.of(pa.array([x]))
+        sets[i] = dict(zip(h.tolist(), w.tolist(), strict=True))
+    top, links = {i: i for i in t}, set()
+    for a in sorted(t):
+        for b in sorted(t):
+            m = sum(min(w, sets[b].get(h, 0)) for h, w in sets[a].items()) if a < b else 0
+            if m and m / (sum(sets[a].values()) + sum(sets[b].values()) - m) >= least:
+                links.add((a, b))
+                x, y = sorted((top[a], top[b]))
+                top = {i: x if c == y else c for i, c in top.items()}
+    return links, top
+
+
+def test_near_duplicates_beside_a_settled_member(spark):
+    """f-y, y-x and x-p are near, no other pair is; p has all that x and y share, and the smaller id of the two that f leaves open."""
+    rows = []
+    for seed in range(40):
+        f = [f"{w}{seed}" for w in words(400, 1000 + seed)]
+        y = [*f[:50], *(f"y{seed}x{i}" for i in range(18)), *f[68:]]
+        x = [*y[:150], *(f"x{seed}x{i}" for i in range(18)), *y[168:]]
+        p = [*x[:250], *(f"p{seed}x{i}" for i in range(18)), *x[268:]]
+        rows += [(10 * seed + k, " ".join(t), "en", "s", None, *[None] * 7) for k, t in enumerate((f, p, x, y))]
+    d = stored(table(spark, rows))
+    t = {r[0]: r[1] for r in rows}
+    links, top = all_pairs(d, t)
+    # one band of one sample: no bucket but the one that f leads
+    signed = {r._id: r.bands[0] for r in neardup.signatures(d, neardup.Shingler(neardup.word_idf(d)), 1, 1).collect()}
+    met = [f for f in range(0, 400, 10) if len({signed[f + k] for k in range(4)}) == 1
+           and {(a - f, b - f) for a, b in links if a // 10 == f // 10} == {(0, 3), (1, 2), (2, 3)}]
+    assert len(met) >= 5
+    got = by_id(neardup.classified(d, bands=1, rows=1), "class_id")
+    for f in met:
+        assert [got[f + k] for k in range(4)] == [(top[f + k],) for k in range(4)] == [(f,)] * 4
+
 
 def test_warc(spark, tmp_path):
     long = "<p>" + "z" * 1200 + "</p>"

@@ -14,9 +14,10 @@
    (a) They share some weight that the pivot does not have.  Taken in one order, before all that
        the pivot has, their first common shingle stands where at most 1 - least of either text's
        weight is passed (prefix filtering).  Each comparison returns these few shingles as keys;
-       members meet again by (pivot, key), where pivots (1, then 8, 64, ... of those still open)
-       are compared with all until none is open, but for pairs whose weights inside and outside
-       of the family's pivot bound their similarity below ``least``.
+       members meet again by (pivot, key), where pivots (1, then 8, 64, ... of the open ones)
+       are compared with all members of other classes until each open one was a pivot or the
+       rest of its group is one class, but for pairs whose weights inside and outside of the
+       family's pivot bound their similarity below ``least``.  Links are contracted each round.
    (b) All they share is in the pivot.  Then the weights they have in common with it bound their
        similarity, and only pairs whose bound reaches ``least`` are compared.
    Texts that share most words with one original, and with each other only through it, thus
@@ -261,7 +262,7 @@ def by_bound(family: DataFrame, least: float, step: float = 0.05) -> DataFrame:
 
 
 def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float) -> DataFrame:
-    """(p, x): links between different texts."""
+    """(doc, class): the classes of the nodes that are linked with another one."""
     rows = nodes.filter("some").select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "h"))
     full = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(rows.join(full, ["band", "h"]).distinct())
@@ -285,21 +286,25 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
     texts = stored(texts.join(again.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi"))
     most = F.least("common", "p_common") + F.least(F.col("size") - F.col("common"), F.col("p_size") - F.col("p_common"))
     enough = most * (1 + least) >= (F.col("size") + F.col("p_size")) * (least - 1e-9)
-    still, pivots_each = again.filter("open"), 1
+    found, rest, pivots_each = classes(links), again, 1
     while True:
-        slot = still.withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
+        # between members of one class nothing is left to find
+        rest = rest.drop("class").join(found, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+        split = rest.groupBy("f", "key").agg(F.min("class").alias("_a"), F.max("class").alias("_b")).filter("_a < _b").select("f", "key")
+        rest = stored(rest.join(split, ["f", "key"], "left_semi"))
+        slot = rest.filter("open").withColumn("_s", F.pmod(F.xxhash64("doc"), F.lit(pivots_each)))
         chosen = slot.groupBy("f", "key", "_s").agg(F.min("doc").alias("doc")).select("f", "key", "doc")
-        pivots = stored(chosen.join(still, ["f", "key", "doc"]).select("f", "key", F.col("doc").alias("p"), F.col("size").alias("p_size"), F.col("common").alias("p_common")))
+        pivots = stored(chosen.join(rest, ["f", "key", "doc"]).select("f", "key", F.col("doc").alias("p"), F.col("class").alias("p_class"), F.col("size").alias("p_size"), F.col("common").alias("p_common")))
         if pivots.isEmpty():
-            return links
-        pairs = again.join(pivots, ["f", "key"]).filter((F.col("doc") != F.col("p")) & enough).select("p", F.col("doc").alias("x"))
+            return found
+        pairs = rest.join(pivots, ["f", "key"]).filter((F.col("class") != F.col("p_class")) & enough).select("p", F.col("doc").alias("x"))
         more = similarities(in_order(pairs).join(tried, ["p", "x"], "left_anti"), texts, shingler, least)
         tried = tried.unionByName(in_order(more))
-        links = links.unionByName(more.filter(F.col("similarity") >= least).select("p", "x"))
-        ends = links.unionByName(links.select(F.col("x").alias("p"), F.col("p").alias("x"))).distinct()
-        settled = (pivots.select("f", "key", F.col("p").alias("doc"))
-                   .unionByName(pivots.join(ends, "p").select("f", "key", F.col("x").alias("doc"))))
-        still = stored(still.join(settled.distinct(), ["f", "key", "doc"], "left_anti"))
+        new = more.filter(F.col("similarity") >= least).select("p", "x")
+        if not new.isEmpty():
+            found = classes(found.select(F.col("class").alias("p"), F.col("doc").alias("x")).unionByName(new))
+        # a pivot has met all of its group that were of other classes; the others stay, linked or not
+        rest = rest.join(pivots.select("f", "key", F.col("p").alias("doc")), ["f", "key", "doc"], "left_anti")
         pivots_each *= 8
 
 
@@ -329,7 +334,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
     shingler = Shingler(word_idf(docs), width)
     signed = stored(signatures(docs, shingler, bands, rows))
     nodes = stored(signed.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("some").alias("some")))
-    found = classes(linked(nodes, docs, shingler, least))
+    found = linked(nodes, docs, shingler, least)
     named = nodes.join(found, F.col("rep") == F.col("doc"), "left").select("d1", "d2", F.coalesce("class", "rep").alias("class"))
     return signed.select("_id", "d1", "d2").join(named, ["d1", "d2"])
 
