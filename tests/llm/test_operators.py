@@ -331,6 +331,27 @@ def test_secrets(spark, docs):
     assert secrets.scan(odd(spark)).count() == 20 and secrets.redact(table(spark, [])).count() == 0
 
 
+def test_secrets_that_stand_twice():
+    pytest.importorskip("zstandard")
+    novelty, r = secrets.Novelty(), random.Random(4)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def found(text):
+        return [text[s:e] for s, e, _ in secrets.spans_of(text, novelty)[1]]
+
+    for _ in range(20):
+        x = "".join(r.choice(base64) for _ in range(40))
+        for gap in (" and then ", " " + " ".join(words(150, r.random())) + " "):  # the second copy is cut by the window's edge at times
+            assert found(f"authorization bearer {x}{gap}authorization bearer {x} end") == [x, x]
+        assert found(f"the token is name={x} or credential {x} end")[-1] == x
+        for signs in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", base64):
+            long = "".join(r.choice(signs) for _ in range(128))
+            assert found(f"private key {long} end") == [long]
+    assert found("token getElementById/addEventListener0123456789 token getElementById/addEventListener0123456789") == []
+    text = "xx" + "abc" * 3 + "yyabcab"
+    assert secrets.without(text, 3, len(text), "abc") == "yyab" and secrets.without("aabaab", 2, 6, "aab") == ""
+
+
 def test_pipeline(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "line_dedup", "near_dedup", "secret_scan", "best_fit_packing"]

@@ -2,8 +2,10 @@
 
 Patterns give the base spans.  Beyond them, every token-like string whose line names a sensitive
 thing is compressed with Zstandard primed by a dictionary: the identifiers every code base has and
-the text around the string, without the string itself.  What that text already says costs next to
-nothing; a string that still costs most of its length is random by all that is known, and reported.
+the text around the string, without the string itself and without its other copies, which would
+make it known.  What that text already says costs next to nothing; a string that still costs most
+of what random characters of its alphabet need is random by all that is known, and reported.  Equal
+strings of one text get one verdict.
 
 Whole texts are read where they lie; no shuffle.  Null text: empty.  Repeated rows are scanned one
 by one.  Extra columns are left alone.
@@ -12,6 +14,7 @@ by one.  Extra columns are left alone.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,6 +38,25 @@ IDENTIFIERS = ("authorization bearer token access_token refresh_token id_token s
                "public static void final String boolean integer unsigned request response header timestamp").encode()
 
 
+def alphabet(string: str) -> int:
+    """Size of the alphabet that the string's longest run of letters and digits is from: 16, 32, 36 or 64."""
+    run = max(re.findall(r"[A-Za-z0-9]+", string), key=len)
+    if len(run) < 20:
+        run = string
+    return next((n for n, of in ((16, "[0-9a-f]+|[0-9A-F]+"), (32, "[A-Z2-7]+|[a-z2-7]+"), (36, "[0-9a-z]+|[0-9A-Z]+")) if re.fullmatch(of, run)), 64)
+
+
+def without(text: str, start: int, end: int, string: str) -> str:
+    """``text`` from ``start`` to ``end`` without what belongs to a copy of ``string``."""
+    out, at = [], start
+    k = text.find(string, max(0, start - len(string) + 1), end + len(string))
+    while 0 <= k < end:
+        out.append(text[at:k])
+        at = max(at, k + len(string))
+        k = text.find(string, k + 1, end + len(string))
+    return "".join([*out, text[at:end]])
+
+
 class Novelty:
     """Marginal compressed bytes of a string, given the text around it."""
 
@@ -45,7 +67,9 @@ class Novelty:
 
     def cost(self, text: str, start: int, end: int) -> float:
         """Bytes that the string adds, per character; the empty frame is taken off."""
-        known = IDENTIFIERS + text[max(0, start - self.around):start].encode("utf-8", "replace") + text[end:end + self.around].encode("utf-8", "replace")
+        value = text[start:end].rstrip("=").rpartition("=")[2]  # name=value: another copy may stand without the name
+        value = value if len(value) >= 20 else text[start:end]
+        known = IDENTIFIERS + "".join(without(text, a, b, value) for a, b in ((max(0, start - self.around), start), (end, end + self.around))).encode("utf-8", "replace")
         primed = self.z.ZstdCompressionDict(known, dict_type=self.z.DICT_TYPE_RAWCONTENT)
         press = self.z.ZstdCompressor(level=self.level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
         return (len(press.compress(text[start:end].encode())) - len(press.compress(b""))) / (end - start)
@@ -71,11 +95,14 @@ def could_assign(text: str) -> bool:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty, least: float = 0.7, near: int = 80) -> list[tuple[int, int, int]]:
-    """Candidates within ``near`` characters behind a sensitive word that no base span touches."""
+    """Candidates within ``near`` characters behind a sensitive word that no base span touches.
+
+    ``least`` is in bytes a character of base64, and less in proportion for smaller alphabets.
+    """
     places = [m.start() for m in SENSITIVE.finditer(text)]
     if not places:
         return []
-    out, at = [], 0
+    out, at, verdicts = [], 0, {}
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         while at + 1 < len(places) and places[at + 1] < s:
@@ -85,7 +112,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty,
         string = m[0]
         if not any(c.isdigit() for c in string) or not any(c.isalpha() for c in string):
             continue
-        if novelty.cost(text, s, e) >= least:
+        if string not in verdicts:
+            verdicts[string] = novelty.cost(text, s, e) >= least * math.log2(alphabet(string)) / 6
+        if verdicts[string]:
             out.append((s, e, 3))
     return out
 
