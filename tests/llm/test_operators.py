@@ -270,7 +270,7 @@ def test_near_duplicates_beside_a_settled_member(spark):
     t = {r[0]: r[1] for r in rows}
     links, top = all_pairs(d, t)
     # one band of one sample: no bucket but the one that f leads
-    signed = {r._id: r.bands[0] for r in neardup.signatures(d, neardup.Shingler(neardup.word_idf(d)), 1, 1).collect()}
+    signed = {r.doc._id: r.bands[0] for r in neardup.signatures(d, neardup.Shingler(neardup.word_idf(d)), 1, 1).collect()}
     met = [f for f in range(0, 400, 10) if len({signed[f + k] for k in range(4)}) == 1
            and {(a - f, b - f) for a, b in links if a // 10 == f // 10} == {(0, 3), (1, 2), (2, 3)}]
     assert len(met) >= 5
@@ -279,6 +279,27 @@ def test_near_duplicates_beside_a_settled_member(spark):
         assert [got[f + k] for k in range(4)] == [(top[f + k],) for k in range(4)] == [(f,)] * 4
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Unrelated texts of no id or of one id stay apart, also when documents are near each of them."""
+    a, b, c, e = (words(120, 500 + k) for k in range(4))
+
+    def near(x, k):
+        return " ".join([*x[:k], "changed", *x[k + 1:]])
+
+    made = [(None, " ".join(a)), (None, " ".join(a)), (None, " ".join(b)), (21, near(a, 40)), (22, near(b, 40)), (7, " ".join(c)), (7, " ".join(e)), (8, near(c, 50)), (9, near(e, 50)), (9, near(e, 50))]
+    of = {t: k for k, x in enumerate((a, b, c, e)) for t in (" ".join(x), near(x, 40), near(x, 50))}
+    d = stored(table(spark, [(i, t, "en", "s", None, *[None] * 7) for i, t in made]))
+    kept = neardup.keep_one(d).collect()
+    assert Counter((r.doc_id, of[r.text]) for r in kept) == Counter([(None, 0), (None, 1), (7, 2), (7, 3)])
+    rows = neardup.classified(d).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in made)
+    named = defaultdict(set)
+    for r in rows:
+        named[r.doc_id].add(r.class_id)
+    assert len(named[None]) == 2 and named[None] == named[21] | named[22] and len(named[7]) == 2 and named[7] == named[8] | named[9]
+    assert len({r.class_id for r in rows}) == 4 and None not in {r.class_id for r in rows}
+
+
 def test_warc(spark, tmp_path):
     long = "<p>" + "z" * 1200 + "</p>"
     rows = [(i, f"http://h/{i}", f"<html>{i} " + " ".join(words(50, i)) + "</html>", "clash") for i in range(40)]

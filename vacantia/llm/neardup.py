@@ -27,7 +27,8 @@
 
 Words are compared as they are.  A text of one to four words is one shingle; texts without words
 (null ones too) are copies of each other.  White space does not tell texts apart.  Rows of one
-doc_id count as one document, linked where any of its texts is.  Null doc_id: the smallest id.
+doc_id count as one document only if their texts are equal; else, and without an id (which counts
+as the smallest), each text is a document of its own.
 """
 
 from __future__ import annotations
@@ -38,15 +39,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vacantia.llm.common import LEAST_ID, chunks, id_key, mix, powers, rolling, starts_of, stored, text_key, word_hashes
 
 WORD_BITS, TABLE_BITS = 16, 14
 SHINGLE, WHOLE = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+NODE = "struct<_id:bigint,_a:bigint,_b:bigint>"
+
+
+def node_key() -> Column:
+    """A document: its id and 128 bits of its text; in this order the first one of a class stays."""
+    return F.struct(id_key().alias("_id"), text_key().alias("_a"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("_b"))
 
 
 @dataclass(frozen=True)
@@ -150,7 +155,7 @@ def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingler: Shingler, bands: int, rows: int) -> DataFrame:
-    """(_id, d1, d2, bands): a 128-bit digest of the words and one hash per band."""
+    """(doc, d1, d2, bands): a 128-bit digest of the words and one hash per band."""
     sampler = Sampler(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +175,10 @@ def signatures(docs: DataFrame, shingler: Shingler, bands: int, rows: int) -> Da
                     samples[some, band] = x
             offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [batch["_id"], pa.array(d1.astype(np.int64)), pa.array(d2.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(samples.ravel().astype(np.int64))), pa.array(counts > 0)],
-                names=["_id", "d1", "d2", "bands", "some"])
+                [batch["doc"], pa.array(d1.astype(np.int64)), pa.array(d2.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(samples.ravel().astype(np.int64))), pa.array(counts > 0)],
+                names=["doc", "d1", "d2", "bands", "some"])
 
-    return docs.select(id_key().alias("_id"), "text").mapInArrow(run, "_id bigint, d1 bigint, d2 bigint, bands array<bigint>, some boolean")
+    return docs.select(node_key().alias("doc"), "text").mapInArrow(run, f"doc {NODE}, d1 bigint, d2 bigint, bands array<bigint>, some boolean")
 
 
 @contextmanager
@@ -198,11 +203,11 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler, least:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, x = batch["p"].to_numpy(), batch["x"].to_numpy()
-            new = np.concatenate([[True], p[1:] != p[:-1]])
-            # rows of one id may differ in text: then compare each row's own
-            same = pc.equal(batch["p_text"].slice(1), batch["p_text"].slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False) if batch.num_rows > 1 else np.empty(0, bool)
-            new[1:] |= ~same.astype(bool)
+            x = batch["x"]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for part in batch["p"].flatten():
+                new[1:] |= np.diff(part.to_numpy()) != 0
             lead = np.cumsum(new) - 1
             hp, wp, np_, *_ = shingler.of(batch["p_text"].filter(pa.array(new)))
             hx, wx, nx, _, _, ux = shingler.of(batch["x_text"])
@@ -225,16 +230,16 @@ def similarities(pairs: DataFrame, texts: DataFrame, shingler: Shingler, least:
                     own = own[np.lexsort((hx[b][own], -ux[b][own]))]
                     n = np.searchsorted(np.cumsum(rest[own]), size[k] * (1 - least + 1e-9), "right") + 1
                     found.append(np.unique(hx[b][own[:n]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            out = {"p": pa.array(p), "x": pa.array(x), "similarity": pa.array(sim)}
+            out = {"p": batch["p"], "x": x, "similarity": pa.array(sim)}
             if keys:
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 out |= {"size": pa.array(size), "common": pa.array(common), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))}
             yield pa.RecordBatch.from_pydict(out)
 
-    px = pairs.join(texts.select(F.col("_id").alias("x"), F.col("text").alias("x_text")), "x")
-    both = px.join(texts.select(F.col("_id").alias("p"), F.col("text").alias("p_text")), "p").select("p", "x", "p_text", "x_text")
+    px = pairs.join(texts.select(F.col("doc").alias("x"), F.col("text").alias("x_text")), "x")
+    both = px.join(texts.select(F.col("doc").alias("p"), F.col("text").alias("p_text")), "p").select("p", "x", "p_text", "x_text")
     with arrow_rows(pairs.sparkSession, 256):
-        return stored(both.mapInArrow(run, "p bigint, x bigint, similarity double" + ", size double, common double, keys array<int>" * keys))
+        return stored(both.mapInArrow(run, f"p {NODE}, x {NODE}, similarity double" + ", size double, common double, keys array<int>" * keys))
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
@@ -244,8 +249,8 @@ def in_order(pairs: DataFrame) -> DataFrame:
 
 def families(members: DataFrame, texts: DataFrame, shingler: Shingler, least: float) -> DataFrame:
     """(p, x, similarity, size, common, keys, open): the members of each bucket compared with its densest one."""
-    top = members.groupBy("band", "h").agg(F.max(F.struct("dense", (-F.col("doc")).alias("doc"))).alias("_p"))
-    pairs = members.join(top.select("band", "h", (-F.col("_p.doc")).alias("p")), ["band", "h"]).filter("doc != p")
+    top = members.groupBy("band", "h").agg(F.min(F.struct((-F.col("dense")).alias("dense"), "doc")).alias("_p"))
+    pairs = members.join(top.select("band", "h", F.col("_p.doc").alias("p")), ["band", "h"]).filter("doc != p")
     out = similarities(pairs.select("p", F.col("doc").alias("x")).distinct(), texts, shingler, least, keys=True)
     return out.withColumn("open", F.col("similarity") < least)
 
@@ -267,8 +272,9 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
     full = rows.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(rows.join(full, ["band", "h"]).distinct())
     members = met.join(met.groupBy("doc").agg(F.sum("n").alias("dense")), "doc")
-    # the ids that meet grow with the documents: merged at every size, never broadcast
-    texts = stored(docs.select(id_key().alias("_id"), "text").join(met.select(F.col("doc").alias("_id")).distinct().hint("merge"), "_id", "left_semi"))
+    # one row per document, copies go before the shuffle; the ids that meet grow with the documents: merged at every size, never broadcast
+    copies = docs.select(node_key().alias("doc"), "text").groupBy("doc").agg(F.first("text").alias("text"))
+    texts = stored(copies.join(met.select("doc").distinct().hint("merge"), "doc", "left_semi"))
     compared = families(members, texts, shingler, least)
     tried = in_order(compared)
     links = compared.filter(~F.col("open")).select("p", "x").distinct()
@@ -283,7 +289,7 @@ def linked(nodes: DataFrame, docs: DataFrame, shingler: Shingler, least: float)
     shared = keyed.groupBy("f", "key").agg(F.count("*").alias("n"), F.max("open").alias("_o"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("_h")).filter("_o and n > 1")
     shared = shared.groupBy("f", "n", "_h").agg(F.min("key").alias("key")).select("f", "key")  # one of the keys that the same members share
     again = stored(keyed.join(shared, ["f", "key"]).distinct())
-    texts = stored(texts.join(again.select(F.col("doc").alias("_id")).distinct(), "_id", "left_semi"))
+    texts = stored(texts.join(again.select("doc").distinct(), "doc", "left_semi"))
     most = F.least("common", "p_common") + F.least(F.col("size") - F.col("common"), F.col("p_size") - F.col("p_common"))
     enough = most * (1 + least) >= (F.col("size") + F.col("p_size")) * (least - 1e-9)
     found, rest, pivots_each = classes(links), again, 1
@@ -326,28 +332,33 @@ def classes(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
-    """(_id, d1, d2, class): the class of every row of ``docs``, named by its smallest doc_id.
+    """(doc, d1, d2, class): the class of every row of ``docs``, named by its smallest document.
 
     A pair at the threshold of 0.8 meets in some band with probability 1 - (1 - 0.8**rows)**bands,
     0.999 with the given numbers.
     """
     shingler = Shingler(word_idf(docs), width)
     signed = stored(signatures(docs, shingler, bands, rows))
-    nodes = stored(signed.groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("some").alias("some")))
+    nodes = stored(signed.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("some").alias("some")))
     found = linked(nodes, docs, shingler, least)
     named = nodes.join(found, F.col("rep") == F.col("doc"), "left").select("d1", "d2", F.coalesce("class", "rep").alias("class"))
-    return signed.select("_id", "d1", "d2").join(named, ["d1", "d2"])
+    return signed.select("doc", "d1", "d2").join(named, ["d1", "d2"])
 
 
 def classified(docs: DataFrame, **how) -> DataFrame:
-    """doc_id and class_id, one row per document."""
-    out = near_duplicates(docs, **how)
-    return out.select(F.nullif("_id", F.lit(LEAST_ID)).alias("doc_id"), F.nullif("class", F.lit(LEAST_ID)).alias("class_id"))
+    """doc_id and class_id, one row per row of ``docs``.
+
+    A class has the id of its smallest document; where that is null or the smallest of several
+    classes (an id that stands for different texts), a negative number made of its text.
+    """
+    out = stored(near_duplicates(docs, **how).select("doc._id", "class"))
+    twice = out.select("class").distinct().groupBy(F.col("class._id").alias("_t")).agg(F.count("*").alias("_n")).filter((F.col("_n") > 1) | (F.col("_t") == LEAST_ID)).select("_t")
+    number = F.when(F.col("_t").isNull(), F.col("class._id")).otherwise(-1 - F.shiftrightunsigned("class._a", 1))
+    return out.join(twice, F.col("class._id") == F.col("_t"), "left").select(F.nullif("_id", F.lit(LEAST_ID)).alias("doc_id"), number.alias("class_id"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Of each class the document with the smallest doc_id, columns unchanged; of repeated ids one row."""
-    heads = stored(near_duplicates(docs, **how).select(F.col("class").alias("_id")).distinct())
-    one = Window.partitionBy("_id").orderBy("_text")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), id_key().alias("_id"), text_key().alias("_text"))
-    return rows.join(heads, "_id", "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("row.*")
+    """Of each class the document with the smallest doc_id, columns unchanged; of rows equal in id and text one."""
+    heads = stored(near_duplicates(docs, **how).select(F.col("class").alias("doc")).distinct())
+    rows = docs.select(node_key().alias("doc"), F.struct(*docs.columns).alias("row")).groupBy("doc").agg(F.first("row").alias("row"))
+    return rows.join(heads, "doc", "left_semi").select("row.*")
