@@ -99,6 +99,31 @@ def gap_report(spark, d):
     return A.gap_report(corpus, p, A.corpus_answers(corpus, D.bank(spark, d)), 5)
 
 
+@query("gap_report_corpus", D.with_ctes(*_CORPUS) + """SELECT CASE route WHEN 'bank' THEN 'bankable' ELSE route END AS kind, label_key, answerability, label,
+  n AS n_instances, required_count, CASE WHEN route = 'profile' THEN pf END AS profile_field FROM corpus WHERE route <> 'skip'""")
+def gap_report_corpus(spark, d):
+    return A.gap_report_corpus(A.corpus_gaps(D.questions(spark, d)))
+
+
+@query("gap_report_answered", D.with_ctes(*_CORPUS, D.CANDS_PLAIN, _ANS) + """SELECT candidate_id, 'bankable' AS kind, label_key, NULL AS profile_field,
+  CASE WHEN label_key LIKE 'notice%' THEN length(c_mktsegment) || ' weeks' END AS answer FROM ans JOIN customer ON candidate_id = c_custkey
+  UNION ALL SELECT candidate_id, 'profile', NULL, field, NULL FROM pv WHERE v IS NOT NULL""")
+def gap_report_answered(spark, d):
+    corpus = materialise(A.corpus_gaps(D.questions(spark, d)))
+    return A.gap_report_answered(corpus, D.candidates(spark, d, with_skills=False), D.bank(spark, d))
+
+
+@query("gap_report_totals", D.with_ctes(*_CORPUS, D.CANDS_PLAIN, _ANS, D.POSTS_PLAIN) + """SELECT candidate_id,
+  (SELECT count(*) FROM posts WHERE form_fetched_at IS NOT NULL AND form_readable) AS forms_read, (SELECT sum(n) FROM corpus)::BIGINT AS total_questions,
+  ((SELECT sum(n) FROM corpus WHERE route = 'profile') - coalesce((SELECT sum(n) FROM corpus JOIN pv ON pf = field WHERE route = 'profile'
+     AND pv.candidate_id = c.candidate_id AND v IS NOT NULL), 0))::BIGINT AS profile_reach,
+  ((SELECT sum(n) FROM corpus WHERE route = 'bank') - coalesce((SELECT sum(n) FROM corpus JOIN ans ON ans.label_key = corpus.label_key
+     WHERE route = 'bank' AND ans.candidate_id = c.candidate_id), 0))::BIGINT AS bankable_reach FROM cands0 c""")
+def gap_report_totals(spark, d):
+    corpus = materialise(A.corpus_gaps(D.questions(spark, d)))
+    return A.gap_report_totals(corpus, D.candidates(spark, d, with_skills=False), A.corpus_answers(corpus, D.bank(spark, d)), D.postings(spark, d, with_skills=False))
+
+
 @query("gap_reach", D.with_ctes(*_CORPUS, D.CANDS_PLAIN, _ANS) + """SELECT candidate_id,
   ((SELECT sum(n) FROM corpus WHERE route = 'profile') - coalesce((SELECT sum(n) FROM corpus JOIN pv ON pf = field WHERE route = 'profile'
      AND pv.candidate_id = c.candidate_id AND v IS NOT NULL), 0))::BIGINT AS profile_reach,

@@ -178,6 +178,39 @@ def gap_reach(corpus: DataFrame, profiles: DataFrame, answers: DataFrame) -> Dat
                     (all_bank - F.coalesce("b", F.lit(0))).cast("bigint").alias("bankable_reach")))
 
 
+KINDS = {"yours": "yours", "perPosting": "perPosting", "profile": "profile", "bank": "bankable"}
+
+
+def gap_report_corpus(corpus: DataFrame) -> DataFrame:
+    """A5 in full, the part that all candidates share: every row a report can show, in the order of n_instances.
+
+    With ``gap_report_answered`` and ``gap_report_totals`` it is the whole report, without candidates x keys:
+    a candidate's rows are these, less the profile rows of the fields answered there, with the bank answers there last.
+    """
+    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
+    return corpus.where(F.col("route") != "skip").select(
+        names[F.col("route")].alias("kind"), "label_key", "answerability", "label", F.col("n").alias("n_instances"),
+        "required_count", "profile_field")
+
+
+def gap_report_answered(corpus: DataFrame, profiles: DataFrame, bank: DataFrame) -> DataFrame:
+    """A5 in full, per candidate: bankable keys of the corpus with the stored answer, and the profile fields that are filled."""
+    stored = bank_matches(corpus_answers(corpus, bank), bank).select(
+        "candidate_id", F.lit("bankable").alias("kind"), "label_key", F.lit(None).cast("string").alias("profile_field"), F.col("text").alias("answer"))
+    asked = corpus.where(F.col("route") == "profile").select("profile_field").distinct()
+    filled = _filled_fields(profiles).join(asked, "profile_field").select(
+        "candidate_id", F.lit("profile").alias("kind"), F.lit(None).cast("string").alias("label_key"), "profile_field", F.lit(None).cast("string").alias("answer"))
+    return stored.unionByName(filled)
+
+
+def gap_report_totals(corpus: DataFrame, profiles: DataFrame, answers: DataFrame, postings: DataFrame) -> DataFrame:
+    """Forms read, questions in them, and the reach of what is open, per candidate."""
+    forms = postings.agg(F.count_if(F.col("form_fetched_at").isNotNull() & F.col("form_readable"))).scalar()
+    total = corpus.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return gap_reach(corpus, profiles, answers).select(
+        "candidate_id", forms.cast("bigint").alias("forms_read"), total.cast("bigint").alias("total_questions"), "profile_reach", "bankable_reach")
+
+
 def gap_report(corpus: DataFrame, profiles: DataFrame, answers: DataFrame,
                limit: int) -> DataFrame:
     """A5: the first ``limit`` open gaps per candidate and kind, most instances first.
@@ -186,7 +219,6 @@ def gap_report(corpus: DataFrame, profiles: DataFrame, answers: DataFrame,
     ``limit + a`` keys of the corpus ranking, so each candidate asks for just those
     ranks by an equality join.  A limit of the number of keys gives the full list.
     """
-    kinds = {"yours": "yours", "perPosting": "perPosting", "profile": "profile", "bank": "bankable"}
     per_key = corpus.where(F.col("route") != "skip")
     # Ranked over distinct (key, class): question types, not rows of the index.
     w = Window.partitionBy("route").orderBy(F.col("n").desc(), "label_key", "answerability")
@@ -200,7 +232,7 @@ def gap_report(corpus: DataFrame, profiles: DataFrame, answers: DataFrame,
     n_answered = (answered.join(per_key.select("label_key", "route", "answerability"),
                                 ["label_key", "route"])
                   .groupBy("candidate_id", "route").agg(F.count("*").alias("a")))
-    asks = (profiles.select("candidate_id", F.explode(F.array(*[F.lit(r) for r in kinds])).alias("route"))
+    asks = (profiles.select("candidate_id", F.explode(F.array(*[F.lit(r) for r in KINDS])).alias("route"))
             .join(n_answered, ["candidate_id", "route"], "left")
             .withColumn("pos", F.explode(F.sequence(F.lit(1), F.coalesce("a", F.lit(0)).cast("int")
                                                     + F.lit(limit)))).drop("a"))
@@ -208,7 +240,7 @@ def gap_report(corpus: DataFrame, profiles: DataFrame, answers: DataFrame,
     open_rows = (asks.join(ranked, ["route", "pos"])
                  .join(answered, ["candidate_id", "route", "label_key"], "left_anti"))
     w2 = Window.partitionBy("candidate_id", "route").orderBy("pos")
-    names = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     return (open_rows.withColumn("gap_rank", F.row_number().over(w2))
             .where(F.col("gap_rank") <= limit)
             .select("candidate_id", names[F.col("route")].alias("kind"), "gap_rank", "label_key",
