@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import alignment, bpe, lines, neardup, packing, quality, repair, secrets, sharding, substring, topk, warc
+from vacantia.llm import alignment, bpe, jaccard, lines, neardup, packing, quality, repair, secrets, sharding, substring, topk, warc
 from vacantia.llm.common import table
 
 
@@ -68,11 +68,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audited(conversations, repair.damage(conversations))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_substring_dedup, op3_bpe, op4_best_fit_packing, op5_sharding, op6_line_dedup, op7_minhash_near_dedup, op8_warc, op9_exact_top_k, op10_secret_scan,
-    op11_conversation_repair, op13_cross_tokenizer_alignment)}
+    op11_conversation_repair, op12_ngram_jaccard_join, op13_cross_tokenizer_alignment)}
 ORACLES: dict[str, str] = {}
