@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.operators import index as X
 from vacantia.operators import planning as P
+from vacantia.operators import matching as M
 from vacantia.operators import requests as R
 from vacantia.operators import score as W
 from vacantia.operators import search as S
@@ -30,7 +31,7 @@ def best_postings(profiles: DataFrame, postings: DataFrame, boards: DataFrame, k
     p = profiles.withColumn("candidate_country", S.country_of_profile("country", "location"))
     countries = p.select(F.col("candidate_country").alias("country"))
     rules = S.country_rules(countries, scopes if scopes is not None else S.scope_table(spark), world)
-    return W.top_matches(p, S.visible_postings(postings, boards), k, rules)
+    return M.top_matches(p, S.visible_postings(postings, boards), k, rules)
 
 
 def answer_conversations(messages: DataFrame, postings: DataFrame, now: Column, k: int,
