@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions import text as T
 from vacantia.functions.text import col
-from vacantia.session import spread
+from vacantia.session import materialise, spread
 
 
 def _strings() -> Column:
@@ -164,179 +165,194 @@ def _stems(token: Column) -> Column:
     return F.filter(F.array(token, *cut), lambda t: t.isNotNull())
 
 
-def _pair_key(a: Column, b: Column) -> Column:
-    return F.concat(F.lit("pair:"), F.least(a, b), F.lit(" "), F.greatest(a, b))
-
-
 def _title_stems() -> Column:
     """Title words as they stand and without their endings; a plain word matches by equality."""
     tokens = F.filter(F.split(F.lower("title"), "[^a-z0-9]+", -1), lambda t: t != "")
     return F.array_distinct(F.flatten(F.transform(tokens, _stems)))
 
 
-def _posting_keys() -> Column:
-    """Every key under which a search can reach this posting (reads ``_stems``)."""
-    def tag(kind: str, arr: Column) -> Column:
-        return F.transform(F.coalesce(arr, _strings()), lambda v: F.concat(F.lit(kind + ":"), v))
+#: Parts of a filter, the most selective kinds first; of these a conjunction holds the first ``AT_MOST`` that are stated.
+PARTS = ("company", "skills", "words", "place", "days", "level", "workplace")
+AT_MOST = 3
+#: Of several skills or title words so many are in the conjunction; the others are compared per hit.
+OF_SEVERAL = 2
+_SEP, _AND = "\u0001", "\u0002"
+_PLAIN = "^[a-z0-9]+$"
+
 
-    def one(kind: str, c: Column) -> Column:
-        return tag(kind, F.filter(F.array(c), lambda v: v.isNotNull()))
+def _known(c: Column) -> Column:
+    return F.filter(F.array(c), lambda v: v.isNotNull())
 
-    def words(stems: Column) -> Column:
-        pairs = F.flatten(F.transform(stems, lambda a: F.transform(
-            F.filter(stems, lambda b: a < b), lambda b: _pair_key(a, b))))
-        return F.concat(tag("word", stems), pairs)
 
-    work = F.when(F.col("remote"), F.lit("remote"))
-    return F.array_distinct(F.concat(
-        tag("skill", F.col("skills")), one("company", F.col("company")), words(F.col("_stems")),
-        one("level", F.col("level")), one("work", F.col("workplace")), one("work", work),
-        one("day", F.date_format("posted_at", "yyyy-MM-dd")),
-        one("loc", F.lower("location")), one("country", F.col("country")), F.array(F.lit("any:"))))
+def _pairs_of(a: Column) -> Column:
+    """Every two of a sorted array, as one value each."""
+    return F.flatten(F.transform(a, lambda x: F.transform(F.filter(a, lambda y: x < y), lambda y: F.concat(x, F.lit(_AND), y))))
 
 
-def _search_keys(now: Column) -> Column:
-    """Per stated part of a search the keys it could look under; "any" when nothing is stated."""
+def _filed(searches: DataFrame, now: Column, places: Sequence) -> DataFrame:
+    """Distinct filters (``fkey``, candidate_country, f), each with the parts of its conjunction.
+
+    ``sig`` names the kinds of parts, ``values`` their values per kind (several only for days), ``rest`` is the
+    filter without what the conjunction decides.
+    """
     f = lambda n: F.col("f." + n)
+    d = searches.withColumn("fkey", F.md5(F.concat_ws(_SEP, T.canonical_json("f"), F.coalesce("candidate_country", F.lit("")),
+                                                      F.col("candidate_country").isNull().cast("string"))))
+    d = d.select("fkey", "candidate_country", "f").dropDuplicates(["fkey"])
+    # a word such as "c++" stands in the title under its first letters or digits, and is compared per hit
     runs = F.filter(F.transform(F.coalesce(f("words"), _strings()), lambda w: F.try_element_at(F.filter(
         F.split(F.lower(w), "[^a-z0-9]+", -1), lambda t: t != ""), F.lit(1))), lambda t: t.isNotNull())
-    plain = F.array_distinct(F.filter(F.transform(F.coalesce(f("words"), _strings()), lambda w: F.lower(w)),
-                                      lambda w: w.rlike("^[a-z0-9]+$")))
-
-    def one(kind: str, c: Column) -> Column:
-        return F.when(c.isNotNull(), F.array(F.array(F.concat(F.lit(kind + ":"), c))))
-
-    def each(kind: str, arr: Column) -> Column:
-        return F.transform(arr, lambda v: F.array(F.concat(F.lit(kind + ":"), v)))
-
-    pair = F.when(F.size(plain) >= 2, F.array(F.array(_pair_key(
-        F.try_element_at(plain, F.lit(1)), F.try_element_at(plain, F.lit(2))))))
-    days = F.when(f("days").isNotNull(), F.array(F.transform(
-        F.sequence(F.to_date(now - F.make_dt_interval(f("days"))), F.to_date(now)),
-        lambda d: F.concat(F.lit("day:"), F.date_format(d, "yyyy-MM-dd")))))
-    place = F.when(f("place").isNotNull(), F.array(F.col("_place_keys")))
-    none = F.array().cast("array<array<string>>")
-    parts = F.concat(*[F.coalesce(x, none) for x in (
-        one("company", f("company")), each("skill", f("skills")), pair, each("word", runs), days, place,
-        one("level", f("level")), one("work", f("workplace")))])
-    return T.let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.array(F.lit("any:")))))
-
-
-def _most_selective(searches: DataFrame, postings: DataFrame, now: Column,
-                    rows_per_salt: int) -> DataFrame:
-    """(search_id, _key, _salts): the keys of the part that the fewest postings have, by count.
-
-    ``_salts`` is the number of pieces a key's postings are cut into, so that a key
-    many postings share is spread over as many tasks.
+    words = F.slice(F.array_sort(F.array_distinct(runs)), 1, OF_SEVERAL)
+    skills = F.slice(F.array_sort(F.array_distinct(F.coalesce(f("skills"), _strings()))), 1, OF_SEVERAL)
+    days = F.transform(F.sequence(F.to_date(now - F.make_dt_interval(f("days"))), F.to_date(now)), lambda x: F.date_format(x, "yyyy-MM-dd"))
+    d = d.withColumn("_place", _place_id(places)).withColumn("_words", words).withColumn("_skills", skills)
+
+    def part(kind: str, values: Column, test: Column) -> Column:
+        return F.when(test, F.struct(F.lit(kind).alias("kind"), values.alias("values")))
+
+    def several(kind: str, c: str) -> Column:
+        return part(kind, F.array(F.array_join(c, _AND)), F.size(c) > 0)
+
+    stated = [part("company", F.array(f("company")), f("company").isNotNull()), several("skills", "_skills"), several("words", "_words"),
+              part("place", F.array(F.col("_place")), f("place").isNotNull()), part("days", days, f("days").isNotNull()),
+              part("level", F.array(f("level")), f("level").isNotNull()), part("workplace", F.array(f("workplace")), f("workplace").isNotNull())]
+    d = d.withColumn("_parts", F.slice(F.filter(F.array(*stated), lambda p: p.isNotNull()), 1, AT_MOST))
+    kinds = F.transform("_parts", lambda p: p["kind"])
+    sizes = F.transform(kinds, lambda k: F.when(k == "words", F.concat(k, F.size("_words").cast("string")))
+                        .when(k == "skills", F.concat(k, F.size("_skills").cast("string"))).otherwise(k))
+    rest = F.col("f")
+    for name in ("company", "level", "workplace", "place"):
+        rest = rest.withField(name, F.when(~F.array_contains(kinds, F.lit(name)), f(name)))
+    plain = F.forall(F.coalesce(f("words"), _strings()), lambda w: F.lower(w).rlike(_PLAIN))
+    whole = F.array_contains(kinds, F.lit("words")) & plain & (F.size(F.array_distinct(F.transform(f("words"), lambda w: F.lower(w)))) <= OF_SEVERAL)
+    rest = rest.withField("words", F.when(~F.coalesce(whole, F.lit(False)), f("words")).otherwise(_strings()))
+    rest = rest.withField("skills", F.when(F.array_contains(kinds, F.lit("skills")), F.array_except(f("skills"), "_skills")).otherwise(f("skills")))
+    return d.select("fkey", "candidate_country", "f", F.array_join(sizes, ",").alias("sig"), F.transform("_parts", lambda p: p["values"]).alias("values"), rest.alias("rest"))
+
+
+def _place_id(places: Sequence) -> Column:
+    """A place by what it looks for: its terms and its country."""
+    return F.when(F.col("f.place").isNotNull(), F.md5(F.concat_ws(_SEP, F.array_sort(F.array_distinct(F.transform(
+        F.coalesce("f.place.terms", _strings()), lambda t: F.lower(t)))), F.coalesce(_place_country(places, "f.place.label"), F.lit("")))))
+
+
+def _place_country(places: Sequence, label: str) -> Column:
+    countries = {name: c for name, _, _, c in places if c}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in countries.items() for x in kv]), F.col(label)) if countries else F.lit(None).cast("string")
+
+
+def _with_places(postings: DataFrame, searches: DataFrame, places: Sequence) -> DataFrame:
+    """``_places``: the places, by id, that a posting is in.
+
+    The distinct locations are cut into all their substrings of a length some term has, so "contains"
+    becomes "equals"; the work grows with the number of distinct locations and places.
     """
-    alts = searches.select("search_id", F.posexplode(_search_keys(now)).alias("_part", "_keys"))
-    wanted = alts.select("search_id", "_part", F.explode_outer("_keys").alias("_key"))
-    slim = postings.select("_stems", "skills", "company", "level", "workplace", "remote", "posted_at",
-                           "location", "country").select(F.explode(_posting_keys()).alias("_key"))
-    counts = slim.groupBy("_key").agg(F.count("*").alias("_n"))
-    sized = wanted.join(counts, "_key", "left")
-    best = (sized.groupBy("search_id", "_part").agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"),
-        F.collect_list(F.when(F.col("_n") > 0, F.struct("_key", "_n"))).alias("_sized"))
-        .groupBy("search_id").agg(F.min_by("_sized", F.struct("_n", "_part")).alias("_sized")))
-    # Keys without a posting lead nowhere and drop out here.
-    return best.select("search_id", F.explode("_sized").alias("_k")).select(
-        "search_id", F.col("_k._key").alias("_key"),
-        F.ceil(F.col("_k._n") / rows_per_salt).cast("int").alias("_salts"))
-
-
-def _with_place_keys(searches: DataFrame, postings: DataFrame, places: Sequence) -> DataFrame:
-    """Location strings that hold one of a search's place terms, through an equality join.
-
-    The distinct locations are cut into all their substrings of a length some
-    place term has, so "contains" becomes "equals"; the work grows with the
-    number of distinct locations only.
-    """
-    terms = (searches.where(F.col("f.place").isNotNull())
-             .select(F.explode("f.place.terms").alias("term"))
-             .select(F.lower("term").alias("term")).distinct())
+    wanted = searches.where(F.col("f.place").isNotNull()).select(_place_id(places).alias("id"), F.col("f.place.terms").alias("terms"), _place_country(places, "f.place.label").alias("country")).dropDuplicates(["id"])
+    terms = wanted.select("id", F.explode("terms").alias("term")).select("id", F.lower("term").alias("term")).distinct()
     sizes = terms.agg(F.array_sort(F.collect_set(F.length("term")))).scalar()
-    loc = (postings.where(F.col("location").isNotNull())
-           .select(F.lower("location").alias("loc")).distinct().withColumn("_sizes", sizes))
-    cut = (loc.select("loc", F.explode("_sizes").alias("n"))
-           .where(F.length("loc") >= F.col("n"))
-           .select("loc", F.explode(F.array_distinct(F.transform(
-               F.sequence(F.lit(1), F.length("loc") - F.col("n") + 1),
-               lambda i: F.substr(F.col("loc"), i, F.col("n"))))).alias("term")))
-    hits = terms.join(cut, "term")
-    mine = (searches.where(F.col("f.place").isNotNull())
-            .select("search_id", F.explode("f.place.terms").alias("term"))
-            .withColumn("term", F.lower("term")).join(hits, "term")
-            .groupBy("search_id").agg(F.collect_set(F.concat(F.lit("loc:"), "loc")).alias("_locs")))
-    countries = {label: c for label, _, _, c in places if c}
-    own = (F.try_element_at(F.create_map(*[F.lit(x) for kv in countries.items() for x in kv]),
-                            F.col("f.place.label")) if countries else F.lit(None).cast("string"))
-    extra = F.filter(F.array(F.concat(F.lit("country:"), own)), lambda k: k.isNotNull())
-    return (searches.join(mine, "search_id", "left")
-            .withColumn("_place_keys", F.concat(F.coalesce("_locs", _strings()), extra))
-            .drop("_locs"))
-
-
-def search_candidates(postings: DataFrame, searches: DataFrame, now: Column,
-                      places: Sequence = V.REQUEST_PLACES, rows_per_salt: int = 50_000) -> DataFrame:
-    """(search, posting) rows that pass all filters; ``phrase`` tells the stricter title test.
-
-    Both sides meet on the keys of the search's most selective part, so no pair is
-    built that shares nothing; a search without any part meets every posting,
-    because every posting is its answer.  Keys that many postings share are salted
-    by their counted size.
+    loc = postings.where(F.col("location").isNotNull()).select(F.lower("location").alias("loc")).distinct().withColumn("_sizes", sizes)
+    cut = loc.select("loc", F.explode("_sizes").alias("n")).where(F.length("loc") >= F.col("n")).select("loc", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("loc") - F.col("n") + 1), lambda i: F.substr(F.col("loc"), i, F.col("n"))))).alias("term"))
+    by_loc = cut.join(terms, "term").groupBy("loc").agg(F.collect_set("id").alias("_by_loc"))
+    by_country = wanted.where(F.col("country").isNotNull()).groupBy("country").agg(F.collect_set("id").alias("_by_country"))
+    d = postings.withColumn("_loc", F.lower("location"))
+    d = d.join(by_loc.withColumnRenamed("loc", "_loc"), "_loc", "left").drop("_loc")
+    d = d.join(by_country.withColumnRenamed("country", "_c"), d["country"] == F.col("_c"), "left").drop("_c")
+    return d.withColumn("_places", F.array_union(F.coalesce("_by_loc", _strings()), F.coalesce("_by_country", _strings()))).drop("_by_loc", "_by_country")
+
+
+def _values_of_posting(kind: str) -> Column:
+    """The values under which a posting has a part (reads ``_stems``, ``_places``)."""
+    n = int(kind[-1]) if kind[-1].isdigit() else 1
+    several = {"words": "_stems", "skills": "skills"}.get(kind.rstrip("12"))
+    if several:
+        a = F.array_sort(F.array_distinct(F.coalesce(several, _strings())))
+        return a if n == 1 else _pairs_of(a)
+    if kind == "workplace":
+        return F.array_union(_known(F.col("workplace")), _known(F.when(F.col("remote"), F.lit("remote"))))
+    return {"company": _known(F.col("company")), "place": F.col("_places"), "level": _known(F.col("level")),
+            "days": _known(F.date_format("posted_at", "yyyy-MM-dd"))}[kind]
+
+
+def _conjunctions(sig: str) -> Column:
+    """Every conjunction of these kinds of parts that a posting has."""
+    def longer(out: Column, values: Column) -> Column:
+        return F.flatten(F.transform(out, lambda x: F.transform(values, lambda y: F.concat(x, F.lit(_SEP), y))))
+
+    return reduce(longer, map(_values_of_posting, filter(None, sig.split(","))), F.array(F.lit(sig)))
+
+
+def _hits(postings: DataFrame, searches: DataFrame, now: Column, rules: DataFrame | None, places: Sequence) -> tuple[DataFrame, DataFrame]:
+    """(searches with ``fkey``, hits per distinct filter): fkey, posting columns, title_match.
+
+    An index of conjunctions.  Searches of one filter and country are matched once.  Each filter is filed under one
+    value made of its (up to three) most selective parts; a posting has such a value for every combination of its
+    own that some filter asks for, so both meet by equality on all of these parts at once, and a pair that is met
+    is nearly always a hit.  What the value leaves open (further words, the hour of a day) is compared then.
     """
-    postings = postings.withColumn("_stems", _title_stems())
-    placed = _with_place_keys(searches, postings, places)
-    keys = _most_selective(placed, postings, now, rows_per_salt)
-    s = spread(placed.join(keys, "search_id").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts"), "search_id", "_key", "_salt")
-    # Search keys decide which posting keys are worth shuffling at all.
-    p = (postings.withColumn("_key", F.explode(_posting_keys()))
-         .join(keys.select("_key", "_salts").distinct(), "_key")
-         .withColumn("_salt", F.pmod(F.xxhash64("posting_id"), "_salts").cast("int")).drop("_salts"))
-    words = F.coalesce(F.col("f.words"), _strings())
-    # Plain words are compared with the title's stems; only words such as "c++" need a pattern.
-    plain = lambda w: w.rlike("^[a-z0-9]+$")
-    s = (s.withColumn("_plain", F.filter(words, plain))
-         .withColumn("_odd", F.filter(words, lambda w: ~plain(w))))
-    all_words = ((F.size(F.array_except("_plain", "_stems")) == 0)
-                 & ((F.size("_odd") == 0) | T.title_matches("title", F.col("_odd"))))
-    # A place search meets a posting under its country only if not under its location.
-    twice = F.startswith("_key", F.lit("country:")) & F.array_contains(
-        "_place_keys", F.concat(F.lit("loc:"), F.lower("location")))
-    hits = (s.join(p, ["_key", "_salt"])
-            .where(all_words & filters_expr(now, places) & ~F.coalesce(twice, F.lit(False)))
-            .drop("_key", "_salt", "_place_keys", "_plain", "_odd", "_stems"))
-    return hits.withColumn("phrase", F.when(F.size(words) < 2, True)
-                           .otherwise(T.title_has_phrase("title", words)))
+    s = searches.withColumn("fkey", F.md5(F.concat_ws(_SEP, T.canonical_json("f"), F.coalesce("candidate_country", F.lit("")), F.col("candidate_country").isNull().cast("string"))))
+    filters = materialise(_filed(searches, now, places))
+    sigs = [r.sig for r in filters.select("sig").distinct().orderBy("sig").collect()]  # kinds of parts: at most a few hundred, whatever the data
+    p = _with_places(postings.withColumn("_stems", _title_stems()), filters, places)
+    if rules is not None:
+        p = p.withColumn("bare", bare_country_of("location"))
+    keyed = p.withColumn("_key", F.explode(F.flatten(F.array(*map(_conjunctions, sigs))) if sigs else _strings())).drop("_places")
+    mine = filters
+    for n in range(AT_MOST):
+        mine = mine.withColumn(f"_v{n}", F.explode(F.when(F.size("values") > n, F.get("values", F.lit(n))).otherwise(F.array(F.lit(None).cast("string")))))
+    mine = mine.withColumn("_key", F.concat_ws(_SEP, "sig", *[f"_v{n}" for n in range(AT_MOST)])).drop("sig", "values", *[f"_v{n}" for n in range(AT_MOST)])
+    words = F.coalesce(F.col("rest.words"), _strings())
+    odd = F.filter(words, lambda w: ~w.rlike(_PLAIN))
+    all_words = (F.size(F.array_except(F.filter(words, lambda w: w.rlike(_PLAIN)), "_stems")) == 0) & ((F.size(odd) == 0) | T.title_matches("title", odd))
+    hits = spread(mine, "_key").join(keyed, "_key").where(all_words & filters_expr(now, places, "rest."))
+    if rules is not None:
+        r = rules.withColumnRenamed("country", "candidate_country")
+        hits = (hits.withColumn("posting_country", F.col("country")).join(r, "candidate_country", "left")
+                .where(F.col("f.place").isNotNull() | eligible_expr()).drop("posting_country", "excluded_scopes", "own_names", "other_names", "bare"))
+    asked = F.coalesce(F.col("f.words"), _strings())
+    hits = hits.withColumn("phrase", F.when(F.size(asked) < 2, True).otherwise(T.title_has_phrase("title", asked))).withColumn("_n", F.size(asked))
+    # With fewer than two words the phrase is the word, so only the others need the mode: one aggregate joined back.
+    mode = hits.where("_n >= 2").groupBy("fkey").agg(F.max("phrase").alias("any_phrase"))
+    loose = F.coalesce(~F.col("any_phrase"), F.lit(False))
+    hits = (hits.join(mode, "fkey", "left").where(F.col("phrase") | loose)
+            .withColumn("title_match", F.when(F.col("_n") == 0, F.lit(None).cast("string")).when(loose, "words").otherwise("phrase")))
+    return s, hits.drop("_key", "_stems", "rest", "f", "candidate_country", "phrase", "any_phrase", "_n")
 
 
 def search(postings: DataFrame, searches: DataFrame, now: Column,
            rules: DataFrame | None = None, places: Sequence = V.REQUEST_PLACES) -> DataFrame:
     """matching postings per search: the phrase as typed, else all words.
 
-    ``searches(search_id, candidate_country, f)``.  Eligibility applies unless
-    the search names a place.  The mode is one aggregate per search joined back,
-    so a search with very many hits is never gathered in one task.
+    ``searches(search_id, candidate_country, f)``.  Eligibility applies unless the search names a place.
     """
-    if rules is not None:
-        postings = postings.withColumn("bare", bare_country_of("location"))
-    hits = search_candidates(postings, searches, now, places)
-    if rules is not None:
-        r = rules.withColumnRenamed("country", "candidate_country")
-        hits = (hits.withColumn("posting_country", F.col("country"))
-                .join(r, "candidate_country", "left")
-                .where(F.col("f.place").isNotNull() | eligible_expr())
-                .drop("posting_country", "excluded_scopes", "own_names", "other_names", "bare"))
-    n_words = F.size(F.coalesce(F.col("f.words"), _strings()))
-    # With fewer than two words the phrase is the word, so only the others need the mode.
-    mode = (hits.where(n_words >= 2).groupBy("search_id").agg(F.max("phrase").alias("any_phrase")))
-    loose = F.coalesce(~F.col("any_phrase"), F.lit(False))
-    return (hits.join(mode, "search_id", "left").where(F.col("phrase") | loose)
-            .withColumn("title_match", F.when(n_words == 0, F.lit(None).cast("string"))
-                        .when(loose, "words").otherwise("phrase"))
-            .drop("any_phrase", "phrase"))
+    s, hits = _hits(postings, searches, now, rules, places)
+    return s.join(hits, "fkey").drop("fkey")
+
+
+def search_totals(postings: DataFrame, searches: DataFrame, now: Column, rules: DataFrame | None = None,
+                  places: Sequence = V.REQUEST_PLACES, since: str | None = None) -> DataFrame:
+    """``searches`` with ``total`` hits and, where a time column is given, how many are first seen after it (``new_count``).
+
+    Hits are counted per distinct filter and day; no (search, posting) row is made.
+    """
+    s, hits = _hits(postings, searches, now, rules, places)
+    s = materialise(s)
+    if since is None:
+        return s.join(hits.groupBy("fkey").agg(F.count("*").alias("total")), "fkey", "left").fillna(0, ["total"]).drop("fkey")
+    seen = materialise(hits.groupBy("fkey", F.col("first_seen_at").alias("at")).agg(F.count("*").alias("n")))
+    daily = seen.groupBy("fkey", F.to_date("at").alias("day")).agg(F.sum("n").alias("n"))
+    asked = s.select("fkey", F.col(since).alias("since")).distinct()
+    # per filter a row a day, and the days its searches ask from
+    days = daily.unionByName(asked.where("since is not null").select("fkey", F.to_date("since").alias("day"), F.lit(0).cast("bigint").alias("n")))
+    days = days.groupBy("fkey", "day").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("fkey").orderBy(F.col("day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    later = days.withColumn("later", F.coalesce(F.sum("n").over(w), F.lit(0))).select("fkey", "day", "later")
+    same = (asked.withColumn("day", F.to_date("since")).join(seen.withColumn("day", F.to_date("at")), ["fkey", "day"])
+            .where("at > since").groupBy("fkey", "since").agg(F.sum("n").alias("same")))
+    new = (asked.withColumn("day", F.to_date("since")).join(later, ["fkey", "day"]).join(same, ["fkey", "since"], "left")
+           .select("fkey", F.col("since").alias(since), (F.col("later") + F.coalesce("same", F.lit(0))).alias("new_count")))
+    total = daily.groupBy("fkey").agg(F.sum("n").alias("total"))
+    return s.join(total, "fkey", "left").join(new, ["fkey", since], "left").fillna(0, ["total", "new_count"]).drop("fkey")
 
 
 # ---------------------------------------------------------------- F9, F10
@@ -387,8 +403,7 @@ def loosen(postings: DataFrame, empty_searches: DataFrame, now: Column,
              .withColumn("f", without_part(F.col("chip.key")))
              .withColumn("origin", F.col("search_id"))
              .withColumn("search_id", F.concat_ws("|", "search_id", "chip.ord", "chip.key")))
-    found = search(postings, tries, now, rules, places)
-    totals = found.groupBy("origin", "chip").agg(F.count("*").alias("total"))
+    totals = search_totals(postings, tries, now, rules, places).where("total > 0").select("origin", "chip", "total")
     best = F.max_by(F.struct("chip", "total"),
                     F.struct((F.col("chip.key") != "words").alias("a"), F.col("total").alias("b"),
                              (-F.col("chip.ord")).alias("c"), F.col("chip.key").alias("d")))
@@ -403,10 +418,7 @@ def saved_search_counts(searches: DataFrame, postings: DataFrame, now: Column,
                         places: Sequence = V.REQUEST_PLACES) -> DataFrame:
     """total and new postings per saved search; unreadable filters are flagged."""
     good = searches.where(F.col("f").isNotNull())
-    hits = search(postings, good, now, rules, places)
-    counts = hits.groupBy("search_id").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("first_seen_at") > F.col("last_seen_at")).alias("new_count"))
+    counts = search_totals(postings, good, now, rules, places, since="last_seen_at").select("search_id", "total", "new_count")
     return (searches.select("search_id", F.col("f").isNull().alias("broken"))
             .join(counts, "search_id", "left").fillna(0, ["total", "new_count"]))
 
