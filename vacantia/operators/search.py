@@ -196,9 +196,7 @@ def _filed(searches: DataFrame, now: Column, places: Sequence) -> DataFrame:
     filter without what the conjunction decides.
     """
     f = lambda n: F.col("f." + n)
-    d = searches.withColumn("fkey", F.md5(F.concat_ws(_SEP, T.canonical_json("f"), F.coalesce("candidate_country", F.lit("")),
-                                                      F.col("candidate_country").isNull().cast("string"))))
-    d = d.select("fkey", "candidate_country", "f").dropDuplicates(["fkey"])
+    d = searches.select(_filter_key().alias("fkey"), "candidate_country", "f").dropDuplicates(["fkey"])
     # a word such as "c++" stands in the title under its first letters or digits, and is compared per hit
     runs = F.filter(F.transform(F.coalesce(f("words"), _strings()), lambda w: F.try_element_at(F.filter(
         F.split(F.lower(w), "[^a-z0-9]+", -1), lambda t: t != ""), F.lit(1))), lambda t: t.isNotNull())
@@ -279,44 +277,49 @@ def _conjunctions(sig: str) -> Column:
     def longer(out: Column, values: Column) -> Column:
         return F.flatten(F.transform(out, lambda x: F.transform(values, lambda y: F.concat(x, F.lit(_SEP), y))))
 
-    return reduce(longer, map(_values_of_posting, filter(None, sig.split(","))), F.array(F.lit(sig)))
+    return reduce(longer, [F.col(f"_of_{kind}") for kind in sig.split(",") if kind], F.array(F.lit(sig)))
 
 
-def _hits(postings: DataFrame, searches: DataFrame, now: Column, rules: DataFrame | None, places: Sequence) -> tuple[DataFrame, DataFrame]:
-    """(searches with ``fkey``, hits per distinct filter): fkey, posting columns, title_match.
+#: What matching reads of a posting.
+_READ = ("title", "company", "location", "country", "remote", "remote_scope", "workplace", "level", "skills", "posted_at")
+
+
+def _filter_key() -> Column:
+    country = F.col("candidate_country")
+    return F.md5(F.concat_ws(_SEP, T.canonical_json("f"), F.coalesce(country, F.lit("")), country.isNull().cast("string")))
+
+
+def _hits(postings: DataFrame, searches: DataFrame, now: Column, rules: DataFrame | None, places: Sequence) -> DataFrame:
+    """Hits per distinct filter: fkey, posting columns, ``phrase`` (the stricter title test), ``n_words``.
 
     An index of conjunctions.  Searches of one filter and country are matched once.  Each filter is filed under one
     value made of its (up to three) most selective parts; a posting has such a value for every combination of its
     own that some filter asks for, so both meet by equality on all of these parts at once, and a pair that is met
     is nearly always a hit.  What the value leaves open (further words, the hour of a day) is compared then.
     """
-    s = searches.withColumn("fkey", F.md5(F.concat_ws(_SEP, T.canonical_json("f"), F.coalesce("candidate_country", F.lit("")), F.col("candidate_country").isNull().cast("string"))))
     filters = materialise(_filed(searches, now, places))
     sigs = [r.sig for r in filters.select("sig").distinct().orderBy("sig").collect()]  # kinds of parts: at most a few hundred, whatever the data
+    kinds = sorted({k for sig in sigs for k in sig.split(",") if k})
     p = _with_places(postings.withColumn("_stems", _title_stems()), filters, places)
-    if rules is not None:
-        p = p.withColumn("bare", bare_country_of("location"))
-    keyed = p.withColumn("_key", F.explode(F.flatten(F.array(*map(_conjunctions, sigs))) if sigs else _strings())).drop("_places")
-    mine = filters
+    p = materialise(p.select(*postings.columns, "_stems", bare_country_of("location").alias("bare"), *[_values_of_posting(k).alias(f"_of_{k}") for k in kinds])
+                    .withColumn("_row", F.monotonically_increasing_id()))
+    mine = filters.select("fkey", "sig", "values")
     for n in range(AT_MOST):
         mine = mine.withColumn(f"_v{n}", F.explode(F.when(F.size("values") > n, F.get("values", F.lit(n))).otherwise(F.array(F.lit(None).cast("string")))))
-    mine = mine.withColumn("_key", F.concat_ws(_SEP, "sig", *[f"_v{n}" for n in range(AT_MOST)])).drop("sig", "values", *[f"_v{n}" for n in range(AT_MOST)])
+    mine = mine.select("fkey", F.concat_ws(_SEP, "sig", *[f"_v{n}" for n in range(AT_MOST)]).alias("_key"))
+    keyed = p.select("_row", F.explode(F.flatten(F.array(*map(_conjunctions, sigs))) if sigs else _strings()).alias("_key"))
+    pairs = spread(mine, "_key").join(keyed, "_key").select("fkey", "_row")  # narrow: what is compared then joins the pairs that met
+    d = pairs.join(p.drop(*[f"_of_{k}" for k in kinds]), "_row").join(filters.select("fkey", "candidate_country", "f", "rest"), "fkey")
     words = F.coalesce(F.col("rest.words"), _strings())
     odd = F.filter(words, lambda w: ~w.rlike(_PLAIN))
     all_words = (F.size(F.array_except(F.filter(words, lambda w: w.rlike(_PLAIN)), "_stems")) == 0) & ((F.size(odd) == 0) | T.title_matches("title", odd))
-    hits = spread(mine, "_key").join(keyed, "_key").where(all_words & filters_expr(now, places, "rest."))
+    hits = d.where(all_words & filters_expr(now, places, "rest."))
     if rules is not None:
         r = rules.withColumnRenamed("country", "candidate_country")
         hits = (hits.withColumn("posting_country", F.col("country")).join(r, "candidate_country", "left")
-                .where(F.col("f.place").isNotNull() | eligible_expr()).drop("posting_country", "excluded_scopes", "own_names", "other_names", "bare"))
+                .where(F.col("f.place").isNotNull() | eligible_expr()))
     asked = F.coalesce(F.col("f.words"), _strings())
-    hits = hits.withColumn("phrase", F.when(F.size(asked) < 2, True).otherwise(T.title_has_phrase("title", asked))).withColumn("_n", F.size(asked))
-    # With fewer than two words the phrase is the word, so only the others need the mode: one aggregate joined back.
-    mode = hits.where("_n >= 2").groupBy("fkey").agg(F.max("phrase").alias("any_phrase"))
-    loose = F.coalesce(~F.col("any_phrase"), F.lit(False))
-    hits = (hits.join(mode, "fkey", "left").where(F.col("phrase") | loose)
-            .withColumn("title_match", F.when(F.col("_n") == 0, F.lit(None).cast("string")).when(loose, "words").otherwise("phrase")))
-    return s, hits.drop("_key", "_stems", "rest", "f", "candidate_country", "phrase", "any_phrase", "_n")
+    return hits.select("fkey", *postings.columns, F.when(F.size(asked) < 2, True).otherwise(T.title_has_phrase("title", asked)).alias("phrase"), F.size(asked).alias("n_words"))
 
 
 def search(postings: DataFrame, searches: DataFrame, now: Column,
@@ -325,8 +328,13 @@ def search(postings: DataFrame, searches: DataFrame, now: Column,
 
     ``searches(search_id, candidate_country, f)``.  Eligibility applies unless the search names a place.
     """
-    s, hits = _hits(postings, searches, now, rules, places)
-    return s.join(hits, "fkey").drop("fkey")
+    hits = _hits(postings, searches, now, rules, places)
+    # With fewer than two words the phrase is the word, so only the others need the mode: one aggregate joined back.
+    mode = hits.where("n_words >= 2").groupBy("fkey").agg(F.max("phrase").alias("any_phrase"))
+    loose = F.coalesce(~F.col("any_phrase"), F.lit(False))
+    hits = (hits.join(mode, "fkey", "left").where(F.col("phrase") | loose)
+            .withColumn("title_match", F.when(F.col("n_words") == 0, F.lit(None).cast("string")).when(loose, "words").otherwise("phrase")))
+    return searches.withColumn("fkey", _filter_key()).join(hits.drop("phrase", "any_phrase", "n_words"), "fkey").drop("fkey")
 
 
 def search_totals(postings: DataFrame, searches: DataFrame, now: Column, rules: DataFrame | None = None,
@@ -335,11 +343,15 @@ def search_totals(postings: DataFrame, searches: DataFrame, now: Column, rules:
 
     Hits are counted per distinct filter and day; no (search, posting) row is made.
     """
-    s, hits = _hits(postings, searches, now, rules, places)
-    s = materialise(s)
+    s = searches.withColumn("fkey", _filter_key())
+    at = F.lit(None) if since is None else F.col("first_seen_at")
+    narrow = postings.select(*_READ, *([] if since is None else ["first_seen_at"]))
+    hits = _hits(narrow, searches, now, rules, places).groupBy("fkey", at.alias("at"), "phrase").agg(F.count("*").alias("n"))
+    hits = materialise(hits)
+    mode = hits.groupBy("fkey").agg(F.max("phrase").alias("any_phrase"))
+    seen = hits.join(mode, "fkey").where(F.col("phrase") | ~F.col("any_phrase")).groupBy("fkey", "at").agg(F.sum("n").alias("n"))
     if since is None:
-        return s.join(hits.groupBy("fkey").agg(F.count("*").alias("total")), "fkey", "left").fillna(0, ["total"]).drop("fkey")
-    seen = materialise(hits.groupBy("fkey", F.col("first_seen_at").alias("at")).agg(F.count("*").alias("n")))
+        return s.join(seen.withColumnRenamed("n", "total").drop("at"), "fkey", "left").fillna(0, ["total"]).drop("fkey")
     daily = seen.groupBy("fkey", F.to_date("at").alias("day")).agg(F.sum("n").alias("n"))
     asked = s.select("fkey", F.col(since).alias("since")).distinct()
     # per filter a row a day, and the days its searches ask from
