@@ -53,6 +53,37 @@ def bank_matches(spark, d):
     return A.bank_matches(D.questions(spark, d), D.bank(spark, d)).select("candidate_id", "label_key", "via", "ord")
 
 
+def _keys_and_patterns(spark, d):
+    """Names of parts as keys; a pattern for every part: two of its words, apart or either of them, or a form of its type."""
+    p = D.read(spark, d, "part")
+    keys = p.select(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"), F.col("p_partkey").cast("string")).alias("label_key"))
+    name, n = F.split(F.lower("p_name"), " "), F.col("p_partkey").cast("string")
+    made = F.when(F.col("p_partkey") % 4 == 0, F.concat(name[0], F.lit(".*"), n, F.lit("$"))).when(
+        F.col("p_partkey") % 4 == 1, F.concat(F.lit("("), name[0], F.lit("|^"), name[1], F.lit(r") [a-z]+ \b"), n)).when(
+        F.col("p_partkey") % 4 == 2, F.concat(F.lit(r"\d{2}"), n, F.lit("?$"))).otherwise(F.concat(F.lit("(?:x+|"), name[1], F.lit(")+ "), F.lower("p_type"), F.lit(r"\s(?:"), n, F.lit("|0)")))
+    return keys, p.select(made.alias("p"))
+
+
+_KEYS = r"""ks AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) || ' ' || p_partkey AS label_key FROM part),
+  ps AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN split_part(lower(p_name), ' ', 1) || '.*' || p_partkey || '$'
+    WHEN 1 THEN '(' || split_part(lower(p_name), ' ', 1) || '|^' || split_part(lower(p_name), ' ', 2) || ') [a-z]+ \b' || p_partkey
+    WHEN 2 THEN '\d{2}' || p_partkey || '?$' ELSE '(?:x+|' || split_part(lower(p_name), ' ', 2) || ')+ ' || lower(p_type) || '\s(?:' || p_partkey || '|0)' END AS p FROM part)""".replace("\\\\", "\\")
+
+
+# The check tries every pattern on every key.
+@query("pattern_hits", D.with_ctes(_KEYS) + "SELECT label_key, p FROM ks JOIN ps ON regexp_matches(label_key, p)")
+def pattern_hits(spark, d):
+    return A.pattern_hits(*_keys_and_patterns(spark, d))
+
+
+@query("pattern_survivors", D.with_ctes(_KEYS) + """SELECT label_key, count(p) AS matched, true AS few FROM ks LEFT JOIN ps ON regexp_matches(label_key, p) GROUP BY 1""")
+def pattern_survivors(spark, d):
+    """``few``: no key has more tries than a twentieth of all patterns and ten."""
+    keys, patterns = _keys_and_patterns(spark, d)
+    most = patterns.distinct().agg(F.count("*")).scalar() / 20 + 10
+    return A.pattern_survivors(keys, patterns).select("label_key", "matched", (F.col("tried") <= most).alias("few"))
+
+
 @query("screen_patterns", """SELECT c_custkey AS candidate_id, CASE WHEN c_acctbal < 0 THEN 1 ELSE 2 END AS kept FROM customer""")
 def screen_patterns(spark, d):
     c = D.read(spark, d, "customer")

@@ -290,6 +290,10 @@ qraw AS (SELECT o_custkey AS candidate_id, 'orders:' || o_orderpriority || ':' |
 
 
 # ------------------------------------------------------------------ saved answers
+#: Patterns that do not compile, or that engines read differently: of no effect.
+REFUSED = ("([", "(?P<n>notice)", r"\p{L}+", "(?i)SPONSOR", r"(a)\1", "notice++", "(?<=x)y")
+
+
 def bank(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer")
     e = "struct<ord:int,label_keys:array<string>,label_patterns:array<string>,text:string,option_preference:array<string>,sensitive:boolean,note:string>"
@@ -310,7 +314,7 @@ def bank(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("c_acctbal") >= 0, entry(2, ["notice period"], ["^notice"],
                                               F.concat(F.length("c_mktsegment").cast("string"), F.lit(" weeks")),
                                               None, False, "Notice period")),
-        entry(3, [], ["have you worked with"], None, ["Never", "no"], False, None))
+        entry(3, [], ["have you worked with", *REFUSED], None, ["Never", "no"], False, None))
     return (c.select(F.col("c_custkey").alias("candidate_id"), F.explode(rows).alias("e"))
             .where(F.col("e").isNotNull()).select("candidate_id", "e.*"))
 

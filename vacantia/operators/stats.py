@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
+from vacantia.functions import patterns as P
 from vacantia.functions import text as T
+from vacantia.session import materialise, spread
 
 
 # ---------------------------------------------------------------- A1-A4 corpus statistics
@@ -87,8 +88,9 @@ def bank_matches(keys: DataFrame, bank: DataFrame) -> DataFrame:
 
     ``bank(candidate_id, ord, label_keys, label_patterns, …)``.  Both joins are
     equality joins on the candidate; patterns are tried only on keys that no exact
-    entry answers, each distinct key once.
+    entry answers, each distinct key once.  Patterns that are refused are left out here.
     """
+    bank = screen_patterns(bank)
     wanted = keys.select("candidate_id", "label_key").distinct()
     entry = F.struct("ord", "text", "option_preference", "sensitive")
     b = bank.select("candidate_id", "label_keys", "label_patterns", "ord", entry.alias("e"))
@@ -106,46 +108,78 @@ def bank_matches(keys: DataFrame, bank: DataFrame) -> DataFrame:
     return exact.unionByName(tried).select("candidate_id", "label_key", "via", "e.*")
 
 
-def corpus_answers(corpus: DataFrame, bank: DataFrame, buckets: int = 64) -> DataFrame:
+PIECE = 3
+
+
+def _pieces(text: str) -> Column:
+    """Every piece of at most ``PIECE`` characters, the empty one among them."""
+    def of(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[of(n) for n in range(1, PIECE + 1)]))
+
+
+def read_patterns(patterns: DataFrame) -> DataFrame:
+    """Distinct patterns ``p`` with ``needs``: per way to match the pieces of text it holds; null where the pattern is refused."""
+    @F.pandas_udf("array<array<string>>")
+    def needs(ps: pd.Series) -> pd.Series:
+        return ps.map(lambda p: P.needs(p, PIECE))
+
+    return patterns.select("p").distinct().withColumn("needs", needs("p"))
+
+
+def pattern_candidates(keys: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(label_key, p): keys that hold a piece of text which pattern ``p`` cannot do without.
+
+    Every way a pattern can match is filed under the piece of it that the fewest keys hold; keys meet patterns
+    by equality on a piece.  A way of which some piece is in no key is dropped.  A pattern without any literal
+    is filed under the empty piece, that all keys hold.
+    """
+    ways = materialise(read_patterns(patterns).where("needs is not null").select("p", F.posexplode("needs").alias("way", "pieces")))
+    wanted = ways.select("p", "way", F.explode("pieces").alias("piece"))
+    held = keys.select("label_key").distinct().select("label_key", F.explode(_pieces("label_key")).alias("piece"))
+    held = held.join(wanted.select("piece").distinct(), "piece", "left_semi")
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    filed = (wanted.join(counts, "piece", "left").groupBy("p", "way")
+             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest")).where("rarest.n > 0"))
+    return spread(filed.select("p", F.col("rarest.piece").alias("piece")).distinct(), "piece", "p").join(held, "piece").select("label_key", "p").distinct()
+
+
+def pattern_hits(keys: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(label_key, p): which accepted patterns match which keys."""
+    return pattern_candidates(keys, patterns).where(F.rlike("label_key", F.col("p")))
+
+
+def pattern_survivors(keys: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Per key: patterns tried on it, and those that match."""
+    tried = pattern_candidates(keys, patterns).groupBy("label_key").agg(
+        F.count("*").alias("tried"), F.count_if(F.rlike("label_key", F.col("p"))).alias("matched"))
+    return keys.select("label_key").distinct().join(tried, "label_key", "left").fillna(0, ["tried", "matched"])
+
+
+def corpus_answers(corpus: DataFrame, bank: DataFrame) -> DataFrame:
     """(candidate_id, label_key): bankable keys of the whole corpus a candidate's entries answer.
 
-    A pattern has to be tried on every key, so distinct patterns meet distinct keys,
-    each pair once for all candidates, spread evenly over ``buckets`` key buckets.
+    A pattern is tried once for all candidates, and only on keys that hold what it cannot do without.
     """
     keys = corpus.where(F.col("route") == "bank").select("label_key").distinct()
     exact = (bank.select("candidate_id", F.explode("label_keys").alias("label_key"))
              .join(keys, "label_key").select("candidate_id", "label_key"))
     wide = bank.select("candidate_id", F.explode("label_patterns").alias("p"))
-    tries = wide.select("p").distinct().withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    hits = (keys.withColumn("_b", F.pmod(F.xxhash64("label_key"), F.lit(buckets)).cast("int"))
-            .join(tries, "_b").where(F.rlike(F.col("label_key"), F.col("p"))).drop("_b"))
-    by_pattern = wide.join(hits, "p").select("candidate_id", "label_key")
+    by_pattern = wide.join(pattern_hits(keys, wide), "p").select("candidate_id", "label_key")
     return exact.unionByName(by_pattern).distinct()
 
 
 def screen_patterns(bank: DataFrame) -> DataFrame:
-    """Bank entries with the patterns that do not compile taken out.
+    """Bank entries without the patterns that are refused (see ``functions.patterns``); the others stay as they are.
 
-    Run once when answers are saved: only the distinct patterns visit Python.
+    Only the distinct patterns visit Python.
     """
-    @F.pandas_udf("boolean")
-    def compiles(patterns: pd.Series) -> pd.Series:
-        def ok(p: str) -> bool:
-            try:
-                re.compile(p)
-                return True
-            except (re.error, TypeError):
-                return False
-        return patterns.map(ok)
-
-    bad = (bank.select(F.explode("label_patterns").alias("p")).distinct()
-           .where(~compiles("p")))
-    hit = (bank.select("candidate_id", "ord", F.explode("label_patterns").alias("p")).join(bad, "p")
+    bad = read_patterns(bank.select(F.explode("label_patterns").alias("p"))).where("needs is null").select("p")
+    hit = (bank.select("candidate_id", "ord", F.explode("label_patterns").alias("p")).join(bad, "p", "left_semi")
            .groupBy("candidate_id", "ord").agg(F.collect_set("p").alias("_bad")))
     return (bank.join(hit, ["candidate_id", "ord"], "left")
-            .withColumn("label_patterns", F.when(F.col("_bad").isNull(), F.col("label_patterns"))
-                        .otherwise(F.array_except("label_patterns", "_bad"))).drop("_bad"))
+            .withColumn("label_patterns", F.filter("label_patterns", lambda p: p.isNotNull() & ~F.coalesce(F.array_contains("_bad", p), F.lit(False)))).drop("_bad"))
 
 
 # ---------------------------------------------------------------- A5, A6 gap report
@@ -213,7 +247,7 @@ def gap_report_totals(corpus: DataFrame, profiles: DataFrame, answers: DataFrame
 
 def gap_report(corpus: DataFrame, profiles: DataFrame, answers: DataFrame,
                limit: int) -> DataFrame:
-    """A5: the first ``limit`` open gaps per candidate and kind, most instances first.
+    """A5, as displayed: the first ``limit`` open gaps per candidate and kind, most instances first.
 
     A candidate with ``a`` answered keys finds its first open ones among the first
     ``limit + a`` keys of the corpus ranking, so each candidate asks for just those
