@@ -78,9 +78,9 @@ def pattern_hits(spark, d):
 
 @query("pattern_survivors", D.with_ctes(_KEYS) + """SELECT label_key, count(p) AS matched, true AS few FROM ks LEFT JOIN ps ON regexp_matches(label_key, p) GROUP BY 1""")
 def pattern_survivors(spark, d):
-    """``few``: no key has more tries than a twentieth of all patterns and ten."""
+    """``few``: no key is tried with more than a tenth of all patterns and ten."""
     keys, patterns = _keys_and_patterns(spark, d)
-    most = patterns.distinct().agg(F.count("*")).scalar() / 20 + 10
+    most = patterns.distinct().agg(F.count("*")).scalar() / 10 + 10
     return A.pattern_survivors(keys, patterns).select("label_key", "matched", (F.col("tried") <= most).alias("few"))
 
 
