@@ -124,10 +124,13 @@ def test_counts_and_loosen(spark):
     assert best == {"x": ("level", 3), "y": ("words", 5)}
 
 
+SKILLS = ("python", "sql", "node.js", "react", "react native")
+
+
 def parse(spark, text, companies=("Gusto, Inc.", "Stripe Labs", "Stripe")):
     c = spark.createDataFrame([(x,) for x in companies], "company string")
     m = spark.createDataFrame([("m", text)], "msg_id string, text string")
-    return R.parse_requests(m, c).first()
+    return R.parse_requests(m, c, SKILLS).first()
 
 
 @pytest.mark.parametrize("text,want", [
@@ -150,7 +153,7 @@ def test_fold_conversation(spark):
     turns = ["senior data engineer in london", "only this week", "with python", "and sql", "product manager",
              "data analyst jobs in india", "please show me some jobs", "start over", "hybrid"]
     m = spark.createDataFrame([("c", i, f"c-{i}", t) for i, t in enumerate(turns)], "conv_id string, turn bigint, msg_id string, text string")
-    parsed = R.parse_requests(m)
+    parsed = R.parse_requests(m, None, SKILLS)
     for chunk in (2, 100):
         f = {r.turn: r for r in R.fold_conversation(parsed, chunk=chunk).collect()}
         assert f[1].f.words == ["data", "engineer"] and f[1].f.days == 7 and f[1].f.level == "senior" and not f[1].reset

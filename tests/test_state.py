@@ -75,13 +75,13 @@ def test_tailoring_keeps_lines_and_order(spark):
     b = spark.createDataFrame([("c", 0, i, t) for i, t in enumerate(["plain", "used kafka", "python and sql", "sql", "also plain", "x"])],
                               "candidate_id string, role_no int, position int, text string")
     a = spark.createDataFrame([("c", "p", ["sql"], ["python", "kafka", "rust"])], "candidate_id string, posting_id string, required_skills array<string>, skills array<string>")
-    d = E.tailor_bullets(E.bullet_terms(b), a)
+    d = E.tailor_bullets(E.bullet_terms(b, ["python", "sql", "kafka"]), a)
     assert [r.text for r in d.where("kept").orderBy("rank").collect()] == ["python and sql", "sql", "used kafka", "plain"]
     assert E.verbatim_integrity(d.where("kept"), b).count() == 0
 
 
 def kinds(spark, a, b):
-    r = E.verify_rewordings(spark.createDataFrame([(a, b)], "original string, proposal string")).first()
+    r = E.verify_rewordings(spark.createDataFrame([(a, b)], "original string, proposal string"), ["python", "spark", "kafka"]).first()
     return sorted({o.kind for o in r.objections})
 
 

@@ -60,6 +60,23 @@ def test_terms_in_equals_longest_first_claims(spark):
     assert not bad, bad[:5]
 
 
+def test_terms_from_a_table_equal_claims(spark):
+    import random
+
+    from vacantia.operators import vocabulary as L
+
+    r = random.Random(4)
+    vocab = sorted(["sound design", "design system", "system admin ops", "admin ops", "design", "system", "ops x", "sound", "c++", ".net", "node.js", "inc.", "a/b testing", "r&d", "r", *VOCAB])
+    words = ["Sound", "design", "system", "admin", "c++", "x", "ops", ".NET", "node.js", "node", "inc.", "a/b", "testing", "r&d", "r", "..net", "c++.", "(react)", "native,", "-", "\n", "é"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 9))) for _ in range(1500)] + ["", "design " * 5000, "..."] + ["sound design system admin ops x"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, t string")
+    many = spark.createDataFrame([(t,) for t in [*vocab, "", None, *(f"term {k} of many" for k in range(10_000))]], "term string")
+    got = {x.id: x.terms for x in L.with_terms(df, L.vocabulary(many), "id", "t").collect()}
+    assert got.pop(-1) is None and len(got) == len(texts)
+    bad = [(t, got[i], claim_longest_first(t, vocab)) for i, t in enumerate(texts) if got[i] != claim_longest_first(t, vocab)]
+    assert not bad, bad[:5]
+
+
 @pytest.mark.parametrize("title,body,level,workplace", [
     ("Data Analyst (Hybrid)", "remote team", None, "hybrid"),
     ("Senior Engineer", "fully remote, hybrid culture", "senior", "remote"),

@@ -241,7 +241,7 @@ def backfill_report(spark, d):
   WHERE location IS NOT NULL""")
 def backfill_facts(spark, d):
     p = D.order_pages(spark, d).withColumn("facts_version", F.when(F.col("location").isNull(), 1))
-    return X.backfill_facts(p).select("order_id", "facts_version", "level")
+    return X.backfill_facts(p, ("widget", "bolt")).select("order_id", "facts_version", "level")
 
 
 @query("refresh_report", D.with_ctes(D.POSTS_PLAIN, *_UP) + """SELECT (SELECT count(DISTINCT board) FROM posts) AS boards, '5-LOW' AS failed,

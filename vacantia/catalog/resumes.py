@@ -103,6 +103,6 @@ def review_counts(spark, d):
 @query("parse_resumes_documents")
 def parse_resumes_documents(spark, d):
     """Every document as a resume, whole texts: what was found, per language."""
-    p = R.review_counts(R.parse_resumes(D.read(spark, d, "documents"), V.STARTER_VOCAB))
+    p = R.review_counts(R.parse_resumes(D.read(spark, d, "documents"), VOCAB))
     return p.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("contacts.email.value") != "").alias("emails"),
                                  F.sum("needs_review").alias("needs_review"), F.sum(F.size("excluded")).alias("excluded"))

@@ -199,7 +199,7 @@ def fold_conversation(spark, d):
 def parse_requests_documents(spark, d):
     """Every line of every text as a request, whole texts: counts per named slot."""
     t = D.text_lines(spark, d).select(F.concat_ws("-", "posting_id", F.sha2("label", 256)).alias("msg_id"), F.col("label").alias("text"))
-    p = R.parse_requests(t, None, V.STARTER_VOCAB)
+    p = R.parse_requests(t, None, _VOCAB)
     return p.agg(F.count("*").alias("n"), F.count("place").alias("place"), F.count("level").alias("level"),
                  F.count("days").alias("days"), F.count("skills").alias("skills"), F.count("words").alias("words"))
 

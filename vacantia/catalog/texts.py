@@ -10,6 +10,7 @@ from vacantia.catalog import tables as D
 from vacantia.catalog.registry import query
 from vacantia.functions import text as T
 from vacantia.operators import index as X
+from vacantia.operators import vocabulary as L
 
 DOC_VOCAB = ("of the", "and the", "the", "that", "with", "and", "this", "for", "was", "from", "nicht", "dans")
 PART_VOCAB = ("red widget", "blue widget", "cold widget", "hot bolt", "widget", "bolt", "red", "blue", "cold",
@@ -64,6 +65,18 @@ def terms_in_parts(spark, d):
         "p_partkey", F.array_join(T.terms_in("p_name", PART_VOCAB), ",").alias("terms"))
 
 
+# Every part is a skill of its own, and its name without the number is a shorter one.
+@query("terms_from_table", D.with_ctes(D.LINES, D.ASK) + """SELECT l_orderkey AS posting_id, array_to_string(list_sort(list_distinct(list_concat(skills, [lower(head)]))), ',') AS terms FROM ask""")
+def terms_from_table(spark, d):
+    """Texts that list an order's skills, against a vocabulary of all parts."""
+    li = D.lines(spark, d)
+    texts = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("skill")).alias("s"), F.min("p_name").alias("head")).select(
+        F.col("l_orderkey").alias("posting_id"), F.concat(F.lit("We ask for: "), F.array_join("s", ", "), F.lit(". Or any "), F.upper("head"), F.lit(".")).alias("text"))
+    p = D.read(spark, d, "part")
+    vocab = L.vocabulary(p.select(F.explode(F.array("p_name", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))).alias("term")))
+    return L.with_terms(texts, vocab, "posting_id", "text").select("posting_id", F.array_join("terms", ",").alias("terms"))
+
+
 @query("level_of", D.with_ctes(D.POSTS_PLAIN) + "SELECT posting_id, "
        + Q.word_case(V.LEVEL_WORDS, "title") + " AS level FROM posts")
 def level_of(spark, d):

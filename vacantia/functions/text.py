@@ -165,8 +165,14 @@ def vocabulary_pattern(vocab: Iterable[str]) -> str:
     return rf"(?<![{_EDGE}])({'|'.join(render(t) for t in terms)}){_AFTER}"
 
 
-def terms_in(c: Column | str, vocab: Iterable[str] = V.STARTER_VOCAB) -> Column:
-    """Vocabulary terms present in the text, distinct and in alphabetical order."""
+def terms_in(c: Column | str, vocab: Iterable[str]) -> Column:
+    """Vocabulary terms present in the text, distinct and in alphabetical order.
+
+    For a short list, read in one pass as a pattern; a large one is a table, see ``operators.vocabulary``.
+    """
+    vocab = [t for t in vocab if t]
+    if not vocab:
+        return F.when(col(c).isNotNull(), F.array().cast("array<string>"))
     pattern = F.lit(vocabulary_pattern(vocab))
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(col(c)), pattern, 1)))
 

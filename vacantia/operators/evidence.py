@@ -17,7 +17,7 @@ def _strings() -> Column:
 
 
 # ---------------------------------------------------------------- W11-W14 tailoring
-def bullet_terms(bullets: DataFrame, vocab: Iterable[str] = V.STARTER_VOCAB) -> DataFrame:
+def bullet_terms(bullets: DataFrame, vocab: Iterable[str]) -> DataFrame:
     """Terms each bullet evidences, from the vocabulary postings are read with."""
     return bullets.withColumn("terms", T.terms_in("text", list(vocab)))
 
@@ -293,7 +293,7 @@ def _letter_text() -> Column:
 
 
 # ---------------------------------------------------------------- V1, V2 rewordings
-def verify_rewordings(pairs: DataFrame, vocab: Iterable[str] = V.STARTER_VOCAB) -> DataFrame:
+def verify_rewordings(pairs: DataFrame, vocab: Iterable[str]) -> DataFrame:
     """V1: ``objections array<struct<kind, detail>>`` for (original, proposal) rows."""
     vocab = list(vocab)
     d = (pairs.withColumn("_from", T.trim_ws(F.coalesce("original", F.lit(""))))
@@ -331,7 +331,7 @@ def verify_rewordings(pairs: DataFrame, vocab: Iterable[str] = V.STARTER_VOCAB)
 
 
 def triage_proposals(proposals: DataFrame, bullets: DataFrame,
-                     vocab: Iterable[str] = V.STARTER_VOCAB) -> DataFrame:
+                     vocab: Iterable[str]) -> DataFrame:
     """V2 (with J10): proposals of known bullets, first per id, as suggested or discarded.
 
     Blank and unchanged proposals are neither and drop out.

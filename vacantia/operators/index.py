@@ -17,7 +17,7 @@ FACTS_VERSION = 1
 
 
 # ---------------------------------------------------------------- T10 extract_facts
-def extract_facts(postings: DataFrame, vocab: Iterable[str] = V.STARTER_VOCAB,
+def extract_facts(postings: DataFrame, vocab: Iterable[str],
                   gazetteer: Iterable[tuple[str, str]] = V.GAZETTEER,
                   version: int = FACTS_VERSION) -> DataFrame:
     """All text facts of a posting in one pass over ``title``, ``location`` and ``html``.
@@ -51,10 +51,10 @@ def extract_facts(postings: DataFrame, vocab: Iterable[str] = V.STARTER_VOCAB,
         .drop("_text", "_req", "_search"))
 
 
-def backfill_facts(postings: DataFrame, version: int = FACTS_VERSION, **kw) -> DataFrame:
+def backfill_facts(postings: DataFrame, vocab: Iterable[str], version: int = FACTS_VERSION, **kw) -> DataFrame:
     """Facts for the rows an older version left behind; a second run finds none."""
     stale = postings.where(F.coalesce("facts_version", F.lit(0)) < version)
-    return extract_facts(stale, version=version, **kw)
+    return extract_facts(stale, vocab, version=version, **kw)
 
 
 # ---------------------------------------------------------------- S7-S9 upsert

@@ -42,8 +42,7 @@ def _take_rules(df: DataFrame, name: str, rules: Iterable[tuple], cast: str) ->
     return df.withColumn("_t", gone.otherwise(F.col("_t")))
 
 
-def parse_requests(messages: DataFrame, companies: DataFrame | None = None,
-                   vocab: Iterable[str] = V.STARTER_VOCAB,
+def parse_requests(messages: DataFrame, companies: DataFrame | None, vocab: Iterable[str],
                    places: Sequence = V.REQUEST_PLACES, id_col: str = "msg_id") -> DataFrame:
     """``messages(msg_id, text)`` to slots, notes, ignored words and two flags.
 

@@ -94,7 +94,7 @@ def sections(lines: Column | str) -> Column:
                     section(lines, "experience", ("education", "other", "skills")).alias("experience"))
 
 
-def skills_block(block: Column | str, vocab: Iterable[str] = V.STARTER_VOCAB) -> Column:
+def skills_block(block: Column | str, vocab: Iterable[str]) -> Column:
     """Skills of the block; known to the vocabulary is high, the rest low."""
     vocab = list(vocab)
     parts = F.transform(F.split(F.array_join(T.col(block), " "), r"[,;|·•]|\s-\s", -1),
@@ -158,7 +158,7 @@ def excluded_sensitive(text: Column | str) -> Column:
                     lambda x: x.isNotNull())
 
 
-def parse_resumes(docs: DataFrame, vocab: Iterable[str] = V.STARTER_VOCAB, text: str = "text") -> DataFrame:
+def parse_resumes(docs: DataFrame, vocab: Iterable[str], text: str = "text") -> DataFrame:
     """R1-R7 in one pass: no shuffle, each text read once."""
     d = (docs.withColumn("_lines", resume_lines(text)).withColumn("contacts", contacts(text))
          .withColumn("who", name_title_location("_lines")).withColumn("_s", sections("_lines"))

@@ -18,7 +18,7 @@ from vacantia.session import materialise
 
 
 def ingest(listings: DataFrame, target: DataFrame, board_status: DataFrame, now: Column,
-           vocab: Iterable[str] = V.STARTER_VOCAB) -> DataFrame:
+           vocab: Iterable[str]) -> DataFrame:
     """Landed listings to the next state of the postings table: facts, upsert, closing."""
     facts = X.extract_facts(listings, vocab)
     return X.close_delisted(X.upsert_postings(target, facts, now), facts, board_status, now)
@@ -35,7 +35,7 @@ def best_postings(profiles: DataFrame, postings: DataFrame, boards: DataFrame, k
 
 
 def answer_conversations(messages: DataFrame, postings: DataFrame, now: Column, k: int,
-                         rules: DataFrame | None = None, vocab: Iterable[str] = V.STARTER_VOCAB) -> DataFrame:
+                         vocab: Iterable[str], rules: DataFrame | None = None) -> DataFrame:
     """Requests of conversations to the newest matching postings per turn.
 
     ``messages``: conv_id, turn, msg_id, text, candidate_country.  The parsed turns
