@@ -10,7 +10,7 @@ from vacantia.catalog import tables as D
 from vacantia.catalog.registry import query
 from vacantia.catalog.searching import _ELIG, _MATCH, _REG, _TOKENS, _VOCAB, _rules
 from vacantia.operators import requests as R
-from vacantia.session import shared_dir
+from vacantia.session import materialise, shared_dir
 from vacantia.streaming import jobs as J
 
 
@@ -91,16 +91,35 @@ def search_alerts(spark, d):
     return J.search_alerts(new, D.searches(spark, d), D.now(), _rules(spark, d), places=()).select("search_id", "posting_id")
 
 
-@query("stream_conversations")
+@query("stream_search_alerts", D.with_ctes(D.POSTS, "vis AS (SELECT * FROM posts WHERE posted_at >= TIMESTAMP '2001-05-01')", D.SEARCHES, _TOKENS, _MATCH, _REG,
+       _ELIG.replace("PARTITION BY search_id)", "PARTITION BY search_id, external_id::BIGINT % 2)")) + "SELECT search_id, posting_id, 1::BIGINT AS n FROM found")
+def stream_search_alerts(spark, d):
+    """X5 over three micro-batches: one half of the arrivals, the other, and the first half again; alerts sent per pair."""
+    ledger, ck = _paths(spark)
+    feed = f"{ck}-feed"
+    new = materialise(D.postings(spark, d).where(F.col("posted_at") >= D.ts("2001-05-01 00:00:00")).withColumn("half", F.col("external_id").cast("bigint") % 2))
+    searches = materialise(D.searches(spark, d))
+    apply = J.alerts_batch(ledger, lambda _: searches, D.now(), _rules(spark, d), places=())
+    for half in (0, 1, 0):
+        new.where(F.col("half") == half).drop("half").write.mode("append").parquet(feed)
+        J.run_batches(spark.readStream.schema(new.drop("half").schema).parquet(feed), apply, ck)
+    return J.sent_alerts(spark, ledger).groupBy("search_id", "posting_id").agg(F.count("*").alias("n"))
+
+
+_SAY = ("Show me data engineer jobs in Bangalore", "only remote ones from this week", "and python roles", "start over, senior manager in the US last 10 days")
+
+
+@query("stream_conversations", """WITH c AS (SELECT conv_id, turn, turn % 4 AS k, conv_id * 1000 + turn AS s, max(conv_id * 1000 + turn) OVER () AS newest FROM conversations)
+SELECT conv_id, turn, CASE WHEN k = 3 THEN 'United States' ELSE 'Bengaluru' END AS place, CASE WHEN k IN (1, 2) THEN 'remote' END AS workplace,
+  CASE WHEN k = 3 THEN 'senior' END AS level, CASE k WHEN 1 THEN 7 WHEN 2 THEN 7 WHEN 3 THEN 10 END AS days, CASE WHEN k = 2 THEN 'python' ELSE '' END AS skills,
+  k IN (0, 3) AND turn > 0 AS reset FROM c WHERE s <= newest - 600""")
 def stream_conversations(spark, d):
-    """The same filters as the batch fold (compared in the tests)."""
+    """Turns in the order of their time, those behind the watermark; a turn's place in the conversation says what it asks."""
     c = _stream(spark, d, "conversations")
-    say = F.array(F.lit("Show me data engineer jobs in Bangalore"), F.lit("only remote ones from this week"),
-                  F.lit("and python roles"), F.lit("start over, senior manager in the US last 10 days"))
-    msg = c.select("conv_id", "turn", F.concat(F.element_at(say, (F.col("turn") % 4 + 1).cast("int")), F.lit(" "), F.col("text")).alias("text"))
-    s = J.conversation_stream(R.parse_requests(msg, None, _VOCAB))
-    return _finish(spark, s, "conv_id BIGINT, turn BIGINT, words STRING, place STRING, workplace STRING, level STRING, company STRING, "
-                             "days STRING, skills STRING, reset BOOLEAN").select("conv_id", "turn", "place", "workplace", "level", "days", "skills", "reset")
+    msg = c.select("conv_id", "turn", F.element_at(F.array(*map(F.lit, _SAY)), (F.col("turn") % 4 + 1).cast("int")).alias("text"),
+                   F.timestamp_seconds(1_000_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
+    out = _finish(spark, J.conversation_stream(R.parse_requests(msg, None, _VOCAB), "10 minutes"), "conv_id BIGINT, turn BIGINT, " + J.SAID + ", reset BOOLEAN")
+    return out.select("conv_id", "turn", "place", "workplace", "level", "days", F.array_join("skills", ",").alias("skills"), "reset")
 
 
 @query("stream_requests_over_limit", """SELECT epoch_us(date_trunc('minute', ts)) AS minute_us, user_id, count(*) AS n FROM events, (SELECT max(ts) - INTERVAL 1 MINUTE AS wm FROM events)

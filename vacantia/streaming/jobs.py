@@ -7,6 +7,7 @@ timestamp (cast a timestamp without zone under a UTC session first).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -142,7 +143,7 @@ def application_lifecycle(events: DataFrame, quiet_days: int = V.FOLLOW_UP_DAYS,
 # ---------------------------------------------------------------- X5 search_alerts
 def search_alerts(new_postings: DataFrame, searches: DataFrame, now: Column,
                   rules: DataFrame | None = None, places=V.REQUEST_PLACES) -> DataFrame:
-    """For a batch of new postings the searches they match; call it per micro-batch.
+    """For a batch of new postings the searches they match.
 
     The same operator as the saved-search counts, driven by the delta, so the work
     grows with the arrivals and not with the index.
@@ -150,54 +151,125 @@ def search_alerts(new_postings: DataFrame, searches: DataFrame, now: Column,
     return S.search(new_postings, searches, now, rules, places)
 
 
+LEDGER = "search_id {id}, posting_id STRING"
+LEDGER_PARTS = 64
+
+
+def _part_of(posting_id: str = "posting_id") -> Column:
+    return F.pmod(F.xxhash64(posting_id), F.lit(LEDGER_PARTS)).cast("int")
+
+
+def sent_alerts(spark: SparkSession, ledger: str, id_type: str = "BIGINT", before: int | None = None) -> DataFrame:
+    """The ledger: search_id, posting_id, batch, part; with ``before``, only what earlier batches sent."""
+    schema = LEDGER.format(id=id_type) + ", batch BIGINT, part INT"
+    try:
+        sent = spark.read.schema(schema).parquet(ledger)
+    except Exception as e:  # nothing was sent yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    return sent if before is None else sent.where(F.col("batch") < before)
+
+
+def alerts_batch(ledger: str, searches: Callable[[SparkSession], DataFrame], now: Column,
+                 rules: DataFrame | None = None, places=V.REQUEST_PLACES) -> Callable[[DataFrame, int], None]:
+    """X5 as a stream: a ``foreachBatch`` function that sends each (search, posting) alert once.
+
+    A batch of arrivals meets the searches as they are then, and what the ledger has already is left out: a posting that
+    arrives again gives no second alert.  The ledger is written per batch, so working a batch off again
+    replaces what its first try wrote; it is read without that, and so gives the same alerts.  Only the parts of the
+    ledger that the arrivals fall into are read.
+    """
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        asked = searches(spark)
+        hits = search_alerts(batch, asked, now, rules, places).select("search_id", "posting_id").distinct().withColumn("part", _part_of())
+        sent = sent_alerts(spark, ledger, asked.schema["search_id"].dataType.simpleString(), batch_id)
+        arrived = batch.select(_part_of().alias("part")).distinct()  # at most LEDGER_PARTS rows
+        sent = sent.join(arrived, "part", "left_semi").drop("batch")
+        (hits.join(sent, ["part", "search_id", "posting_id"], "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(ledger))
+    return apply
+
+
 # ---------------------------------------------------------------- X6 conversations
 class Conversation(StatefulProcessor):
-    """The filters of a conversation, turn by turn; turns arrive in order per conversation."""
+    """The filters of a conversation, turn by turn, in the order of turns and not of arrival.
+
+    A turn waits in map state until the watermark has passed its time; then all that wait up to that
+    time are folded in order.  State of a conversation that rests for ``rest_ms`` goes, and the
+    conversation would start afresh.
+    """
 
     SLOTS = ("words", "place", "workplace", "level", "company", "days")
+    SAID = (*SLOTS, "skills")
+
+    def __init__(self, rest_ms: int) -> None:
+        self.rest_ms = rest_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "filters", "words STRING, place STRING, workplace STRING, level STRING, company STRING, days STRING, skills STRING")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "turn BIGINT", "ms BIGINT, fresh BOOLEAN, said STRING")
+        self.state = handle.getValueState("filters", "said STRING, until_ms BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = set(self.handle.listTimers())
+        for part in rows:
+            for r in part.itertuples(index=False):
+                self.waiting.updateValue((int(r.turn),), (int(r.ms), bool(r.fresh), r.said))
+                if (r.ms,) not in known and r.ms not in known:
+                    self.handle.registerTimer(int(r.ms))
+        yield self.frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
         had = self.state.exists()
-        slots = list(self.state.get()) if had else [None] * 7
-        turns = pd.concat(list(rows)).sort_values("turn")
+        said, until = self.state.get() if had else (None, 0)
+        if had and until <= now:  # nothing came for the whole rest
+            self.state.clear()
+            had = False
+        due = sorted((k[0], v) for k, v in self.waiting.iterator() if v[0] <= now)
+        slots = json.loads(said) if had else {}
         out = []
-        for r in turns.itertuples(index=False):
-            fresh = bool(r.fresh) or not had
-            if fresh:
-                slots = [None] * 7
-            for i, name in enumerate(self.SLOTS):
-                v = getattr(r, name)
-                if v is not None and v == v:
-                    slots[i] = v
-            if r.skills:
-                known = slots[6].split(",") if slots[6] else []
-                slots[6] = ",".join(known + [s for s in r.skills.split(",") if s not in known])
-            out.append([key[0], r.turn, *slots, fresh and had])
+        for turn, (_, fresh, parts) in due:
+            self.waiting.removeKey((turn,))
+            if fresh or not had:
+                slots = {}
+            new = json.loads(parts)
+            skills = slots.get("skills", [])
+            slots = {**slots, **{k: v for k, v in new.items() if k != "skills"}, "skills": skills + [x for x in new.get("skills", []) if x not in skills]}
+            out.append((key[0], turn, json.dumps(slots), bool(fresh and had)))
             had = True
-        self.state.update(tuple(slots))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", *self.SLOTS, "skills", "reset"])
+        if due:
+            until = now + self.rest_ms
+            self.state.update((json.dumps(slots), until))
+            self.handle.registerTimer(until)
+        yield self.frame(out)
+
+    @staticmethod
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["conv_id", "turn", "said", "reset"]).astype({"conv_id": "int64", "turn": "int64", "reset": "bool"})
 
     def close(self) -> None:
         pass
 
 
-def conversation_stream(parsed: DataFrame) -> DataFrame:
-    """The stream twin of ``fold_conversation`` over parsed requests."""
+SAID = "words ARRAY<STRING>, place STRING, workplace STRING, level STRING, company STRING, days INT, skills ARRAY<STRING>"
+
+
+def conversation_stream(parsed: DataFrame, lateness: str = "10 minutes", rest: str = "30 days") -> DataFrame:
+    """The stream twin of ``fold_conversation`` over parsed requests with the time ``ts`` of each turn.
+
+    A turn comes out when the watermark has passed its time, after all turns before it, whatever order they arrived in.
+    """
     named = sum(F.col(c).isNotNull().cast("int")
                 for c in ("place", "workplace", "level", "company", "days", "skills"))
     fresh = F.col("asks_reset") | (~F.col("refining") & F.col("words").isNotNull() & (named > 0))
-    flat = parsed.select(
-        "conv_id", "turn", fresh.alias("fresh"), F.array_join("words", " ").alias("words"),
-        F.col("place.label").alias("place"), "workplace", "level", "company",
-        F.col("days").cast("string").alias("days"), F.array_join("skills", ",").alias("skills"))
-    return flat.groupBy("conv_id").transformWithStateInPandas(
-        Conversation(),
-        "conv_id BIGINT, turn BIGINT, words STRING, place STRING, workplace STRING, level STRING, company STRING, days STRING, skills STRING, reset BOOLEAN",
-        "Append", "None")
+    said = F.to_json(F.struct("words", F.col("place.label").alias("place"), "workplace", "level", "company", "days", "skills"))
+    flat = parsed.withWatermark("ts", lateness).select("conv_id", "turn", "ts", F.unix_millis("ts").alias("ms"), F.coalesce(fresh, F.lit(False)).alias("fresh"), said.alias("said"))
+    rest_ms = int(pd.Timedelta(rest).total_seconds() * 1000)
+    out = flat.groupBy("conv_id").transformWithStateInPandas(Conversation(rest_ms), "conv_id BIGINT, turn BIGINT, said STRING, reset BOOLEAN", "Append", "EventTime")
+    return out.select("conv_id", "turn", F.from_json("said", SAID).alias("f"), "reset").select("conv_id", "turn", "f.*", "reset")
 
 
 # ---------------------------------------------------------------- X7 limits
