@@ -2,10 +2,11 @@
 
 A document fails by its own words; a host is judged by the share of its documents that fail.
 Shares of small hosts are drawn towards the mean of all hosts by a beta prior that is fitted to
-the hosts themselves (method of moments), so one bad page does not condemn a host of two.
+the hosts themselves, so one bad page does not condemn a host of two.
 
 Null text: no words (fails).  Null host: only the document's own rules count.  Repeated rows are
-judged one by one.  Columns of the input that carry a name of an output column are overwritten.
+judged one by one.  Columns of the input that carry a name of an output column are overwritten; any other name is free.
+An empty table gives an empty result; texts may be of any length.
 """
 
 from __future__ import annotations
@@ -54,19 +55,34 @@ def rule_counts(docs: DataFrame, text: str = "text", width: int = 3, min_words:
     return d.select(*keep, *RULES, failed.alias("base_failed"))
 
 
+def prior(hosts: float, docs: float, failures: float, squares: float, spread: float) -> tuple[float, float | None]:
+    """Mean and strength of the beta prior; no strength: the hosts do not differ beyond chance.
+
+    ``squares`` is the sum of n * n and ``spread`` that of x * x / n over hosts of n documents and x failures.
+    """
+    m = failures / docs if docs else 0.0
+    by_chance = hosts - 1
+    room = docs - squares / docs - by_chance if docs else 0.0
+    if room <= 0 or not 0 < m < 1:
+        return m, None
+    share = ((spread - docs * m * m) / (m * (1 - m)) - by_chance) / room
+    return (m, None) if share <= 0 else (m, max(0.0, 1 / share - 1))
+
+
 def host_verdicts(counted: DataFrame, host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """One row per host: documents, failures, shrunk failure rate, ``host_failed``.
 
-    The hosts' own table is stored first; the prior is one row, fitted over all hosts alike:
-    mean m and variance v of their rates give the strength m(1-m)/v - 1 (2 where that is not
-    positive or the hosts do not differ).
+    The hosts' own table is stored first; the prior is one row, fitted over all hosts: the mean of all documents, and a
+    strength from how much more the hosts' rates differ than chance makes rates of so many documents differ (moments
+    of the beta-binomial, hosts weighted by their documents).  Where they differ no more than that, every host has the mean.
     """
     hosts = stored(counted.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
                    .agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures")))
-    rate = F.col("host_failures") / F.col("host_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    m = m or 0.0
-    strength = m * (1 - m) / v - 1 if v and m * (1 - m) > v else 2.0
+    n, x = F.col("host_docs").cast("double"), F.col("host_failures").cast("double")
+    found = hosts.agg(F.count("*"), F.sum(n), F.sum(x), F.sum(n * n), F.sum(x * x / n)).first()
+    m, strength = prior(*(float(v or 0) for v in found))
+    if strength is None:
+        return hosts.select("host", "host_docs", "host_failures", F.lit(m).alias("host_rate"), F.lit(m > max_rate).alias("host_failed"))
     shrunk = (F.col("host_failures") + F.lit(m * strength)) / (F.col("host_docs") + F.lit(strength))
     return hosts.select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > max_rate).alias("host_failed"))
 
@@ -78,14 +94,15 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", carry_text:
     by equality: Spark broadcasts them below its size threshold and shuffles and splits otherwise.
     """
     max_rate = limits.pop("max_rate", 0.5)
-    counted = rule_counts(docs.drop("host_rate", "kept"), text, **limits)
-    counted = stored(counted if carry_text else counted.drop(text))
-    hosts = host_verdicts(counted, host, max_rate).select(
-        F.col("host").alias("_host"), F.col("host_rate").alias("_rate"), F.col("host_failed").alias("_failed"))
-    return (counted.join(hosts, F.col(host) == F.col("_host"), "left")
-            .withColumn("host_rate", F.col("_rate"))
-            .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("_failed", F.lit(False)))
-            .drop("_host", "_rate", "_failed"))
+    made = (*RULES, "base_failed", "host_rate", "kept")
+    own = [c for c in docs.columns if c not in made and (carry_text or c != text)]
+    # the input's columns travel in one struct, so none of them meets a name that is used on the way
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host"))
+    counted = stored(rule_counts(rows, "text", **limits).drop("text"))
+    hosts = host_verdicts(counted, "host", max_rate).select(F.col("host").alias("of"), "host_rate", "host_failed")
+    d = counted.join(hosts, F.col("host") == F.col("of"), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))
+    return d.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(own)], *RULES, "base_failed", "host_rate", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
