@@ -48,7 +48,7 @@ def estimated(sketches: DataFrame, p: int) -> DataFrame:
 def boilerplate(lines: DataFrame, min_sites: int = 10, p: int = 10) -> DataFrame:
     """Lines on at least ``min_sites`` sites, each with its first occurrence.
 
-    Within ``4 * 1.04 / sqrt(2**p)`` of the threshold (at least one site) the exact count decides.
+    From half of the threshold (sites can share registers) to ``4 * 1.04 / sqrt(2**p)`` above it (at least one site) the exact count decides.
     """
     reg, rank = register("_site", p)
     first = F.struct("_id", "_at", "_key")
@@ -56,7 +56,7 @@ def boilerplate(lines: DataFrame, min_sites: int = 10, p: int = 10) -> DataFrame
                 .groupBy("_a", "_b", "_reg").agg(F.max("_r").alias("_rank"), F.min(first).alias("_first")))
     sketches = sketches.withColumn("_rank", F.when(F.col("_reg").isNotNull(), F.col("_rank")))
     band = max(1.0, min_sites * 4 * 1.04 / 2 ** (p / 2))
-    known = stored(estimated(sketches, p).filter(F.col("spread") >= min_sites - band).select("_a", "_b", "_first", "spread"))
+    known = stored(estimated(sketches, p).filter(F.col("spread") >= min(min_sites - band, min_sites / 2)).select("_a", "_b", "_first", "spread"))
     sure = known.filter(F.col("spread") > min_sites + band)
     near = known.filter(F.col("spread") <= min_sites + band)
     exact = (lines.join(near.select("_a", "_b"), ["_a", "_b"], "left_semi").groupBy("_a", "_b")
