@@ -171,6 +171,59 @@ def test_sharding(spark, docs):
     assert sharding.shard(odd(spark)).count() == 20 and sharding.shard(table(spark, [])).count() == 0
 
 
+def test_sharding_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    made = spark.range(3000).selectExpr("id as doc_id", "repeat('x', int(id % 97)) as text")
+    first = {r.doc_id: r.shard for r in sharding.shard(made, map_path=path).collect()}
+    grown = spark.range(3600).selectExpr("id as doc_id", "repeat('x', int(id % 97)) as text")
+    second = sharding.shard(grown, map_path=path).collect()
+    assert len(second) == 3600 and sharding.newest_version(spark, path).first().version == 3 and sharding.newest_version(spark, path).count() == sharding.SLOTS
+    assert sum(first[r.doc_id] != r.shard for r in second if r.doc_id in first) < 600
+
+
+def test_sharding_spreads_null_ids_and_copies(spark):
+    made = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "if(id % 4 = 0, 'the same text', repeat('x', int(id % 97))) as text")
+    rows = sharding.shard(made, most_equal=10).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(rows) == 4000 and max(sizes.values()) - min(sizes.values()) < 400
+    for s in range(40):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_prior_takes_chance_off():
+    r = np.random.default_rng(1)
+
+    def of(n, x):
+        n, x = np.asarray(n, float), np.asarray(x, float)
+        return quality.prior(len(n), n.sum(), x.sum(), (n * n).sum(), (x * x / n).sum())
+
+    n = np.full(3000, 2)
+    m, strength = of(n, r.binomial(2, 0.1, 3000))
+    assert strength is None or strength > 20  # two of two failures say little where hosts are alike
+    p = r.beta(1, 9, 4000)
+    sizes = r.integers(1, 60, 4000)
+    m, strength = of(sizes, r.binomial(sizes, p))
+    assert abs(m - 0.1) < 0.02 and 7 < strength < 14
+    assert of([1, 1, 1], [0, 1, 1]) == (2 / 3, None) and quality.prior(0, 0, 0, 0, 0) == (0.0, None)
+
+
+def test_host_verdicts_equal_plain_python(spark):
+    hosts = {"bad": (40, 36), "good": (60, 2), "two": (2, 2), "one": (1, 1), "none": (5, 0)}
+    good, junk = " ".join(words(60, 1)), "junk"
+    rows = [(1000 * k + i, junk if i < x else good + f" {k} {i}", "en", h, None, *[None] * 7) for k, (h, (n, x)) in enumerate(hosts.items()) for i in range(n)]
+    df = table(spark, rows).withColumnsRenamed({"_id": "_w", "row": "_lines", "class": "_host", "lang": "_failed"})
+    got = {r.source: (r.host_rate, r.kept) for r in quality.judge(df).filter("not base_failed").collect()}
+    n, x = (np.array([v[i] for v in hosts.values()], float) for i in (0, 1))
+    m, strength = quality.prior(len(n), n.sum(), x.sum(), (n * n).sum(), (x * x / n).sum())
+    for h, (n_, x_) in hosts.items():
+        if n_ > x_:
+            rate = (x_ + m * strength) / (n_ + strength)
+            assert got[h][0] == pytest.approx(rate) and got[h][1] == (rate <= 0.5)
+    assert not got["bad"][1] and got["good"][1]
+
+
 def test_rebalance_moves_little(spark, tmp_path):
     one = sharding.first_map(spark, 64, 4)
     sizes = spark.createDataFrame([(i, 10) for i in range(64) if i != 5] + [(5, 200)], "vslot int, bytes long")
