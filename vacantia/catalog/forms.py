@@ -150,11 +150,12 @@ _RUN = f"""run AS (SELECT owner_id AS candidate_id, posting_id, CASE {_STATE} WH
 _RUNQ = D.with_ctes(*_CORPUS[:4], D.CANDS_PLAIN, *PLAN_SQL, _SIZES, _BUCKETS, D.POSTS_PLAIN, _RUN)
 
 
-@query("run_row", _RUNQ + """SELECT candidate_id, posting_id, reason, CASE WHEN reason IS NULL THEN coalesce(prepared, 0) END AS prepared,
+@query("run_row", _RUNQ.replace("'no readable form' END AS reason", "'no readable form' ELSE CASE WHEN closed_at IS NOT NULL THEN 'no longer indexed' END END AS reason") + """SELECT candidate_id, posting_id, reason, CASE WHEN reason IS NULL THEN coalesce(prepared, 0) END AS prepared,
   CASE WHEN reason IS NULL THEN coalesce(yours, 0) END AS yours, CASE WHEN reason IS NULL THEN coalesce(open, 0) END AS open,
   CASE WHEN reason IS NULL THEN coalesce(form_fields, 0) END AS fields FROM run""")
 def run_row(spark, d):
-    return P.run_row(_run_postings(spark, d), _plan(spark, d), _sizes(spark, d), _attachments(spark, d)).select(
+    still = D.postings(spark, d, with_skills=False).where(F.col("closed_at").isNull())
+    return P.run_row(_run_postings(spark, d), _plan(spark, d), _sizes(spark, d), _attachments(spark, d), still).select(
         "candidate_id", "posting_id", "reason", "prepared", "yours", "open", "fields")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vacantia.catalog import sqlparts as Q
@@ -11,13 +13,14 @@ from vacantia import schemas
 from vacantia.operators import index as X
 from vacantia.operators import tracking as K
 from vacantia.sources import files as B
+from vacantia.session import shared_dir
 from vacantia.sources import listings as L
 
 _DAY = "1998-01-01 00:00:00"
 
 
-def _json_a(spark, d):
-    """Orders as first-vendor JSON text, one document per board and customer, then read back."""
+def _text_a(spark, d):
+    """Orders as first-vendor JSON text, one document per board and customer."""
     o, c = D.read(spark, d, "orders"), D.read(spark, d, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
     job = F.struct(
@@ -28,9 +31,12 @@ def _json_a(spark, d):
         F.when(F.col("c_acctbal") > 5000, F.concat("c_name", F.lit(" "))).alias("company_name"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'-02:00'").alias("updated_at"),
         F.when(F.col("o_orderpriority") != "2-HIGH", F.lit("&lt;p&gt;x&lt;/p&gt;")).alias("content"))
-    doc = j.groupBy(F.col("o_orderpriority").alias("board"), "o_custkey").agg(
+    return j.groupBy(F.col("o_orderpriority").alias("board"), "o_custkey").agg(
         F.to_json(F.struct(F.collect_list(job).alias("jobs"))).alias("js"))
-    return doc.select("board", F.from_json("js", schemas.LISTING_A).alias("x")).select("board", "x.jobs")
+
+
+def _json_a(spark, d):
+    return _text_a(spark, d).select("board", F.from_json("js", schemas.LISTING_A).alias("x")).select("board", "x.jobs")
 
 
 _A = """SELECT 'greenhouse:' || o_orderpriority || ':' || o_orderkey AS posting_id, o_orderkey::VARCHAR AS external_id,
@@ -47,6 +53,24 @@ def read_listing_a(spark, d):
     return L.read_listing_a(_json_a(spark, d)).select(*_COLS, F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
 
 
+def _landed_a(spark, d):
+    """The same documents landed as files, a folder per board; of every tenth customer the end is missing."""
+    path = f"{shared_dir(spark)}/landed/{uuid.uuid4().hex}"
+    cut = F.when(F.col("o_custkey") % 10 == 3, F.expr("substr(js, 1, length(js) - 5)")).otherwise(F.col("js"))
+    _text_a(spark, d).select("board", cut.alias("js")).write.partitionBy("board").text(path)
+    return L.quarantined(L.read_json(spark, path, schemas.LISTING_A, one_per_file=False))
+
+
+@query("read_listing_files", _A + " AND o_custkey % 10 <> 3")
+def read_listing_files(spark, d):
+    return L.read_listing_a(_landed_a(spark, d)[0]).select(*_COLS, F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
+
+
+@query("quarantined_listings", """SELECT o_orderpriority AS board, count(DISTINCT o_custkey) AS n, 'not JSON of this kind' AS reason FROM orders WHERE o_custkey % 10 = 3 GROUP BY 1""")
+def quarantined_listings(spark, d):
+    return _landed_a(spark, d)[1].groupBy("board", "reason").agg(F.count("*").alias("n"))
+
+
 def _json_b(spark, d):
     p = D.read(spark, d, "part")
     job = F.struct(
@@ -212,7 +236,7 @@ def _fetches(spark, d):
     li = D.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("qs"))
     q = F.when(F.col("o_orderstatus") != "P", F.coalesce("qs", F.array().cast("array<int>")))
     return (o.join(li, o.o_orderkey == li.l_orderkey, "left")
-            .select("o_orderkey", (F.col("o_orderpriority") != "1-URGENT").alias("reached"), q.alias("questions")))
+            .select("o_orderkey", "o_totalprice", (F.col("o_orderpriority") != "1-URGENT").alias("reached"), q.alias("questions")))
 
 
 @query("form_state_from_fetch", """SELECT o_orderkey, o_orderstatus <> 'P' AS form_readable, TIMESTAMP '2001-08-02' AS form_fetched_at
@@ -227,13 +251,16 @@ def backfill_queue(spark, d):
     return X.backfill_queue(D.postings(spark, d, with_skills=False), 400).select("posting_id", "posted_at")
 
 
-@query("backfill_report", """SELECT count(*) AS attempted, count(*) FILTER (WHERE reached AND published) AS readable,
+@query("backfill_report", D.with_ctes(D.POSTS_PLAIN) + """SELECT count(*) AS attempted, count(*) FILTER (WHERE reached AND published) AS readable,
   count(*) FILTER (WHERE reached AND NOT published) AS unpublished, count(*) FILTER (WHERE NOT reached) AS unreachable,
-  coalesce(sum(n) FILTER (WHERE reached AND published), 0)::BIGINT AS questions_written FROM (
+  coalesce(sum(n) FILTER (WHERE reached AND published), 0)::BIGINT AS questions_written,
+  (SELECT count(*) FROM posts WHERE form_fetched_at IS NULL AND closed_at IS NULL AND NOT form_readable) AS remaining FROM (
   SELECT o_orderpriority <> '1-URGENT' AS reached, o_orderstatus <> 'P' AS published, coalesce(n, 0) AS n FROM orders
-  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)""")
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_totalprice > 100000)""")
 def backfill_report(spark, d):
-    return X.backfill_report(_fetches(spark, d))
+    """A pass that asked the larger orders' forms."""
+    p = D.postings(spark, d, with_skills=False).withColumn("o_orderkey", F.col("external_id").cast("bigint"))
+    return X.backfill_report(_fetches(spark, d).where("o_totalprice > 100000"), p, "o_orderkey")
 
 
 @query("backfill_facts", D.with_ctes(D.LINES, D.ORDER_PAGES) + """SELECT order_id, 1 AS facts_version,

@@ -61,18 +61,18 @@ def name_title_location(spark, d):
     return cv.select("doc_id", "w.first_name", "w.last_name", "w.title", "w.location")
 
 
-@query("resume_sections", """SELECT c_custkey AS doc_id, 1 AS n_skill_lines, coalesce(n, 0)::INTEGER AS n_experience_lines FROM customer LEFT JOIN (
+@query("resume_sections", """SELECT c_custkey AS doc_id, 2 AS n_skill_lines, coalesce(n, 0)::INTEGER AS n_experience_lines FROM customer LEFT JOIN (
   SELECT o_custkey, sum(2 + coalesce(k, 0)) AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS k FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1)
   ON o_custkey = c_custkey""")
 def resume_sections(spark, d):
     """The birth date line ends up in the skills block, which is what the rule says."""
-    cv = _cv(spark, d).withColumn("l", R.resume_lines(F.regexp_replace("text", "Date of birth.*\n", ""))).withColumn("s", R.sections("l"))
+    cv = _cv(spark, d).withColumn("l", R.resume_lines("text")).withColumn("s", R.sections("l"))
     return cv.select("doc_id", F.size("s.skills").alias("n_skill_lines"), F.size("s.experience").alias("n_experience_lines"))
 
 
-@query("skills_block", """SELECT c_custkey AS doc_id, 'red widget=high,bolt=high,juggling=low' AS skills FROM customer""")
+@query("skills_block", """SELECT c_custkey AS doc_id, 'red widget=high,bolt=high,juggling=low,x date of birth: 1 may 1980=low' AS skills FROM customer""")
 def skills_block(spark, d):
-    cv = _cv(spark, d).withColumn("l", R.resume_lines(F.regexp_replace("text", "Date of birth.*\n", ""))).withColumn("s", R.sections("l"))
+    cv = _cv(spark, d).withColumn("l", R.resume_lines("text")).withColumn("s", R.sections("l"))
     return cv.select("doc_id", F.array_join(F.transform(R.skills_block(F.col("s.skills"), VOCAB), lambda x: F.concat(
         x["value"], F.lit("="), x["confidence"])), ",").alias("skills"))
 
@@ -93,11 +93,11 @@ def excluded_sensitive(spark, d):
 
 @query("review_counts", """SELECT c_custkey AS doc_id, (7 + 4 + 4 * coalesce(r, 0) + coalesce(b, 0))::INTEGER AS field_count,
   (4 + CASE WHEN c_acctbal >= 0 THEN 0 ELSE 1 END + CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN 0 ELSE 1 END + 1 + 2 + 2 * coalesce(r, 0) + 2 * coalesce(u, 0))::INTEGER AS needs_review,
-  '' AS warnings FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS r, count(*) FILTER (WHERE o_orderstatus = 'O') AS u, sum(n) AS b FROM orders
-    LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(r, 0) > 0""")
+  CASE WHEN coalesce(r, 0) = 0 THEN 'no roles found' ELSE '' END AS warnings FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS r, count(*) FILTER (WHERE o_orderstatus = 'O') AS u, sum(n) AS b FROM orders
+    LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1) ON o_custkey = c_custkey""")
 def review_counts(spark, d):
     p = R.review_counts(R.parse_resumes(_cv(spark, d), VOCAB))
-    return p.where(F.size("roles") > 0).select("doc_id", "field_count", "needs_review", F.array_join("warnings", ",").alias("warnings"))
+    return p.select("doc_id", "field_count", "needs_review", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("parse_resumes_documents")

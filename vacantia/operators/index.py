@@ -141,8 +141,14 @@ def backfill_queue(postings: DataFrame, limit: int, board: str | None = None) ->
     return q.orderBy(F.col("posted_at").desc_nulls_last(), "posting_id").limit(limit)
 
 
-def backfill_report(outcomes: DataFrame) -> DataFrame:
-    """Counts of form fetches by outcome and the questions they brought."""
+def backfill_report(outcomes: DataFrame, postings: DataFrame, key: str = "posting_id") -> DataFrame:
+    """Counts of form fetches by outcome, the questions they brought, and the open postings still to ask.
+
+    ``postings`` are as before the pass; an unreached form stays to be asked.
+    """
+    asked = outcomes.where("reached").select(key).distinct()
+    waiting = postings.where(F.col("form_fetched_at").isNull() & F.col("closed_at").isNull())
+    remaining = waiting.join(asked, key, "left_anti").agg(F.count("*")).scalar()
     reached, published = F.col("reached"), F.col("questions").isNotNull()
     return outcomes.agg(
         F.count("*").alias("attempted"),
@@ -150,7 +156,7 @@ def backfill_report(outcomes: DataFrame) -> DataFrame:
         F.count_if(reached & ~published).alias("unpublished"),
         F.count_if(~reached).alias("unreachable"),
         F.coalesce(F.sum(F.when(reached & published, F.size("questions"))), F.lit(0))
-        .cast("bigint").alias("questions_written"))
+        .cast("bigint").alias("questions_written")).withColumn("remaining", remaining)
 
 
 # ---------------------------------------------------------------- S14-S18 reports, repairs

@@ -204,9 +204,11 @@ def bucket(source: Column | str, has_attachment: Column) -> Column:
 
 
 def run_row(postings: DataFrame, actions: DataFrame, form_sizes: DataFrame,
-            attachments: DataFrame) -> DataFrame:
+            attachments: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
     """Counts per (candidate, posting) row, or the reason why there are none.
 
+    A posting that is not among ``indexed`` (posting_id), where given, has no form to plan for any more.
+
     ``postings``: candidate_id, posting_id and form columns; ``form_fetched_at``
     may be null.  ``attachments(candidate_id)`` holds candidates with a document.
     """
@@ -219,7 +221,13 @@ def run_row(postings: DataFrame, actions: DataFrame, form_sizes: DataFrame,
     state = form_state()
     reason = (F.when(state == "unread", "form not read yet")
               .when(state == "unpublished", "no readable form"))
-    out = (postings.join(counts, ["candidate_id", "posting_id"], "left")
+    if indexed is not None:
+        there = indexed.select("posting_id").distinct().withColumn("_there", F.lit(True))
+        postings_in = postings.join(there, "posting_id", "left")
+        reason = reason.when(F.col("_there").isNull(), "no longer indexed")
+    else:
+        postings_in = postings
+    out = (postings_in.join(counts, ["candidate_id", "posting_id"], "left")
            .join(form_sizes, "posting_id", "left").withColumn("reason", reason))
     ok = F.col("reason").isNull()
     return out.select(

@@ -181,9 +181,10 @@ def review_counts(parsed: DataFrame) -> DataFrame:
     skills = F.coalesce("skills", F.array().cast("array<struct<value:string,confidence:string>>"))
     contact = sum((low(F.col(f"contacts.{n}.confidence")) for n in ("email", "phone", "link")), F.lit(0))
     unsure_skills = F.size(F.filter(skills, lambda s: s["confidence"] != "high"))
+    n_roles = F.coalesce(F.greatest(F.size("roles"), F.lit(0)), F.lit(0))
     undated = F.size(F.filter("roles", lambda r: F.coalesce(r["dated"], F.lit("")) != "sure"))
     bullets = F.coalesce(F.aggregate("roles", F.lit(0), lambda n, r: n + F.size(r["bullets"])), F.lit(0))
     # Name, surname, place and title are never more than a reading; title and company of
     # a role neither; its two dates are sure or not together; lines are sure.
-    return (parsed.withColumn("field_count", 7 + F.size(skills) + 4 * F.size("roles") + bullets)
-            .withColumn("needs_review", 4 + contact + unsure_skills + 2 * F.size("roles") + 2 * undated))
+    return (parsed.withColumn("field_count", 7 + F.size(skills) + 4 * n_roles + bullets)
+            .withColumn("needs_review", 4 + contact + unsure_skills + 2 * n_roles + 2 * F.coalesce(F.greatest(undated, F.lit(0)), F.lit(0))))

@@ -1,4 +1,4 @@
-"""State carried along a long ordered sequence without gathering it in one task."""
+"""State and ranks along a long ordered sequence without gathering it in one task."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.session import materialise
+
 
 def carry_forward(df: DataFrame, key: str, order: str, reset: str, cols: Sequence[str],
                   chunk: int = 4096) -> DataFrame:
@@ -52,3 +54,21 @@ def carry_forward(df: DataFrame, key: str, order: str, reset: str, cols: Sequenc
             v, seg = F.col(f"_{name}_{c}"), F.col("_seg_" + name)
             out.append(F.when(seg.isNull() | (v["o"] >= seg), v["v"]).alias(f"{name}_{c}"))
     return d.select(*out)
+
+
+def ranked(df: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """``row_number`` of every row in its group, however large one group is.
+
+    Rows are dealt out by ranges of (group, order) and numbered within their range; what a group has in the
+    ranges before is added.  The scan over ranges has a row per group and range: as many as there are partitions
+    and groups, not rows.  ``order`` should leave no ties.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = materialise(df.repartitionByRange(n, group, *order).withColumn("_range", F.spark_partition_id()))
+    counts = d.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    d = d.withColumn("_own", own)
+    return (d.join(offsets, d[group].eqNullSafe(F.col("_g")) & (d["_range"] == F.col("_r")))
+            .select(*df.columns, (F.col("_before") + F.col("_own")).cast("int").alias(name)))

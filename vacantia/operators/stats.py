@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions import patterns as P
 from vacantia.functions import text as T
+from vacantia.operators.sequence import ranked as in_order
 from vacantia.session import materialise, spread
 
 
@@ -255,8 +256,7 @@ def gap_report(corpus: DataFrame, profiles: DataFrame, answers: DataFrame,
     """
     per_key = corpus.where(F.col("route") != "skip")
     # Ranked over distinct (key, class): question types, not rows of the index.
-    w = Window.partitionBy("route").orderBy(F.col("n").desc(), "label_key", "answerability")
-    ranked = per_key.withColumn("pos", F.row_number().over(w))
+    ranked = in_order(per_key, "route", [F.col("n").desc(), F.col("label_key"), F.col("answerability")], "pos")
     answered_bank = answers.select("candidate_id", "label_key").join(
         per_key.where(F.col("route") == "bank").select("label_key", "route"), "label_key")
     answered_profile = _filled_fields(profiles).join(

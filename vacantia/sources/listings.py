@@ -15,11 +15,33 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia import schemas
 from vacantia.functions.text import blank_to_null, col, trim_ws
+from vacantia.session import materialise
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Landed JSON with a fixed schema; the board is the landing folder's partition."""
-    return spark.read.schema(schema + ", board STRING").option("multiLine", True).json(path)
+CORRUPT = "_corrupt"
+
+
+def read_json(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """Landed JSON with a fixed schema; the board is the landing folder's partition.
+
+    A file holds one document or, with ``one_per_file`` off, one a line.  A document that cannot be read is a row of nulls with its text in ``_corrupt``; ``_file`` is where it came from.
+    """
+    return (spark.read.schema(f"{schema}, board STRING, {CORRUPT} STRING").option("multiLine", one_per_file).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path).withColumn("_file", F.col("_metadata.file_path")))
+
+
+def quarantined(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what was read, what was not): the second one keeps board, file and text, and the reason.
+
+    A board of which a document could not be read was not read whole: ``partly`` is set on its other rows, which may be
+    added but close nothing.
+    """
+    landed = materialise(landed)  # the reader wants more than its own column of broken text to be asked for
+    bad = landed.where(F.col(CORRUPT).isNotNull()).select("board", F.col("_file").alias("file"), F.col(CORRUPT).alias("text"),
+                                                          F.when(F.trim(CORRUPT) == "", "empty").otherwise("not JSON of this kind").alias("reason"))
+    boards = bad.select(F.col("board").alias("_b")).distinct().withColumn("partly", F.lit(True))
+    good = landed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+    return good.join(boards, good["board"] == F.col("_b"), "left").drop("_b").withColumn("partly", F.coalesce("partly", F.lit(False))), bad
 
 
 def _timestamp(c: Column) -> Column:
