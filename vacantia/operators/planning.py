@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions import text as T
 from vacantia.operators.stats import bank_matches, kit_coverage
+from vacantia.session import materialise
 
 
 def _null(kind: str = "string") -> Column:
@@ -56,11 +57,12 @@ def label_questions(questions: DataFrame) -> DataFrame:
     """``label_key`` and ``answerability``, worked out once per distinct (label, field kinds).
 
     The same question stands on very many forms, so the patterns run on the distinct
-    labels and the result is joined back; AQE broadcasts it when it is small.
+    labels and the result is written and joined back: its size is known, so that a small one is broadcast
+    and the questions are not shuffled by their (few, hot) labels.
     """
     d = questions.withColumn("_kinds", F.array_join(F.transform("fields", lambda f: f["kind"]), ","))
-    once = (d.select("label", "_kinds").distinct().withColumn("label_key", T.normalise_label("label"))
-            .withColumn("answerability", T.classify_question("label_key", F.split("_kinds", ","))))
+    once = materialise(d.select("label", "_kinds").distinct().withColumn("label_key", T.normalise_label("label"))
+                       .withColumn("answerability", T.classify_question("label_key", F.split("_kinds", ","))))
     return d.join(once, ["label", "_kinds"]).drop("_kinds")
 
 
@@ -100,7 +102,7 @@ def compile_plan(questions: DataFrame, profiles: DataFrame, bank: DataFrame) ->
     profile fields.  Everything the ladder reads is joined first; the ladder is one
     ordered condition, so nothing shuffles after the joins.
     """
-    q = questions.join(key_facts(questions), ["label_key", "answerability"])
+    q = questions.join(materialise(key_facts(questions)), ["label_key", "answerability"])
     kept = resolve_attachment_pair("fields", "label_key", F.col("_people").isNotNull())
     a = q.select(*[c for c in q.columns if c != "fields"],
                  (F.size(kept) < F.size("fields")).alias("_pair"),
