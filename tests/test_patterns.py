@@ -55,3 +55,21 @@ def test_refused_patterns_leave_the_rest(spark):
     keys = spark.createDataFrame([(1, "do you need sponsorship"), (1, "x")], "candidate_id int, label_key string")
     assert [(r.label_key, r.text) for r in A.bank_matches(keys, bank).collect()] == [("do you need sponsorship", "yes")]
     assert [r.label_patterns for r in A.screen_patterns(bank).orderBy("ord").collect()] == [["sponsor"], []]
+
+
+@pytest.mark.parametrize("pattern,needed", [("notice.*42$", [["42", "notice"]]), (r"steel\s(?:7|0)", [["steel ", "teel 7"], ["steel ", "teel 0"]])])
+def test_every_run_is_needed_in_its_own_length(pattern, needed):
+    assert P.needs(pattern, 6) == needed
+
+
+def test_rare_numbers_decide_what_is_tried(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("red steel bolt "), F.col("id").cast("string")).alias("label_key"))
+    patterns = spark.range(2000).select(F.concat(F.lit(r"steel bolt\s(?:"), F.col("id").cast("string"), F.lit("|x)$")).alias("p"))
+    assert A.pattern_hits(keys, patterns).count() == 2000
+    assert A.pattern_candidates(keys, patterns).count() < 10 * 2000
+
+
+def test_white_space_of_a_key_meets_the_class(spark):
+    k = spark.createDataFrame([(x,) for x in ("steel\t7", "steel 7", "steel\x0b7", "steel7")], "label_key string")
+    p = spark.createDataFrame([(r"steel\s7",)], "p string")
+    assert {r.label_key for r in A.pattern_hits(k, p).collect()} == {"steel\t7", "steel 7", "steel\x0b7"}
