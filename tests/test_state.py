@@ -93,3 +93,26 @@ def test_rewordings(spark):
     assert kinds(spark, "Built jobs in python", "Built jobs in spark") == ["dropped-technology", "new-technology"]
     assert kinds(spark, "Built jobs", "Built jobs with Initech and") == ["new-entity"]
     assert kinds(spark, "Built a b", "Built a b c d e f g h i j k l") == ["inflated"]
+
+
+EVENT = "event_id bigint, ts timestamp, candidate_id bigint, posting_id string, status string"
+
+
+def test_states_and_quiet_notices_over_batches(spark, tmp_path):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    first = [(1, day(5), 1, "p", "APPLIED"), (2, day(6), 1, "p", "APPLIED"), (3, day(1), 2, "p", "APPLIED"), (4, day(2), 3, "p", "APPLIED"), (5, day(3), 3, "p", "SKIPPED")]
+    second = [(6, day(4.9), 1, "p", "APPLIED"), (7, day(8), 2, "p", "SAVED"), (8, day(60), 9, "p", "SAVED")]
+    third = [(9, day(61), 2, "p", "APPLIED"), (10, day(90), 9, "p", "SAVED")]
+    feed, out, ck, out2, ck2 = (str(tmp_path / n) for n in ("feed", "out", "ck", "out2", "ck2"))
+    J.use_rocksdb(spark)
+    for rows in (first, second, third):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(EVENT).parquet(feed)
+        J.run_updates(J.application_states(stream), out, ck)
+        J.run_to_end(J.quiet_applications(stream, 14), out2, ck2)
+    got = sorted((r.batch, r.candidate_id, r.status, r.updated_us, r.sent_us) for r in spark.read.parquet(out).collect())
+    spark_us = {n: spark.createDataFrame([(day(n),)], "t timestamp").select(F.unix_micros("t")).first()[0] for n in (1, 2, 3, 4.9, 5, 6, 8, 60, 61, 90)}
+    want = [(0, 1, "APPLIED", 6, 5), (0, 2, "APPLIED", 1, 1), (0, 3, "SKIPPED", 3, 2), (1, 1, "APPLIED", 6, 5), (1, 2, "SAVED", 8, 1), (1, 9, "SAVED", 60, None),
+            (2, 2, "APPLIED", 61, 1), (2, 9, "SAVED", 90, None)]
+    assert got == [(b, c, s, spark_us[u], spark_us.get(x)) for b, c, s, u, x in want]
+    assert sorted((r.candidate_id, r.updated_us) for r in spark.read.parquet(out2).collect()) == [(1, spark_us[6]), (2, spark_us[61])]
