@@ -187,3 +187,17 @@ def test_small_ones(one):
     assert one(T.employer_name(L("big-co_labs"))) == "Big Co Labs"
     assert one(T.canon_option(L("Yes, I am (really)"))) == "yes"
     assert one(T.days_old(L(None).cast("timestamp"), F.current_timestamp())) is None
+
+
+def test_a_scope_is_searched_for_once(spark):
+    rows = spark.createDataFrame([("Berlin", "Remote - UK only"), (None, "wfh in the United States"), ("Remote, India", None), ("x", "y")], "l string, t string")
+    out = rows.select(T.remote_scope_of("l", "t").alias("s"))
+    assert [r.s for r in out.collect()] == ["UK", "US", "INDIA", None]
+    plan = rows.selectExpr("l || '' AS l", "concat(t, '') AS t").select(T.remote_scope_of("l", "t").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("remote|wfh") == 2  # its two groups; one look-up per label repeated them
+
+
+def test_white_space_and_years_as_before(one):
+    assert one(T.trim_ws(F.lit("  a\t b \n")), T.trim_ws(F.lit(" \n ")), T.trim_ws(F.lit("a  "))) == ("a\t b", "", "a ")
+    assert one(T.html_to_text(F.lit("<p>a \t b  c</p>\td&#8217;s &amp;#65; &#x"))) == "a b c\n d’s A &#x"
+    assert one(T.required_years(F.lit("1 2 30 years, experience of 4+ years")), T.required_years(F.lit("12 kinds, 3 to 5 years working"))) == (2, 3)
