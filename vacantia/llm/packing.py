@@ -12,21 +12,102 @@ Null text: empty (its end token alone).  Repeated rows are packed as often as th
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import Recent, chunks, stored
+from vacantia.llm.bpe import byte_letters
+from vacantia.llm.common import Recent, chunks, starts_of, stored
 
 CACHE = 400_000
+#: How a vocabulary has to cut and lower words for ``Merger`` to give its ids.
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LOWERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Words of these characters have one form, one lower case and one kind per character in every library.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[!-~{LETTERS}]*")
+PLAIN_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|\n|[^{LETTERS}0-9\n]+")
+END = "\0"
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+class Merger:
+    """Ids of plain words by a faster library from the same vocabulary.
+
+    A piece of a word is merged with an end sign after it, which stands for the vocabulary's end-of-word suffix: the sign
+    joins the last byte before anything else merges.  Words that are not ``plain`` go to tokenizers itself.
+    """
+
+    def __init__(self, spec: dict) -> None:
+        import tiktoken
+
+        model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
+        back = {c: bytes([b]) for b, c in byte_letters().items()}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        ranks = {b"".join(back[c] for c in w.removesuffix(suffix)) + (END.encode() if w.endswith(suffix) else b""): i for w, i in model["vocab"].items()
+                 if w not in self.special}
+        made = [model["vocab"][m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+        first = {model["vocab"][c + x] for c in back for x in ("", suffix)}
+        if made != sorted(set(made)) or len(first) + len(made) != len(ranks) or max(first) > made[0]:
+            raise ValueError("ids do not follow the order of merges")
+        self.core = tiktoken.Encoding("words", pat_str=rf"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
+        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends[[i for w, i in ranks.items() if w.endswith(END.encode()) and len(w) > 1]] = True
+
+    @staticmethod
+    def of(path: str) -> Merger | None:
+        """A merger for the vocabulary in ``path``, if it is one of those that it can stand for."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        model = {k: spec["model"].get(k) for k in ("type", "dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")}
+        if (spec["normalizer"] != {"type": "Sequence", "normalizers": LOWERS} or spec["pre_tokenizer"] != cut or spec["post_processor"]
+                or model.pop("type") != "BPE" or any(model.values()) or not spec["model"].get("end_of_word_suffix")):
+            return None
+        try:
+            return Merger(spec)
+        except (KeyError, ValueError):
+            return None
+
+    def plain(self, words: list[str]) -> list[str]:
+        whole = "".join(words)
+        marked = any(t in "\n".join(words) for t in self.special)
+        if PLAIN.fullmatch(whole) and not marked:
+            return words
+        return [w for w in words if PLAIN.fullmatch(w) and not (marked and any(t in w for t in self.special))]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words as bytes."""
+        if not words:
+            return []
+        cut = PLAIN_CUT.findall("\n".join(words).lower())
+        pieces = list(set(cut) - {"\n"})
+        place = dict(zip(pieces, range(len(pieces))))
+        place["\n"] = len(pieces)
+        ids = np.array(self.core.encode_ordinary(END.join([*pieces, ""])), "<u4")
+        ends = np.append(np.flatnonzero(self.ends[ids]) + 1, len(ids))  # the line end between two words has no ids
+        sizes = np.diff(ends, prepend=0)
+        at = np.fromiter(map(place.__getitem__, cut), np.int64, len(cut))
+        data = ids[spans((ends - sizes)[at], sizes[at])].tobytes()
+        to = 4 * np.append(np.cumsum(sizes[at])[at == len(pieces)], sizes[at].sum())
+        return [data[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    return np.repeat(starts - starts_of(sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class WordCoder:
     """Ids of a text as little-endian bytes, word by word.
 
@@ -41,19 +122,35 @@ class WordCoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cache = Recent(cache)
+        self.merger = Merger.of(path)
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
+        known = {}
+        if self.merger:
+            plain = self.merger.plain(words)
+            known = dict(zip(plain, self.merger.encode(plain), strict=True))
+            words = [w for w in words if w not in known] if len(plain) < len(words) else []
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got, strict=True)}
+        return known | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if not texts:
+            return []
+        split = pc.split_pattern(pc.replace_substring_regex(pa.array(texts, pa.large_string()), "[\n\t\r]", " "), " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         cache = self.cache
         cache.turn()
-        new = set().union(*split).difference(cache).difference(cache.old)
+        new = [w for w in words if w not in cache and w not in cache.old]
         if new:
-            cache.update(self.learn(list(new)))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+            cache.update(self.learn(new))
+        held = [cache[w] for w in words]
+        # the ids of each distinct word once, then those of every word in its place
+        ids, sizes = np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        data = ids[spans(starts_of(sizes)[at], sizes[at])].tobytes()
+        ends = 4 * np.append(0, np.cumsum(sizes[at]))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
