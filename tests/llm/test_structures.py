@@ -257,3 +257,39 @@ def test_registered_queries(spark, tmp_path):
     assert rows_of(QUERIES["op11_conversation_repair"](spark, str(tmp_path))) == repaired(said)
     assert rows_of(QUERIES["op12_ngram_jaccard_join"](spark, str(tmp_path))) == components(rows)
     assert rows_of(QUERIES["op13_cross_tokenizer_alignment"](spark, str(tmp_path))) == aligned(rows)
+
+
+def test_merged_words_have_the_ids_of_tokenizers():
+    import random
+
+    import numpy as np
+    from vacantia.llm.packing import WordCoder
+    from vacantia.llm.queries import vocabulary
+
+    c, r = WordCoder(vocabulary("word_bpe_49k.json")()), random.Random(2)
+    signs = "aaaeinorstthABÉß'’09.,!?<|>-_×ºµΣς\x0b\x1c\x85\xa0#"
+    words = ["", "it's", "<|endoftext|>", "a<|startoftext|>b", "x" * 3000, "a\0b", "é"] + ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    assert c.merger and 1000 < len(c.merger.plain(words)) < len(words)
+    slow = [np.array(e.ids, "<u4").tobytes() for e in c.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [c.learn(words)[w] for w in words] == slow
+    texts = [" ".join(words[i:i + 9]).replace("!", "\n") for i in range(0, 900, 9)] + ["", " \t\r\n"]
+    assert c.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in c.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_archives_are_read_in_linear_time():
+    import os
+    import time
+
+    from vacantia.llm import warc as W
+
+    records = [W.record(i, None, os.urandom(600), "0", None) for i in range(12_000)] + [os.urandom(100_000)]
+    data = W.archive(records)
+    t = time.process_time()
+    assert list(W.records_of(data)) == records
+    assert time.process_time() - t < 4  # 12,000 copies of what is left of 8 MB took longer
+    try:
+        list(W.records_of(data[:-1]))
+    except Exception as e:
+        assert isinstance(e, (ValueError, ArithmeticError)) or "zstd" in str(e).lower()
+    else:
+        raise AssertionError("a cut archive was read")

@@ -28,6 +28,8 @@ from vacantia.session import shared_dir
 
 #: Fixed by the format: skippable frame number 0x5D, and the frames' magic.
 SKIPPABLE, ZSTD_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
+#: Bytes of an archive that are given to the decompressor at a time.
+STEP = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -99,10 +101,15 @@ def records_of(data: bytes) -> Iterator[bytes]:
     while len(rest):
         if bytes(rest[:4]) != ZSTD_MAGIC:
             raise ValueError("a frame with an unknown magic")
-        one = plain.decompressobj()
-        yield one.decompress(rest)
-        left = len(one.unused_data)
-        rest = rest[len(rest) - left:]
+        # in short runs: what lies behind a frame is copied, and may be the rest of the archive
+        one, parts, at = plain.decompressobj(), [], 0
+        while not one.eof:
+            if at >= len(rest):
+                raise ValueError("a frame that does not end")
+            parts.append(one.decompress(rest[at:at + STEP]))
+            at += STEP
+        yield b"".join(parts)
+        rest = rest[min(at, len(rest)) - len(one.unused_data):]
 
 
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
