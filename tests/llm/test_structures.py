@@ -271,7 +271,8 @@ def test_merged_words_have_the_ids_of_tokenizers():
     words = ["", "it's", "<|endoftext|>", "a<|startoftext|>b", "x" * 3000, "a\0b", "é"] + ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(4000)]
     assert c.merger and 1000 < len(c.merger.plain(words)) < len(words)
     slow = [np.array(e.ids, "<u4").tobytes() for e in c.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    assert [c.learn(words)[w] for w in words] == slow
+    learned = c.learn(words)
+    assert [learned[w] for w in words] == slow
     texts = [" ".join(words[i:i + 9]).replace("!", "\n") for i in range(0, 900, 9)] + ["", " \t\r\n"]
     assert c.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in c.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
