@@ -12,6 +12,7 @@ from vacantia.catalog.registry import query
 from vacantia.functions import text as T
 from vacantia.operators import evidence as E
 from vacantia.operators import tracking as K
+from vacantia.session import materialise
 
 VOCAB = ("red widget", "blue widget", "widget", "red", "bolt", "ring", "gear", "cold")
 # What each market segment's posting asks for.
@@ -32,11 +33,18 @@ def _asks(spark, d):
 
 
 def _lines(spark, d):
-    """Evidence lines with their terms; the terms of equal texts are found once."""
+    """Evidence lines with their terms; the terms of equal texts are found once.
+
+    The lines of an order are numbered first, where the orders are met, and dealt by candidate once with that number alone: it serves
+    their places, the asks and the ranks.  The terms are written, so that their size is known.
+    """
     b = D.bullets(spark, d)
-    w = Window.partitionBy("candidate_id", "role_no").orderBy("o_orderkey", *D.LINE_ORDER)
-    terms = b.select("text").distinct().withColumn("terms", T.terms_in("text", VOCAB))
-    return (b.withColumn("position", F.row_number().over(w)).select("candidate_id", "role_no", "position", "text").join(terms, "text"))
+    terms = materialise(b.select("text").distinct().withColumn("terms", T.terms_in("text", VOCAB)))
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*D.LINE_ORDER))
+    w = Window.partitionBy("candidate_id", "role_no").orderBy("o_orderkey", "_line")
+    placed = (b.withColumn("_line", line).select("candidate_id", "role_no", "o_orderkey", "_line", "text").repartition("candidate_id")
+              .withColumn("position", F.row_number().over(w)))
+    return placed.select("candidate_id", "role_no", "position", "text").join(terms, "text")
 
 
 def _list(xs) -> str:
@@ -83,7 +91,7 @@ def coverage_partition(spark, d):
 
 @query("verbatim_integrity", "SELECT 0::BIGINT AS not_found")
 def verbatim_integrity(spark, d):
-    src = _lines(spark, d)
+    src = materialise(_lines(spark, d))
     kept = E.tailor_bullets(src, _asks(spark, d)).where("kept")
     return E.verbatim_integrity(kept, src).agg(F.count("*").alias("not_found"))
 
@@ -234,7 +242,7 @@ def triage_proposals(spark, d):
     b = D.bullets(spark, d)
     first = b.groupBy(F.col("l_orderkey").alias("bullet_id")).agg(
         F.min_by(F.struct("text", "l_returnflag"), F.struct("l_linenumber", "text")).alias("s"))
-    src = first.select("bullet_id", "s.text", "s.l_returnflag")
+    src = materialise(first.select("bullet_id", "s.text", "s.l_returnflag"))
     text = (F.when(F.col("l_returnflag") == "A", F.concat(F.regexp_replace("text", "^Led", "Ran"), F.lit(" ")))
             .when(F.col("l_returnflag") == "R", F.concat("text", F.lit(" as Chief"))).otherwise(F.col("text")))
     one = src.select("bullet_id", F.lit(1).alias("ord"), text.alias("proposal"), F.lit(" ok ").alias("why"))
