@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions import text as T
 from vacantia.operators.stats import weighted_mean_score
+from vacantia.session import materialise
 
 
 def _strings() -> Column:
@@ -339,7 +340,11 @@ def triage_proposals(proposals: DataFrame, bullets: DataFrame,
     one = proposals.groupBy("bullet_id").agg(F.min_by(F.struct("proposal", "why"), "ord").alias("p"))
     j = one.join(bullets.select("bullet_id", F.col("text").alias("original")), "bullet_id").select(
         "bullet_id", "original", F.col("p.proposal").alias("proposal"), F.col("p.why").alias("why"))
-    v = verify_rewordings(j, vocab)
+    # Equal texts with equal proposals are checked once.
+    j = materialise(j)
+    once = materialise(verify_rewordings(j.select("original", "proposal").distinct(), vocab)).select(
+        F.col("original").alias("_o"), F.col("proposal").alias("_p"), "objections", "ok")
+    v = j.join(once, F.col("original").eqNullSafe(F.col("_o")) & F.col("proposal").eqNullSafe(F.col("_p"))).drop("_o", "_p")
     quiet = F.exists("objections", lambda o: o["kind"].isin("empty", "unchanged"))
     return (v.where(F.col("ok") | ~quiet)
             .withColumn("verdict", F.when(F.col("ok"), "suggested").otherwise("discarded"))
