@@ -140,13 +140,15 @@ def flatten_form(df: DataFrame, key: str = "posting_id") -> DataFrame:
                 lambda v: F.struct(v["label"].alias("label"),
                                    F.coalesce(v["value"], F.lit("")).alias("value"))))
             .alias("options")))
-    return (df.select(key, F.posexplode("questions").alias("position", "q"))
+    flat = (df.select(key, F.posexplode("questions").alias("position", "q"))
             .select(key, "position", trim_ws(F.coalesce(q["label"], F.lit(""))).alias("label"),
                     F.coalesce(q["required"], F.lit(False)).alias("required"),
-                    fields.alias("fields"))
-            .withColumn("label_key", normalise_label("label"))
-            .withColumn("answerability", classify_question(
-                "label_key", F.transform("fields", lambda f: f["kind"]))))
+                    fields.alias("fields")))
+    flat = materialise(flat.withColumn("_kinds", F.transform("fields", lambda f: f["kind"])))
+    # The same question stands on very many forms: the patterns run once per wording and kinds.
+    once = materialise(flat.select("label", "_kinds").distinct().withColumn("label_key", normalise_label("label"))
+                       .withColumn("answerability", classify_question("label_key", "_kinds")))
+    return flat.join(once, ["label", "_kinds"]).drop("_kinds")
 
 
 def form_summary(df: DataFrame, key: str = "posting_id") -> DataFrame:
