@@ -183,3 +183,19 @@ def test_chips_agree_with_without_part(spark):
     for k in keys:
         left = s.withColumn("f", S.without_part(F.lit(k))).select(F.explode(S.chips()).alias("c")).select("c.key").collect()
         assert [r.key for r in left] == [x for x in keys if x != k]
+
+
+def test_literal_pieces_only_spare_searches(spark):
+    rules = [p for g in (V.REQUEST_LEVELS, V.REQUEST_WORKPLACES, V.REQUEST_DAYS, V.REQUEST_CANNOT) for _, p in g] + [V.REQUEST_RESET]
+    assert all(R.literals(p) for p in rules)
+    assert R.literals(r"\b(colou?r|in[- ]office|clear (it|this)?)\b") == ["colo", "office", "clear "]
+    for unknown in (V.REQUEST_REFINE, r"\b(a\.b)\b", r"\b(x|[ab])\b", r"\b(a{2}b)\b", r"\b((?i)abc)\b", r"\b(a)|(b)\b", r"\b([(]a|b)\b"):
+        assert R.literals(unknown) is None
+    texts = ["clear", "clear it", "x clear  day", "on site", "onsite", "on-sites", "in office", "midlevel", "mid level", "sr.", "srx", "é sr", "pays", "last 24 hours", "forget that", ""]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    for p in rules:
+        assert df.where(~R._found(F.col("t"), p).eqNullSafe(F.col("t").rlike(R._ascii(p)))).count() == 0
+    ends = [" remote ", "remote  ", "   pune’s jobs\n\n", " ", "remote"]
+    m = spark.createDataFrame([(str(i), t) for i, t in enumerate(ends)], "msg_id string, text string")
+    plain = F.lower(T.squeeze(F.regexp_replace("text", "[’']", "'")))
+    assert [r.words for r in R.parse_requests(m, None, []).collect()] == [r.words for r in R.parse_requests(m.withColumn("text", plain), None, []).collect()]

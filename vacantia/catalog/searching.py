@@ -11,7 +11,7 @@ from vacantia.catalog.registry import query
 from vacantia.functions import text as T
 from vacantia.operators import requests as R
 from vacantia.operators import search as S
-from vacantia.session import materialise
+from vacantia.session import materialise, spread
 
 _NOW = "TIMESTAMP '2001-08-02'"
 
@@ -199,7 +199,7 @@ def fold_conversation(spark, d):
 def parse_requests_documents(spark, d):
     """Every line of every text as a request, whole texts: counts per named slot."""
     t = D.text_lines(spark, d).select(F.concat_ws("-", "posting_id", F.sha2("label", 256)).alias("msg_id"), F.col("label").alias("text"))
-    p = R.parse_requests(t, None, _VOCAB)
+    p = R.parse_requests(spread(t, "msg_id", "text"), None, _VOCAB)  # a file of texts may be read by few tasks
     return p.agg(F.count("*").alias("n"), F.count("place").alias("place"), F.count("level").alias("level"),
                  F.count("days").alias("days"), F.count("skills").alias("skills"), F.count("words").alias("words"))
 

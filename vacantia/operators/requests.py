@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ from vacantia.operators.sequence import carry_forward
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+#: What ``trim_ws`` may find at an end of a text without runs of white space; Java's ``$`` also stands before a last line end.
+_ENDS = (" ", "\u00a0", "\u0085", "\u2028", "\u2029")
+
+
 def _ascii(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
@@ -29,15 +36,44 @@ def _strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def literals(pattern: str) -> list[str] | None:
+    """Pieces of which a text holds one wherever ``pattern``, a list of words between word edges, is found; None: not known."""
+    m = re.fullmatch(r"\\b(?:\((.*)\)|([a-z0-9 ]+))\\b", pattern)
+    if not m or "(?" in pattern or "{" in pattern:
+        return None
+    out, runs, run, depth = [], [], "", 0
+    for i, x in enumerate(inner := (m[1] or m[2]) + "|"):
+        plain = depth == 0 and re.fullmatch("[a-z0-9 ]", x) and inner[i - 1:i] != "\\"
+        if plain and inner[i + 1] not in "?*":
+            run += x
+            continue
+        runs, run = [*runs, run], ""
+        depth += (x in "([") - (x in ")]")
+        if depth < 0 or x == "\\":
+            return None
+        if x == "|" and depth == 0:
+            out, runs = [*out, max(runs, key=len)], []
+    return out if depth == 0 and all(out) else None
+
+
+def _found(t: Column, pattern: str) -> Column:
+    """Whether the pattern is found; texts without any of its literal pieces, which most are, are not searched."""
+    hit, parts = t.rlike(_ascii(pattern)), literals(pattern)
+    return hit if parts is None else reduce(or_, [F.contains(t, F.lit(x)) for x in parts]) & hit
+
+
 def _take_rules(df: DataFrame, name: str, rules: Iterable[tuple], cast: str) -> DataFrame:
     """First rule found in the working text gives the slot; its words leave the text."""
-    rules = [(v, _ascii(p)) for v, p in rules]
-    value = T.first_match(F.col("_t"), [(p, F.lit(v).cast(cast)) for v, p in rules])
+    rules = list(rules)
+    value = None
+    for v, p in rules:
+        hit, v = _found(F.col("_t"), p), F.lit(v).cast(cast)
+        value = F.when(hit, v) if value is None else value.when(hit, v)
     df = df.withColumn(name, F.coalesce(F.col(name), value) if name in df.columns else value)
     gone = None
     for v, p in rules:
-        cut = F.regexp_replace("_t", p, " ")
-        test = (F.col(name) == F.lit(v)) & F.col("_t").rlike(p)
+        cut = F.regexp_replace("_t", _ascii(p), " ")
+        test = (F.col(name) == F.lit(v)) & _found(F.col("_t"), p)
         gone = F.when(test, cut) if gone is None else gone.when(test, cut)
     return df.withColumn("_t", gone.otherwise(F.col("_t")))
 
@@ -49,22 +85,23 @@ def parse_requests(messages: DataFrame, companies: DataFrame | None, vocab: Iter
     Slots a message does not name are null.  Parts are taken from the working
     text in a fixed order, each before the next is looked for.
     """
-    low = F.regexp_replace(F.lower("text"), "[’']", "'")
-    df = messages.withColumn("_t", F.concat(F.lit(" "), T.squeeze(low), F.lit(" ")))
+    df = messages.withColumn("_t", F.regexp_replace(F.replace(F.lower("text"), F.lit("’"), F.lit("'")), r"\s+", " "))
+    edged = F.left("_t", F.lit(1)).isin(*_ENDS) | F.right("_t", F.lit(1)).isin(*_ENDS)
+    df = df.withColumn("_t", F.concat(F.lit(" "), F.when(edged, T.trim_ws("_t")).otherwise(F.col("_t")), F.lit(" ")))
 
     reset = _ascii(V.REQUEST_RESET)
-    df = df.withColumn("asks_reset", F.col("_t").rlike(reset))
+    df = df.withColumn("asks_reset", _found(F.col("_t"), V.REQUEST_RESET))
     df = df.withColumn("_t", F.when(F.col("asks_reset"), _drop_first(F.col("_t"), reset))
                        .otherwise(F.col("_t")))
     df = df.withColumn("refining", F.col("_t").rlike(_ascii(V.REQUEST_REFINE)))
 
-    notes = [F.when(F.col("_t").rlike(_ascii(p)), F.lit(n)) for n, p in V.REQUEST_CANNOT]
+    notes = [F.when(_found(F.col("_t"), p), F.lit(n)) for n, p in V.REQUEST_CANNOT]
     df = df.withColumn("notes", F.filter(F.array(*notes), lambda n: n.isNotNull()))
-    df = df.withColumn("_t", F.regexp_replace(
-        "_t", _ascii(T.any_of(p for _, p in V.REQUEST_CANNOT)), " "))
+    df = df.withColumn("_t", F.when(F.size("notes") > 0, F.regexp_replace(
+        "_t", _ascii(T.any_of(p for _, p in V.REQUEST_CANNOT)), " ")).otherwise(F.col("_t")))
 
     n_days = _ascii(r"\b(\d{1,3}) days?\b")
-    stated = F.nullif(F.regexp_extract("_t", n_days, 1), F.lit("")).cast("int")
+    stated = F.when(F.contains("_t", F.lit(" day")), F.nullif(F.regexp_extract("_t", n_days, 1), F.lit("")).cast("int"))
     df = df.withColumn("days", F.when(stated > 365, 365).otherwise(stated)).withColumn("_stated", stated.isNotNull())
     df = df.withColumn("_t", F.when(F.col("_stated"), _drop_first(F.col("_t"), n_days))
                        .otherwise(F.col("_t")))
@@ -78,8 +115,11 @@ def parse_requests(messages: DataFrame, companies: DataFrame | None, vocab: Iter
 
     if places:
         spellings = sorted(((s, p) for p in places for s in p[1]), key=lambda x: -len(x[0]))
-        rules = [(rf"(^|[^a-z]){T.re.escape(s)}($|[^a-z])", F.lit(s)) for s, _ in spellings]
-        df = df.withColumn("_say", T.first_match(F.col("_t"), rules))
+        said = None
+        for spelling, _ in spellings:
+            hit = F.contains("_t", F.lit(spelling)) & F.col("_t").rlike(rf"(^|[^a-z]){T.re.escape(spelling)}($|[^a-z])")
+            said = F.when(hit, F.lit(spelling)) if said is None else said.when(hit, F.lit(spelling))
+        df = df.withColumn("_say", said)
         label = F.create_map(*[F.lit(x) for s, p in spellings for x in (s, p[0])])
         terms = F.create_map(*[x for p in places for x in
                                (F.lit(p[0]), F.array(*[F.lit(t) for t in p[2]]))])
@@ -98,7 +138,11 @@ def parse_requests(messages: DataFrame, companies: DataFrame | None, vocab: Iter
     else:
         df = df.withColumn("company", F.lit(None).cast("string"))
 
-    skills = T.terms_in("_t", list(vocab))
+    vocab = [v for v in vocab if v]
+    skills = T.terms_in("_t", vocab)
+    if vocab:
+        skills = F.when(reduce(or_, [F.contains(F.lower("_t"), F.lit(v.lower())) for v in vocab]), skills).otherwise(
+            F.when(F.col("_t").isNotNull(), _strings()))
     df = df.withColumn("_skills", skills)
     longest = F.array_sort("_skills", lambda a, b: F.length(b) - F.length(a))
     df = df.withColumn("_t", F.aggregate(
@@ -108,7 +152,7 @@ def parse_requests(messages: DataFrame, companies: DataFrame | None, vocab: Iter
     stop = F.array(*[F.lit(w) for w in V.REQUEST_STOP_WORDS])
     words = F.filter(F.split("_t", "[^a-z0-9+#.]+", -1), lambda w: F.length(w) >= 2)
     df = df.withColumn("_w", words)
-    kept = F.array_except(F.filter("_w", lambda w: ~w.rlike(r"^\d+$")), stop)
+    kept = F.filter(F.array_except("_w", stop), lambda w: ~w.rlike(r"^\d+$"))
     df = df.withColumn("words", F.when(F.size(kept) > 0, kept))
     df = df.withColumn("ignored", F.array_intersect("_w", stop))
     return df.drop("_t", "_w", "_skills")
