@@ -394,6 +394,20 @@ def test_top_k(spark):
     assert topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_sends_no_query_blocks_through_the_driver(spark):
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(300)]
+    rows += [(1000, [1.0, 40.0]), (2000, [2.0**18, 1.0]), (2001, [-(2.0**18), 1.0])]  # components of two and of four bytes
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    out = topk.top_k(d, k=3)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    x = {i: [int(1024 * c) for c in v] for i, v in rows}
+    want = {}
+    for q in (0, 100, 200, 1000, 2000):
+        best = sorted((-sum(a * b for a, b in zip(x[q], x[i], strict=True)), i) for i in x if i != q)[:3]
+        want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(best)}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in out.collect()} == want
+
+
 def test_secrets(spark, docs):
     got = by_id(secrets.scan(docs), "n_assign", "n_access", "n_hex", "base_sha256")
     assert got == {i: brute.secrets(t) for i, t in texts().items()}
