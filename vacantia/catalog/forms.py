@@ -17,7 +17,17 @@ from vacantia.operators import tracking as K
 
 
 def _plan(spark, d):
-    return P.compile_plan(D.questions(spark, d), D.candidates(spark, d, with_skills=False), D.bank(spark, d))
+    return _plan_of(spark, d, D.questions(spark, d))
+
+
+def _plan_of(spark, d, questions):
+    return P.compile_plan(questions, D.candidates(spark, d, with_skills=False), D.bank(spark, d))
+
+
+def _plan_and_sizes(spark, d):
+    """The plan and the sizes of its forms, from questions that are stored once."""
+    q = D.questions(spark, d)
+    return _plan_of(spark, d, q), q.groupBy("posting_id").agg(F.count("*").alias("form_fields"))
 
 
 def _pick(prefs: list[str], opts: str) -> str:
@@ -69,10 +79,6 @@ def compile_plan(spark, d):
     return _plan(spark, d).select("candidate_id", "posting_id", "position", "field_no", "field_name", "kind", "source", "value")
 
 
-def _sizes(spark, d):
-    return D.questions(spark, d).groupBy("posting_id").agg(F.count("*").alias("form_fields"))
-
-
 @query("attachment_pairs", PLAN + """SELECT posting_id, position::INTEGER AS position, field_name, source FROM plan
   WHERE label_key = 'cover letter' OR kind = 'file'""")
 def attachment_pairs(spark, d):
@@ -95,7 +101,7 @@ _COUNTS = f"""cnt AS (SELECT posting_id, count(*) AS planned, count(*) FILTER (W
 @query("plan_counts", D.with_ctes(*_CORPUS[:4], D.CANDS_PLAIN, *PLAN_SQL, _SIZES, _COUNTS)
        + "SELECT cnt.*, form_fields, greatest(form_fields - planned, 0) AS skipped_optional, blocking = 0 AND n_generated = 0 AS executable FROM cnt JOIN sizes USING (posting_id)")
 def plan_counts(spark, d):
-    return A.plan_counts(_plan(spark, d), _sizes(spark, d)).drop("candidate_id")
+    return A.plan_counts(*_plan_and_sizes(spark, d)).drop("candidate_id")
 
 
 @query("plan_summary", D.with_ctes(*_CORPUS[:4], D.CANDS_PLAIN, *PLAN_SQL, _SIZES, _COUNTS) + """SELECT count(*) AS plans, sum(planned)::BIGINT AS actions,
@@ -104,7 +110,7 @@ def plan_counts(spark, d):
   count(*) FILTER (WHERE n_generated = 0 AND n_user = 0 AND blocking = 0) AS fully_deterministic, count(*) FILTER (WHERE blocking > 0) AS blocked_forms,
   count(*) FILTER (WHERE n_user > 0) AS needs_user_forms, count(*) FILTER (WHERE n_generated > 0) AS needs_writing_forms FROM cnt""")
 def plan_summary(spark, d):
-    return A.plan_summary(A.plan_counts(_plan(spark, d), _sizes(spark, d)))
+    return A.plan_summary(A.plan_counts(*_plan_and_sizes(spark, d)))
 
 
 @query("readiness", PLAN + """SELECT posting_id, count(*) FILTER (WHERE source IN ('profile', 'bank', 'file')) AS filled, count(*) AS total,
@@ -155,7 +161,7 @@ _RUNQ = D.with_ctes(*_CORPUS[:4], D.CANDS_PLAIN, *PLAN_SQL, _SIZES, _BUCKETS, D.
   CASE WHEN reason IS NULL THEN coalesce(form_fields, 0) END AS fields FROM run""")
 def run_row(spark, d):
     still = D.postings(spark, d, with_skills=False).where(F.col("closed_at").isNull())
-    return P.run_row(_run_postings(spark, d), _plan(spark, d), _sizes(spark, d), _attachments(spark, d), still).select(
+    return P.run_row(_run_postings(spark, d), *_plan_and_sizes(spark, d), _attachments(spark, d), still).select(
         "candidate_id", "posting_id", "reason", "prepared", "yours", "open", "fields")
 
 
@@ -212,7 +218,7 @@ def worklist(spark, d):
   count(reason) AS could_not_prepare, max(available) AS available FROM lft JOIN run USING (posting_id) WHERE run_no <= 3 GROUP BY 1""")
 def worklist_totals(spark, d):
     wl = P.worklist(_ranked(spark, d), _done(spark, d), 3)
-    rows = P.run_row(wl, _plan(spark, d), _sizes(spark, d), _attachments(spark, d))
+    rows = P.run_row(wl, *_plan_and_sizes(spark, d), _attachments(spark, d))
     return P.worklist_totals(rows)
 
 
@@ -220,7 +226,8 @@ def worklist_totals(spark, d):
   CASE WHEN form_fields > 0 THEN floor(stated / form_fields * 100 + 0.5)::INTEGER END AS coverage, greatest(form_fields - stated, 0) AS skipped_optional_blank
   FROM bk JOIN sizes USING (posting_id)""")
 def kit_counts(spark, d):
-    return P.kit_counts(_plan(spark, d), _attachments(spark, d), _sizes(spark, d)).select(
+    plan, sizes = _plan_and_sizes(spark, d)
+    return P.kit_counts(plan, _attachments(spark, d), sizes).select(
         "posting_id", "prepared", "yours", "open", "stated", "coverage", "skipped_optional_blank")
 
 
@@ -229,7 +236,8 @@ def kit_counts(spark, d):
   coalesce(string_agg(label, '|' ORDER BY position, field_no) FILTER (WHERE bkt = 'yours'), '') AS yours_labels,
   coalesce(string_agg(label, '|' ORDER BY position, field_no) FILTER (WHERE bkt = 'open'), '') AS open_labels FROM b GROUP BY 1""")
 def kit(spark, d):
-    k = P.kit(_plan(spark, d), _attachments(spark, d), _sizes(spark, d))
+    plan, sizes = _plan_and_sizes(spark, d)
+    k = P.kit(plan, _attachments(spark, d), sizes)
     names = lambda c: F.array_join(F.transform(c, lambda x: x["label"]), "|")
     return k.select("posting_id", F.array_join(F.transform("answers", lambda x: F.concat(
         x["label"], F.lit("="), F.coalesce(x["value"], F.lit("")))), "|").alias("answers"),

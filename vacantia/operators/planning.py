@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,21 +103,32 @@ def compile_plan(questions: DataFrame, profiles: DataFrame, bank: DataFrame) ->
     profile fields.  Everything the ladder reads is joined first; the ladder is one
     ordered condition, so nothing shuffles after the joins.
     """
-    q = questions.join(materialise(key_facts(questions)), ["label_key", "answerability"])
+    # Questions go through their one shuffle as numbers: of the wording with its fields, and of the key.
+    wording = ("label", "label_key", "answerability", "fields")
+    words = questions.select(*wording).distinct().where("label_key is not null and answerability is not null")
+    words = materialise(words.join(key_facts(words), ["label_key", "answerability"]).withColumn("_w", F.monotonically_increasing_id()))
+    ids = materialise(words.groupBy("label_key").agg(F.min("_w").alias("_k"), F.first("_want").alias("_want")))
+    words = materialise(words.join(ids.select("label_key", "_k"), "label_key"))  # written, so that its size is known
+    named = words.select(F.col("_w"), F.col("_k"), *[F.col(c).alias(f"_{c}") for c in wording])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in wording]
+    q = questions.join(named, reduce(lambda x, y: x & y, same)).select("candidate_id", "posting_id", "position", "required", "_w", "_k")
+
+    # What a candidate's profile and stored answers say to a key, worked out once per candidate and key.
+    p = profiles.select("candidate_id", "resume_name",
+                        T.profile_values(profiles.columns).alias("_values"))
+    answers = bank_matches(questions, bank).join(ids.select("label_key", "_k"), "label_key").select(
+        "candidate_id", "_k", F.col("via").alias("_via"), F.col("text").alias("_text"),
+        F.col("option_preference").alias("_prefs"), F.col("sensitive").alias("_sensitive"))
+    told = (q.select("candidate_id", "_k").distinct().join(p, "candidate_id", "left").join(ids.select("_k", "_want"), "_k")
+            .select("candidate_id", "_k", "resume_name", T.blank_to_null(F.try_element_at("_values", F.col("_want"))).alias("_value"))
+            .join(answers, ["candidate_id", "_k"], "left"))
+    a = q.join(told, ["candidate_id", "_k"], "left").join(words.drop("_k"), "_w").drop("_w", "_k")
     kept = resolve_attachment_pair("fields", "label_key", F.col("_people").isNotNull())
-    a = q.select(*[c for c in q.columns if c != "fields"],
+    a = a.select(*[c for c in a.columns if c != "fields"],
                  (F.size(kept) < F.size("fields")).alias("_pair"),
                  F.posexplode(kept).alias("field_no", "_f")).select(
         "*", F.col("_f.name").alias("field_name"), F.col("_f.kind").alias("kind"),
         F.col("_f.options").alias("options")).drop("_f")
-
-    p = profiles.select("candidate_id", "resume_name",
-                        T.profile_values(profiles.columns).alias("_values"))
-    answers = bank_matches(questions, bank).select(
-        "candidate_id", "label_key", F.col("via").alias("_via"), F.col("text").alias("_text"),
-        F.col("option_preference").alias("_prefs"), F.col("sensitive").alias("_sensitive"))
-    a = (a.join(p, "candidate_id", "left").join(answers, ["candidate_id", "label_key"], "left")
-         .withColumn("_value", T.blank_to_null(F.try_element_at("_values", F.col("_want")))))
     prefs = F.coalesce("_prefs", F.when(F.coalesce("_text", F.lit("")) != "", F.array("_text")))
     key, kind = F.col("label_key"), F.col("kind")
     letter = key.contains("cover letter")
@@ -360,10 +372,15 @@ def kit_counts(actions: DataFrame, attachments: DataFrame, form_sizes: DataFrame
     """P11's numbers: prepared / yours / open, coverage of the form, skipped blanks."""
     has = attachments.select("candidate_id").distinct().withColumn("_has", F.lit(True))
     b = bucket("source", F.coalesce("_has", F.lit(False)))
-    per = (actions.join(has, "candidate_id", "left").withColumn("_b", b).groupBy(*keys).agg(
-        *[F.count_if(F.col("_b") == n).alias(c) for n, c in
-          (("answers", "prepared"), ("yours", "yours"), ("open", "open"))],
-        F.count("*").alias("stated")))
+    return _with_coverage(actions.join(has, "candidate_id", "left").groupBy(*keys).agg(*_bucket_counts(b)), form_sizes)
+
+
+def _bucket_counts(b: Column) -> list[Column]:
+    return [*[F.count_if(b == n).alias(c) for n, c in (("answers", "prepared"), ("yours", "yours"), ("open", "open"))],
+            F.count("*").alias("stated")]
+
+
+def _with_coverage(per: DataFrame, form_sizes: DataFrame) -> DataFrame:
     return (per.join(form_sizes, "posting_id", "left")
             .withColumn("coverage", kit_coverage("stated", "form_fields"))
             .withColumn("skipped_optional_blank", F.when(
@@ -376,16 +393,27 @@ def kit(actions: DataFrame, attachments: DataFrame, form_sizes: DataFrame) -> Da
 
     The lists have as many entries as the form has fields.
     """
-    has = attachments.select("candidate_id", F.col("resume_name").alias("_doc"))
-    missing = (F.col("source") == "file") & F.col("_doc").isNull()
-    rows = (actions.join(has, "candidate_id", "left")
-            .withColumn("_b", bucket("source", F.col("_doc").isNotNull()))
-            .withColumn("_row", F.struct(
-                "position", "field_no", "label", "field_name", "required",
-                F.when(missing, "unresolved").otherwise(F.col("source")).alias("source"),
-                F.when(F.col("source") == "file", F.col("_doc")).otherwise(F.col("value")).alias("value"),
-                F.when(missing, "no document on file").otherwise(F.col("reason")).alias("reason"))))
-    lists = rows.groupBy("candidate_id", "posting_id").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("_b") == n, F.col("_row")))).alias(c)
-        for n, c in (("answers", "answers"), ("yours", "your_answers"), ("open", "open_items"))])
-    return lists.join(kit_counts(actions, attachments, form_sizes), ["candidate_id", "posting_id"])
+    docs = attachments.groupBy("candidate_id").agg(F.collect_list(F.struct("resume_name")).alias("_docs"))
+    rows = actions.where("candidate_id IS NOT NULL AND posting_id IS NOT NULL").join(docs, "candidate_id", "left")
+    none = F.array(F.struct(_null().alias("resume_name")))
+
+    def entry(d: Column) -> Column:
+        doc, source = d["resume_name"], F.col("source")
+        missing = (source == "file") & doc.isNull()
+        return F.struct(bucket("source", doc.isNotNull()).alias("b"), F.struct(
+            "position", "field_no", "label", "field_name", "required",
+            F.when(missing, "unresolved").otherwise(source).alias("source"),
+            F.when(source == "file", doc).otherwise(F.col("value")).alias("value"),
+            F.when(missing, "no document on file").otherwise(F.col("reason")).alias("reason")).alias("row"))
+
+    # One row a form: its entries and its numbers come from one grouping.
+    per = rows.groupBy("candidate_id", "posting_id").agg(
+        F.flatten(F.collect_list(F.transform(F.coalesce("_docs", none), entry))).alias("_all"),
+        *_bucket_counts(bucket("source", F.col("_docs").isNotNull())))
+
+    def entries(b: str) -> Column:
+        return F.array_sort(F.transform(F.filter("_all", lambda x: x["b"] == b), lambda x: x["row"]))
+
+    lists = [entries(b).alias(c) for b, c in (("answers", "answers"), ("yours", "your_answers"), ("open", "open_items"))]
+    out = _with_coverage(per.select("candidate_id", "posting_id", *lists, "prepared", "yours", "open", "stated"), form_sizes)
+    return out.select("candidate_id", *[c for c in out.columns if c != "candidate_id"])
