@@ -93,3 +93,10 @@ def test_a_plan_sends_no_wording_through_its_shuffles(spark, tmp_path):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     # the profile's values are looked up before a question is met: no row of a question holds the map
     assert "_values" in text and text.index("_values") > text.index("posexplode")
+
+
+@pytest.mark.parametrize("name", ["match_plan_to_page", "unplanned_page_fields"])
+def test_page_fields_read_the_lines_once(spark, tmp_path, name):
+    given(spark, tmp_path, [(1, 1, 1, 1, 1.0, "R"), (1, 2, 2, 1, 1.0, "A"), (2, 1, 3, 1, 1.0, "R")])
+    d = catalog.queries()[name](spark, str(tmp_path))
+    assert "lineitem" not in d._jdf.queryExecution().executedPlan().toString() and d.count() >= 0

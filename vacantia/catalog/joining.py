@@ -11,6 +11,7 @@ from vacantia.catalog.registry import query
 from vacantia.operators import planning as P
 from vacantia.operators import stats as A
 from vacantia.operators import tracking as K
+from vacantia.session import materialise
 
 
 @query("with_board", D.with_ctes(D.POSTS_PLAIN, D.BOARDS) + "SELECT posting_id, last_fetched_at FROM posts JOIN boards USING (board) WHERE NOT disabled")
@@ -104,10 +105,8 @@ _EL = """el AS (SELECT l_orderkey AS form_id, row_number() OVER (PARTITION BY l_
 
 
 def _elements(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy(*D.LINE_ORDER)
-    e = D.lines(spark, d).withColumn("ord", F.row_number().over(w)).withColumn("qty", F.col("l_quantity").cast("int"))
+    e = materialise(D.numbered(spark, d, "p_name", "p_brand", "p_size", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("qty"))
+                    .withColumnRenamed("line", "ord"))  # read by every join of the match
     fname = F.concat(F.lit("f_"), F.col("p_size").cast("string"))
     form = F.col("l_orderkey").alias("form_id")
     act = e.select(form, "ord", fname.alias("field_name"), F.concat("p_name", F.lit(" *")).alias("label"),

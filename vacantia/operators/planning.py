@@ -292,22 +292,24 @@ def match_plan_to_page(actions: DataFrame, fields: DataFrame) -> tuple[DataFrame
     Returns (actions with ``outcome`` fill / skipped / unmatched, unplanned fields).
     """
     def layer(col: Column, name: str) -> DataFrame:
-        # Of two fields under one key the later one counts.
+        # Of two fields under one key the later one counts; options are read of a select only.
+        options = F.when(F.col("kind") == "select", F.col("options")).alias("options")
         return (fields.where(col.isNotNull() & (col != ""))
-                .groupBy("form_id", col.alias("_" + name))
-                .agg(F.max_by(F.struct("handle", "kind", "options"), "ord").alias("_f_" + name)))
-
-    a = actions.withColumn("_label", _norm_page("label"))
-    for name, mine, col in (("name", "field_name", F.col("name")), ("id", "field_name", F.col("id")),
-                            ("lab", "_label", F.when(F.coalesce("label", F.lit("")) != "",
-                                                     _norm_page("label")))):
-        side = layer(col, name)
-        a = a.join(side.withColumnRenamed("form_id", "_form"),
-                   (F.col("form_id") == F.col("_form")) & (F.col(mine) == F.col("_" + name)),
-                   "left").drop("_form", "_" + name)
-    a = (a.withColumn("_field", F.coalesce("_f_name", "_f_id", "_f_lab"))
-         .withColumn("via", F.when(F.col("_f_name").isNotNull(), "name")
-                     .when(F.col("_f_id").isNotNull(), "id").when(F.col("_f_lab").isNotNull(), "label")))
+                .groupBy(F.col("form_id").alias("_form"), col.alias("_" + name))
+                .agg(F.max_by(F.struct("handle", "kind", options), "ord").alias("_f_" + name)))
+
+    def met(a: DataFrame, mine: Column, col: Column, name: str) -> DataFrame:
+        return a.join(layer(col, name), (F.col("form_id") == F.col("_form")) & (mine == F.col("_" + name)), "left").drop("_form", "_" + name)
+
+    a = actions.select("form_id", "ord", "field_name", "label", "source", "value")
+    a = met(met(a, F.col("field_name"), F.col("name"), "name"), F.col("field_name"), F.col("id"), "id")
+    a = a.select("form_id", "ord", "label", "source", "value", F.coalesce("_f_name", "_f_id").alias("_field"),
+                 F.when(F.col("_f_name").isNotNull(), "name").when(F.col("_f_id").isNotNull(), "id").alias("via"))
+    # Only what has no field yet is looked up by its label.
+    a = a.withColumn("_label", F.when(F.col("_field").isNull(), _norm_page("label")))
+    a = met(a, F.col("_label"), F.when(F.coalesce("label", F.lit("")) != "", _norm_page("label")), "lab").drop("_label")
+    a = (a.withColumn("_field", F.coalesce("_field", "_f_lab"))
+         .withColumn("via", F.coalesce("via", F.when(F.col("_f_lab").isNotNull(), "label"))))
     skip = (F.when(F.col("source") == "user", "the candidate answers this")
             .when(F.col("source") == "generated", "needs writing")
             .when(F.col("source") == "unresolved", "nothing stored")
@@ -318,11 +320,12 @@ def match_plan_to_page(actions: DataFrame, fields: DataFrame) -> tuple[DataFrame
     a = (a.withColumn("_skip", skip).withColumn("_opt", F.when(is_select, chosen))
          .withColumn("_can", F.col("_skip").isNull() & F.col("_field").isNotNull()
                      & (~is_select | F.col("_opt").isNotNull()))
-         .withColumn("handle", F.col("_field.handle")))
-    first = (a.where("_can").groupBy("form_id", "handle").agg(F.min("ord").alias("_first")))
-    a = a.join(first, ["form_id", "handle"], "left")
+         .withColumn("handle", F.col("_field.handle")).withColumn("_none", F.col("_field").isNull()))
+    a = a.select("form_id", "ord", "label", "value", "via", "handle", "_skip", "_opt", "_can", "_none")
+    first = F.min(F.when(F.col("_can"), F.col("ord"))).over(Window.partitionBy("form_id", "handle"))
+    a = a.withColumn("_first", F.when(F.col("form_id").isNotNull() & F.col("handle").isNotNull(), first))
     outcome = (F.when(F.col("_skip").isNotNull(), "skipped")
-               .when(F.col("_field").isNull() | (F.col("_first") < F.col("ord")), "unmatched")
+               .when(F.col("_none") | (F.col("_first") < F.col("ord")), "unmatched")
                .when(F.col("_can"), "fill").otherwise("skipped"))
     a = a.withColumn("outcome", outcome)
     filled = F.col("outcome") == "fill"
